@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,23 +101,30 @@ def replacements(text: Column, needle: str, replacement: str) -> tuple[Column, C
     return replaced, count.cast("bigint")
 
 
-def first_difference(expected: Column, actual: Column) -> Column:
-    """Where two texts first differ by line, and the next non-blank line of each from there."""
-    left, right = F.split(expected, "\n"), F.split(actual, "\n")
-    # A line that differs, or -1 when the expected text is a line-wise prefix of the actual one.
-    differs = F.transform(left, lambda line, i: ~line.eqNullSafe(F.get(right, i)))
-    hit = F.array_position(differs, F.lit(True))
-    at = F.when(hit > 0, hit - 1).otherwise(F.least(F.size(left), F.size(right)).cast("bigint"))
-
-    def next_line(lines: Column) -> Column:
-        rest = F.filter(lines, lambda line, i: (i >= at) & (wide_trim(line) != ""))
-        return F.coalesce(F.get(rest, F.lit(0)), F.lit("(end of text)"))
-
-    return F.struct(
-        (at + 1).cast("bigint").alias("line"),
-        next_line(left).alias("expected"),
-        next_line(right).alias("actual"),
+def with_first_difference(df: DataFrame, expected: Column, actual: Column, out: str) -> DataFrame:
+    """Add where two texts first differ by line, and the next non-blank line of each from there.
+
+    The position is a column of its own, so the lines after it are cut off once instead of being
+    searched from the start.
+    """
+    lines = df.withColumns({"_left": F.split(expected, "\n"), "_right": F.split(actual, "\n")})
+    # A line that differs; none when the expected text is a line-wise prefix of the actual one.
+    differs = F.transform("_left", lambda line, i: ~line.eqNullSafe(F.get("_right", i)))
+    hit = lines.withColumn("_hit", F.array_position(differs, F.lit(True)))
+    shorter = F.least(F.size("_left"), F.size("_right")).cast("bigint")
+    at = hit.withColumn("_at", F.when(F.col("_hit") > 0, F.col("_hit") - 1).otherwise(shorter).cast("int"))
+
+    def next_line(side: str) -> Column:
+        rest = F.slice(side, F.col("_at") + 1, F.greatest(F.size(side) - F.col("_at"), F.lit(0)))
+        shown = F.filter(rest, lambda line: wide_trim(line) != "")
+        return F.coalesce(F.get(shown, F.lit(0)), F.lit("(end of text)"))
+
+    found = F.struct(
+        (F.col("_at") + 1).cast("bigint").alias("line"),
+        next_line("_left").alias("expected"),
+        next_line("_right").alias("actual"),
     )
+    return at.withColumn(out, found).drop("_left", "_right", "_hit", "_at")
 
 
 def number_text(number: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waybill import vocab
 from waybill.functions.dates import epoch_to_iso, epoch_to_zoned_date
 from waybill.functions.text import (
-    canon, clip, first_difference, normal_form, normalize_markdown, number_text, wide_trim,
+    canon, clip, normal_form, normalize_markdown, number_text, wide_trim, with_first_difference,
 )
 from waybill.functions.values import priority_from
 
@@ -77,9 +77,8 @@ def field_status(rule: Rule, planned: Column, actual: Column, options: Column |
     elif kind == "tags":
         equal = canon_subset(planned, actual, normalize=False)
     elif kind == "markdown":
-        equal = normalize_markdown(planned, rule.normalize) == normalize_markdown(
-            actual, rule.normalize
-        )
+        # Both sides are normalized already: see ``stage_markdown``.
+        equal = planned == actual
     elif kind == "option":
         wanted = F.get(F.filter(options, lambda o: o["id"] == planned), F.lit(0))
         by_index = wanted["orderindex"].cast("double") == actual.try_cast("double")
@@ -115,13 +114,13 @@ def _shown(rule: Rule, value: Column) -> Column:
 def field_check(rule: Rule) -> Column:
     """One check struct, null when nothing was planned for the field."""
     planned, actual = F.col(rule.planned), F.col(rule.actual)
+    if rule.kind == "markdown":
+        planned, actual = F.col(f"_{rule.field}_want"), F.col(f"_{rule.field}_have")
     status = field_status(rule, planned, actual, F.col(rule.options) if rule.options else None)
     differs = status == "mismatched"
     expected, found = _shown(rule, planned), _shown(rule, actual)
     if rule.kind == "markdown":
-        left = normalize_markdown(planned, rule.normalize)
-        right = normalize_markdown(actual, rule.normalize)
-        where = first_difference(left, right)
+        where = F.col(f"_{rule.field}_where")
         line = F.concat(F.lit("from line "), where["line"].cast("string"), F.lit(": "))
         expected, found = F.concat(line, where["expected"]), F.concat(line, where["actual"])
     note = F.when((status == "unverified") & actual.isNull(), F.lit("Not returned."))
@@ -137,6 +136,23 @@ def field_check(rule: Rule) -> Column:
     return F.when(status.isNotNull(), check)
 
 
+def stage_markdown(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Normalized texts of Markdown rules, and where they differ, as columns of their own."""
+    for rule in rules:
+        if rule.kind != "markdown":
+            continue
+        want, have = f"_{rule.field}_want", f"_{rule.field}_have"
+        held = F.when(F.col(rule.actual).isNotNull(), normalize_markdown(F.col(rule.actual), rule.normalize))
+        df = df.withColumns(
+            {want: normalize_markdown(F.col(rule.planned), rule.normalize), have: held}
+        )
+        differs = F.col(want) != F.col(have)
+        df = with_first_difference(
+            df, F.when(differs, F.col(want)), F.when(differs, F.col(have)), f"_{rule.field}_where"
+        )
+    return df
+
+
 def worst_of(checks: Column) -> Column:
     """Worst status in an array of checks; no checks means verified."""
     worst = F.array_max(F.transform(checks, lambda c: vocab.check_rank(c["status"])))
@@ -151,7 +167,7 @@ def diff_expected_actual(
     One shuffle on the destination id, which is unique on both sides.
     """
     held = actual.withColumn("_held", F.lit(True))
-    joined = planned.join(held, on, "left")
+    joined = stage_markdown(planned.join(held, on, "left"), rules)
     found = F.col("_held").isNotNull()
     absent = F.struct(
         F.lit("existence").alias("field"),
@@ -165,7 +181,7 @@ def diff_expected_actual(
     )
     return joined.withColumn("checks", checks.cast(f"array<{CHECK}>")).withColumn(
         "status", worst_of(F.col("checks"))
-    ).drop("_held")
+    ).drop("_held", *[f"_{r.field}_{n}" for r in rules for n in ("want", "have", "where")])
 
 
 def checks_long(items: DataFrame, keys: list[str]) -> DataFrame:
