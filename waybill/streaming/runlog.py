@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,19 +60,27 @@ def checkpoint_state(transitions: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, attempts, last = state.get if state.exists else ("pending", 0, -1)
-        pieces = [b[["seq", "event"]] for b in batches]
-        rows = pd.concat(pieces).sort_values("seq") if pieces else pd.DataFrame(columns=["seq", "event"])
-        rows = rows[rows["seq"] > last]
-        if len(rows):
-            last = int(rows["seq"].iloc[-1])
-        if status not in TERMINAL and len(rows):
-            done = (rows["event"] == "succeeded").to_numpy()
-            upto = rows.iloc[: int(done.argmax()) + 1] if done.any() else rows
-            attempts += int((upto["event"] == "in_flight").sum())
-            status = str(upto["event"].iloc[-1])
-        state.update((status, attempts, last))
+        # Only the order numbers of started writes are kept while the batches pass by.
+        started: list[np.ndarray] = []
+        done, newest, newest_event = None, last, None
+        for batch in batches:
+            batch = batch[batch["seq"] > last]
+            if batch.empty:
+                continue
+            seq, event = batch["seq"].to_numpy(), batch["event"].to_numpy()
+            started.append(seq[event == "in_flight"])
+            finished = seq[event == "succeeded"]
+            if finished.size:
+                done = int(finished.min()) if done is None else min(done, int(finished.min()))
+            at = int(seq.argmax())
+            if seq[at] > newest:
+                newest, newest_event = int(seq[at]), str(event[at])
+        if status not in TERMINAL and newest_event is not None:
+            attempts += sum(int((s < done).sum()) if done is not None else s.size for s in started)
+            status = "succeeded" if done is not None else newest_event
+        state.update((status, attempts, newest))
         yield pd.DataFrame(
-            {"run_id": [key[0]], "action_id": [key[1]], "status": [status], "attempts": [attempts], "seq": [last]}
+            {"run_id": [key[0]], "action_id": [key[1]], "status": [status], "attempts": [attempts], "seq": [newest]}
         )
 
     return transitions.groupBy("run_id", "action_id").applyInPandasWithState(
@@ -90,19 +99,24 @@ def breaker(events: DataFrame, limit: int = vocab.BREAKER_LIMIT) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (failures,) = state.get if state.exists else (0,)
-        pieces = [b[["seq", "type"]] for b in batches]
-        rows = pd.concat(pieces).sort_values("seq") if pieces else pd.DataFrame(columns=["seq", "type"])
-        rows = rows[rows["type"].isin(["action_succeeded", "action_failed"])]
-        failed = rows["type"] == "action_failed"
-        island = (~failed).cumsum()
-        counts = failed.groupby(island).cumsum() + failed.where(island == 0, 0) * 0
-        counts = counts + (island == 0) * failures
-        counts = counts.where(failed, 0)
-        if len(rows):
-            failures = int(counts.iloc[-1])
+        kept = ["action_succeeded", "action_failed"]
+        seqs, marks = [], []
+        for batch in batches:
+            batch = batch[batch["type"].isin(kept)]
+            seqs.append(batch["seq"].to_numpy())
+            marks.append((batch["type"] == "action_failed").to_numpy())
+        seq = np.concatenate(seqs) if seqs else np.empty(0, dtype="int64")
+        failed = np.concatenate(marks)[seq.argsort()] if seqs else np.empty(0, dtype=bool)
+        seq = np.sort(seq)
+        # Failures since the last success: a running total less its value at that success.
+        total = failures + np.cumsum(failed)
+        base = np.maximum.accumulate(np.where(failed, 0, total)) if seq.size else total
+        counts = total - base
+        if seq.size:
+            failures = int(counts[-1])
         state.update((failures,))
-        hit = rows[(counts == limit).to_numpy()]
-        yield pd.DataFrame({"run_id": [key[0]] * len(hit), "seq": hit["seq"].astype("int64"), "failures": [limit] * len(hit)})
+        hit = seq[failed & (counts == limit)] if seq.size else seq
+        yield pd.DataFrame({"run_id": [key[0]] * len(hit), "seq": hit.astype("int64"), "failures": [limit] * len(hit)})
 
     return events.groupBy("run_id").applyInPandasWithState(
         update, BREAKER_OUT, "failures long", "append", "NoTimeout"
@@ -134,4 +148,4 @@ def adoption(planned: DataFrame, seen: DataFrame, skew_seconds: int = vocab.CLOC
         & (F.col("seen_at") >= F.col("planned_at") - F.expr(f"INTERVAL {window}"))
         & (F.col("seen_at") <= F.col("planned_at") + F.expr(f"INTERVAL {window}"))
     )
-    return left.join(right, near).select("key", "item_id", "planned_at", "seen_at")
+    return left.join(right, near).drop("marker")
