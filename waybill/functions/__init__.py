@@ -1 +1 @@
-"""Column functions: every one maps Columns to a Column and runs on the JVM unless noted."""
+"""Column functions, and a few that add staged columns to a DataFrame. All run on the JVM unless noted."""

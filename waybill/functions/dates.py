@@ -28,18 +28,24 @@ def is_valid_zone(zone: Column) -> Column:
     return F.coalesce(zone.isin(zone_names()), F.lit(False))
 
 
-def _epoch_ms(wall: Column) -> Column:
-    """Milliseconds from the epoch to a TIMESTAMP_NTZ read as UTC."""
+def epoch_ms(wall: Column) -> Column:
+    """Milliseconds from the epoch to a TIMESTAMP_NTZ read as UTC, whatever the session zone."""
     days = F.unix_date(wall.cast("date")).cast("bigint")
     minutes = days * 1440 + F.hour(wall) * 60 + F.minute(wall)
     millis = F.floor(F.date_part(F.lit("SECOND"), wall) * 1000).cast("bigint")
     return minutes * 60_000 + millis
 
 
+def instant(wall: Column) -> Column:
+    """A TIMESTAMP_NTZ read as UTC, as a TIMESTAMP to the microsecond."""
+    micros = F.floor(F.date_part(F.lit("SECOND"), wall) * 1_000_000).cast("bigint") % 1000
+    return F.timestamp_micros(epoch_ms(wall) * 1000 + micros)
+
+
 def zoned_to_epoch(wall: Column, zone: Column | str) -> Column:
     """Wall clock in a zone to an instant: a gap moves forward, an overlap takes the earlier one."""
     named = F.lit(zone) if isinstance(zone, str) else zone
-    return _epoch_ms(F.convert_timezone(named, F.lit("UTC"), wall))
+    return epoch_ms(F.convert_timezone(named, F.lit("UTC"), wall))
 
 
 def date_only_epoch(day: Column, zone: Column | str, hour: int = 4) -> Column:
@@ -48,19 +54,21 @@ def date_only_epoch(day: Column, zone: Column | str, hour: int = 4) -> Column:
     return zoned_to_epoch(wall, zone)
 
 
-def _wall(epoch_ms: Column, zone: Column | str) -> Column:
+def _wall(ms: Column, zone: Column | str) -> Column:
     named = F.lit(zone) if isinstance(zone, str) else zone
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    utc = F.timestamp_add("MILLISECOND", epoch_ms, start)
+    utc = F.timestamp_add("MILLISECOND", ms, start)
     return F.convert_timezone(F.lit("UTC"), named, utc)
 
 
-def epoch_to_zoned_date(epoch_ms: Column, zone: Column | str) -> Column:
-    return F.date_format(_wall(epoch_ms, zone), "yyyy-MM-dd")
+def epoch_to_zoned_date(ms: Column, zone: Column | str) -> Column:
+    """Calendar day of an instant in a zone."""
+    return _wall(ms, zone).cast("date").cast("string")
 
 
-def zone_offset_ms(epoch_ms: Column, zone: Column | str) -> Column:
-    return _epoch_ms(_wall(epoch_ms, zone)) - epoch_ms
+def zone_offset_ms(ms: Column, zone: Column | str) -> Column:
+    """Offset (zone less UTC) in effect at an instant."""
+    return epoch_ms(_wall(ms, zone)) - ms
 
 
 def epoch_to_iso(value: Column) -> Column:
@@ -107,7 +115,7 @@ def with_parsed_date(
         }
     )
     wall = F.col("_wall")
-    epoch = F.when(offset != "", _epoch_ms(wall) - F.col("_minutes").cast("bigint") * 60_000).otherwise(
+    epoch = F.when(offset != "", epoch_ms(wall) - F.col("_minutes").cast("bigint") * 60_000).otherwise(
         zoned_to_epoch(wall, F.col("_used"))
     )
     no_zone = F.col("_z").isNull() | (F.col("_z") == "")

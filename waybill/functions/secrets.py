@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MASK = "[REDACTED]"
 # Address parameters that carry a credential.
@@ -60,5 +65,69 @@ def scrub_map(values: Column) -> Column:
 
 
 def credential_keys(values: Column) -> Column:
-    """Keys of a map that look like credentials."""
+    """Keys of a flat map that look like credentials."""
     return F.filter(F.map_keys(values), lambda k: k.rlike(CREDENTIAL_KEY))
+
+
+def credential_paths(df: DataFrame, column: str, keys: list[str], max_depth: int = 8) -> DataFrame:
+    """Paths of keys that look like credentials anywhere in a JSON document, e.g. `a.b[0].token`.
+
+    One level of members is laid out per step, inside the row and without a shuffle; a document
+    nested deeper than ``max_depth`` is reported by the path where the search stopped, marked
+    `too_deep`.
+    """
+    tvf = df.sparkSession.tvf
+    level = df.select(*keys, F.try_parse_json(column).alias("_v"), F.lit("").alias("_path"))
+    found: DataFrame | None = None
+    for depth in range(max_depth + 1):
+        nested = level.where(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)"))
+        if depth == max_depth:
+            hits = nested.select(*keys, F.col("_path").alias("path"), F.lit(True).alias("too_deep"))
+        else:
+            members = nested.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
+            named = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
+            here = F.when(F.col("key").isNull(), F.concat("_path", F.lit("["), F.col("pos"), F.lit("]"))).otherwise(named)
+            level = members.select(*keys, F.col("value").alias("_v"), here.alias("_path"), F.col("key").alias("_key"))
+            hits = level.where(F.col("_key").rlike(CREDENTIAL_KEY)).select(
+                *keys, F.col("_path").alias("path"), F.lit(False).alias("too_deep")
+            )
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _scrub_member(value, depth: int = 0):
+    if depth > 20:
+        return MASK
+    if isinstance(value, str):
+        for pattern, replacement in _PYTHON_RULES:
+            value = pattern.sub(replacement, value)
+        return value
+    if isinstance(value, list):
+        return [_scrub_member(v, depth + 1) for v in value]
+    if isinstance(value, dict):
+        hide = _PYTHON_SENSITIVE.match
+        return {k: MASK if hide(k) else _scrub_member(v, depth + 1) for k, v in value.items()}
+    return value
+
+
+_PYTHON_RULES = [(re.compile(p), r.replace("$1", r"\1")) for p, r in SCRUB_RULES]
+_PYTHON_SENSITIVE = re.compile(SENSITIVE_KEY)
+
+
+@F.pandas_udf(StringType())
+def scrub_json(documents: pd.Series) -> pd.Series:
+    """Nested JSON text with every string scrubbed and values under sensitive keys blanked.
+
+    Spark has no recursive expression, so this one runs in Arrow batches; flat maps use
+    ``scrub_map``. Text that is not JSON is blanked as a whole.
+    """
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(_scrub_member(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return MASK
+
+    return documents.map(one)

@@ -1,13 +1,9 @@
-"""Text functions. Only the Unicode normal forms need Arrow batches; all else is native."""
+"""Text functions, all on the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # White space as a browser's `trim` sees it.
 WIDE_SPACE = (
@@ -16,20 +12,16 @@ WIDE_SPACE = (
 NON_ASCII = r"[^\x00-\x7F]"
 
 
-def _form(name: str):
-    @F.pandas_udf(T.StringType())
-    def apply(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unicodedata.normalize(name, v))
-
-    return apply
-
-
-_FORMS = {name: _form(name) for name in ("NFC", "NFKC", "NFKD")}
+# Static methods of the Unicode library that Spark itself ships for its collations.
+UNICODE_LIBRARY = "com.ibm.icu.text.Normalizer"
+NORMAL_FORMS = {"NFC": ("compose", False), "NFKC": ("compose", True), "NFKD": ("decompose", True)}
 
 
 def normal_form(text: Column, form: str) -> Column:
-    """Unicode normal form. ASCII text never crosses to Python: the UDF sees null for it."""
-    return F.coalesce(_FORMS[form](F.when(text.rlike(NON_ASCII), text)), text)
+    """Unicode normal form on the JVM; ASCII text, which has only one form, is passed through."""
+    method, compatible = NORMAL_FORMS[form]
+    changed = F.java_method(F.lit(UNICODE_LIBRARY), F.lit(method), text, F.lit(compatible))
+    return F.when(text.rlike(NON_ASCII), changed).otherwise(text)
 
 
 def wide_trim(text: Column) -> Column:

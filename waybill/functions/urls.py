@@ -14,12 +14,11 @@ FORBIDDEN = (
 )
 
 
-def _part(url: Column, name: str) -> Column:
-    return F.try_parse_url(url, F.lit(name))
-
-
-def has_credentials(url: Column) -> Column:
-    return F.coalesce(_part(url, "USERINFO"), F.lit("")) != ""
+# http(s) address with a host and without credentials, as a browser's address parser accepts it.
+WEB_URL = (
+    r"(?is)^[\x00-\x20]*https?://(?:\[[0-9a-f:.]+\]|[^/?#@\\\s<>\[\]^|%:]+)(?::\d{1,5})?"
+    r"(?:[/?#].*)?$"
+)
 
 
 def valid_email(value: Column) -> Column:
@@ -32,18 +31,21 @@ def valid_phone(value: Column) -> Column:
 
 
 def valid_url(value: Column) -> Column:
-    scheme = F.lower(_part(value, "PROTOCOL"))
-    host = _part(value, "HOST")
-    return F.coalesce(
-        scheme.isin("http", "https") & host.isNotNull() & (host != "") & ~has_credentials(value),
-        F.lit(False),
-    )
+    return F.coalesce(value.rlike(WEB_URL), F.lit(False))
+
+
+def normalized(url: Column) -> Column:
+    """Address in written form: lower-case scheme and host, a path, no default port, no raw blanks."""
+    head = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1)), r"^(http:.*):80$|^(https:.*):443$", "$1$2")
+    rest = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://[^/?#]*", ""), r"^(?=[?#]|$)", "/")
+    blanks = F.replace(F.replace(F.replace(rest, F.lit(" "), F.lit("%20")), F.lit("<"), F.lit("%3C")), F.lit(">"), F.lit("%3E"))
+    return F.concat(head, F.replace(blanks, F.lit('"'), F.lit("%22")))
 
 
 def external_url(value: Column, limit: int = 2000) -> Column:
-    """A plain http(s) address without credentials, or null."""
+    """A plain http(s) address without credentials in written form, or null."""
     trimmed = wide_trim(value)
-    return F.when(valid_url(trimmed) & (F.length(trimmed) <= limit), trimmed)
+    return F.when(valid_url(trimmed) & (F.length(trimmed) <= limit), normalized(trimmed))
 
 
 def allowed_link(url: Column) -> Column:
@@ -58,9 +60,8 @@ def safe_url(value: Column, limit: int = 2048) -> Column:
         & ~value.rlike(FORBIDDEN)
         & ~F.contains(value, F.lit("\\"))
     )
-    web = value.rlike(r"(?i)^https?://[^/?#]") & valid_url(value)
     mail = value.rlike(r"(?i)^mailto:[^?#]*@")
-    return F.when(plain & (web | mail), value)
+    return F.when(plain & valid_url(value), normalized(value)).when(plain & mail, value)
 
 
 def link_target(url: Column) -> Column:

@@ -117,6 +117,55 @@ def task_payload_rules() -> dict[str, Column]:
     }
 
 
+PAYLOAD = (
+    "list_id string, marker string, body struct<name:string,markdown_content:string,status:string,"
+    "priority:double,due_date:double,due_date_time:boolean,start_date:double,"
+    "start_date_time:boolean,assignees:array<double>,tags:array<string>,notify_all:boolean,"
+    "custom_fields:array<struct<id:string>>>"
+)
+PAYLOAD_KEYS = ["list_id", "marker", "body"]
+BODY_KEYS = [
+    "name", "markdown_content", "status", "priority", "due_date", "due_date_time", "start_date",
+    "start_date_time", "assignees", "tags", "custom_fields", "notify_all",
+]
+
+
+def validate_payload_json(df: DataFrame, column: str) -> DataFrame:
+    """Strict check of a create payload as JSON text: shape, limits, and no member that is not
+    known, so an edited plan cannot smuggle further request fields."""
+    parsed = df.withColumns(
+        {
+            "_p": F.from_json(column, PAYLOAD),
+            "_extra": F.array_except(F.json_object_keys(F.col(column)), F.array(*[F.lit(k) for k in PAYLOAD_KEYS])),
+            "_body_extra": F.array_except(
+                F.json_object_keys(F.get_json_object(column, "$.body")), F.array(*[F.lit(k) for k in BODY_KEYS])
+            ),
+        }
+    )
+    body = lambda n: F.col(f"_p.body.{n}")
+    whole = lambda c: c == F.floor(c)
+    required = lambda ok: F.coalesce(ok, F.lit(False))
+    rules = {
+        "(root)": required(F.col("_p").isNotNull() & (F.size("_extra") == 0)),
+        "list_id": required(ids.safe_path_segment(F.col("_p.list_id"))),
+        "marker": F.length("_p.marker") <= 300,
+        "body": required(F.size("_body_extra") == 0),
+        "body.name": required(F.length(body("name")).between(1, 5000)),
+        "body.markdown_content": required(F.length(body("markdown_content")) <= 2_000_000),
+        "body.status": F.length(body("status")) <= 200,
+        "body.priority": whole(body("priority")) & body("priority").between(1, 4),
+        "body.due_date": whole(body("due_date")),
+        "body.start_date": whole(body("start_date")),
+        "body.assignees": (F.size(body("assignees")) <= 50)
+        & F.forall(body("assignees"), lambda a: (a > 0) & whole(a)),
+        "body.tags": (F.size(body("tags")) <= 100) & F.forall(body("tags"), lambda x: F.length(x) <= 200),
+        "body.custom_fields": (F.size(body("custom_fields")) <= 100)
+        & F.forall(body("custom_fields"), lambda c: F.length(c["id"]) <= 100),
+        "body.notify_all": required(~body("notify_all")),
+    }
+    return validate_payloads(parsed, rules).drop("_p", "_extra", "_body_extra")
+
+
 def dedupe_users(sightings: DataFrame) -> DataFrame:
     """First sighting of each user, a named one before a nameless one. sightings: id, name, seq."""
     nameless = F.coalesce(F.col("name"), F.lit("")) == ""

@@ -12,6 +12,7 @@ from waybill.functions import richtext, urls
 from waybill.functions.ids import strip_id
 from waybill.functions.text import wide_trim
 from waybill.schemas import SPAN
+from waybill.sources.sinks import shared_folder
 
 MAX_BLOCKS_PER_PAGE = 5000
 MAX_BLOCK_DEPTH = 8
@@ -107,12 +108,15 @@ def _last_segment(url: Column) -> Column:
 def normalize_blocks(raw: DataFrame, key_prefix: str, page_url_prefix: str) -> DataFrame:
     """Raw blocks (doc, block_id, parent_id, pos, path, depth, type, payload JSON, status) to
     normalized ones. One projection, no shuffle; types not known here become `unsupported`."""
-    p = F.try_parse_json(F.coalesce("payload", F.lit("{}")))
+    p = F.col("_p")
     text = lambda path: F.try_variant_get(p, path, "string")
     flag = lambda path: F.coalesce(F.try_variant_get(p, path, "boolean"), F.lit(False))
     rich = lambda path: richtext.normalize_spans(
         F.to_json(F.try_variant_get(p, path, "variant")), page_url_prefix, key_prefix
     )
+    parsed = raw.withColumn("_p", F.try_parse_json(F.coalesce("payload", F.lit("{}")))).withColumns(
+        {"_caption": rich("$.caption"), "_rich": rich("$.rich_text")}
+    )
     kind_of = F.col("type")
     kind = vocab.lookup(kind_of, BLOCK_KINDS, F.lit("unsupported"))
     is_file = kind_of.isin(*FILE_TYPES)
@@ -124,8 +128,8 @@ def normalize_blocks(raw: DataFrame, key_prefix: str, page_url_prefix: str) -> D
     bare = strip_id(F.col("block_id"))
     linked = F.when(text("$.type") == "page_id", strip_id(text("$.page_id")))
     page = F.when(kind_of == "child_page", bare).when(kind_of == "link_to_page", linked)
-    caption = richtext.plain_text(rich("$.caption"))
-    spans = F.when(is_file | is_link, rich("$.caption")).otherwise(rich("$.rich_text"))
+    caption = richtext.plain_text(F.col("_caption"))
+    spans = F.when(is_file | is_link, F.col("_caption")).otherwise(F.col("_rich"))
     title = (
         F.when(kind_of == "code", F.nullif(caption, F.lit("")))
         .when(is_link, url)
@@ -147,7 +151,7 @@ def normalize_blocks(raw: DataFrame, key_prefix: str, page_url_prefix: str) -> D
             richtext.normalize_spans(F.to_json(c), page_url_prefix, key_prefix), in_table=True
         ),
     )
-    return raw.select(
+    return parsed.select(
         "doc", "block_id", "parent_id", "pos", "path", "depth",
         kind.alias("kind"),
         F.when(kind_of == "unsupported", F.coalesce(text("$.block_type"), F.lit("unsupported")))
@@ -357,7 +361,7 @@ def _block_text(policy: Policy) -> Column:
         F.concat(F.lit("**"), wide_trim(inline), F.lit("**"))
     )
     icon = F.coalesce(F.concat(F.col("icon"), F.lit(" ")), F.lit(""))
-    code = richtext.plain_text(F.col("spans"))
+    code = F.coalesce("_code", F.lit(""))
     fence = richtext.fence_for(code, 3)
     raw_lang = F.lower(wide_trim(F.coalesce("language", F.lit(""))))
     lang = F.when(raw_lang == "plain text", F.lit("")).otherwise(F.regexp_replace(raw_lang, "[^a-z0-9_+#.-]", ""))
@@ -435,21 +439,30 @@ def render_documents(
     """Page to Markdown: one row per document.
 
     Works from the deepest level up: each level is written with column expressions and gathered to
-    its parents. The block budget bounds what a page (and so a group) can hold; pages beyond it are
-    named by ``over_budget``.
+    its parents. The prepared blocks are first written to the shared folder by depth, so each level
+    reads only its own rows and no plan grows with the depth. The block budget bounds what a page
+    (and so a group) can hold; pages beyond it are named by ``over_budget``.
     """
+    spark = blocks.sparkSession
     kept = block_budget(depth_limit(blocks, max_depth), max_blocks)
     place = Window.partitionBy("doc", "parent_id").orderBy("pos")
     same = Window.partitionBy("doc", "parent_id", F.col("kind") == "numberedListItem").orderBy("pos")
     run = F.row_number().over(place) - F.row_number().over(same)
     numbered = Window.partitionBy("doc", "parent_id", F.col("kind") == "numberedListItem", "_run").orderBy("pos")
-    base = (
+    prepared = (
         kept.withColumn("_run", run).withColumn("_ordinal", F.row_number().over(numbered))
         .withColumn("_inline", richtext.spans_markdown(F.col("spans")))
+        .withColumn("_code", F.when(F.col("kind") == "code", richtext.plain_text(F.col("spans"))))
+        .drop("spans", "path", "_run")
     )
+    home = shared_folder(spark, "blocks")
+    prepared.write.partitionBy("depth").parquet(home)
+    base = spark.read.parquet(home)
+    deepest = base.agg(F.max("depth")).first()[0] or 0
     empty = F.array().cast(PARTS)
+    text = _block_text(policy)
     below: DataFrame | None = None
-    for depth in range(max_depth, -1, -1):
+    for depth in range(deepest, -1, -1):
         level = base.where(F.col("depth") == depth)
         if below is None:
             level = level.withColumn("child_parts", empty)
@@ -458,11 +471,10 @@ def render_documents(
                 "child_parts", F.coalesce("child_parts", empty)
             )
         texts = level.withColumn("children_md", _siblings(F.col("child_parts"))).select(
-            "doc", "parent_id", F.struct("pos", "kind", _block_text(policy).alias("text"), "cells").alias("_part")
+            "doc", "parent_id", F.struct("pos", "kind", text.alias("text"), "cells").alias("_part")
         )
         gathered = F.array_sort(F.collect_list("_part")).cast(PARTS).alias("child_parts")
-        if depth == 0:
-            pages = texts.groupBy("doc").agg(gathered)
-            return pages.select("doc", wide_trim(_siblings(F.col("child_parts"))).alias("markdown"))
-        below = texts.groupBy("doc", F.col("parent_id").alias("block_id")).agg(gathered)
-    raise ValueError("max_depth must not be negative")
+        if depth > 0:
+            below = texts.groupBy("doc", F.col("parent_id").alias("block_id")).agg(gathered)
+    pages = texts.groupBy("doc").agg(gathered)
+    return pages.select("doc", wide_trim(_siblings(F.col("child_parts"))).alias("markdown"))

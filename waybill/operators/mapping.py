@@ -12,6 +12,7 @@ from waybill.functions.ids import user_key
 from waybill.functions.text import canon, matches_terms, wide_trim
 from waybill.functions.values import priority_from
 from waybill.operators.findings import outcome_words
+from waybill.session import config_frame
 
 START_NAME = r"(?i)(^|\W)(start|begin|from|kickoff)"
 DUE_NAME = r"(?i)(^|\W)(due|deadline|end|finish|target)"
@@ -212,10 +213,18 @@ def value_lookup(value_map: DataFrame, names: DataFrame, normalize: bool = True)
 def value_map_join(
     values: DataFrame, text: str, value_map: DataFrame, names: DataFrame, normalize: bool = True
 ) -> DataFrame:
-    """Map option text to the destination; null target means unmapped."""
+    """Map option text to the destination; null target means unmapped.
+
+    The canonical form is taken once per distinct text, and the cells join on the text as it is.
+    """
     lookup = value_lookup(value_map, names, normalize)
-    keyed = values.withColumn("_canon", canon(F.col(text), normalize))
-    return keyed.join(lookup, "_canon", "left").drop("_canon")
+    return values.join(_per_text(values, text, lookup, normalize), text, "left")
+
+
+def _per_text(values: DataFrame, text: str, lookup: DataFrame, normalize: bool) -> DataFrame:
+    """A lookup by canonical text as a lookup by the texts that occur."""
+    texts = values.select(text).where(F.col(text).isNotNull()).distinct()
+    return texts.withColumn("_canon", canon(F.col(text), normalize)).join(lookup, "_canon").drop("_canon")
 
 
 def value_map_validate(value_map: DataFrame, names: DataFrame, normalize: bool = True) -> DataFrame:
@@ -243,8 +252,8 @@ def suggest_status(unmapped: DataFrame, statuses: DataFrame) -> DataFrame:
     """For an unmapped option with a status group: the one status of that group's types, if there
     is exactly one. unmapped: option, group. statuses: name, type."""
     spark = unmapped.sparkSession
-    types = spark.createDataFrame(
-        [(g, t) for g, ts in vocab.STATUS_GROUP_TYPES.items() for t in ts], "_group string, type string"
+    types = config_frame(
+        spark, [(g, t) for g, ts in vocab.STATUS_GROUP_TYPES.items() for t in ts], "_group string, type string"
     )
     only = (
         types.join(statuses, "type").groupBy("_group")
@@ -275,10 +284,10 @@ def tag_match(rows: DataFrame, keys: list[str], tags: str, held: DataFrame) -> D
 def dropdown_match(cells: DataFrame, text: str, options: DataFrame, normalize: bool = True) -> DataFrame:
     """Option text to option id; a miss keeps the text. options: option_id, name, pos."""
     lookup = _by_canon(options, "name", "option_id", normalize)
-    joined = cells.withColumn("_canon", canon(F.col(text), normalize)).join(lookup, "_canon", "left")
+    joined = cells.join(_per_text(cells, text, lookup, normalize), text, "left")
     return joined.withColumn("option_id", F.col("_to")).withColumn(
         "fallback", F.when(F.col("_to").isNull(), F.col(text))
-    ).drop("_canon", "_to")
+    ).drop("_to")
 
 
 def option_difference(options: DataFrame, held: DataFrame, normalize: bool = True) -> DataFrame:

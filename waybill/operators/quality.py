@@ -77,11 +77,9 @@ def leak_scan(df: DataFrame, keys: list[str], names: dict[str, str] | None = Non
 
 def url_hosts(df: DataFrame, columns: list[str], allowed: DataFrame) -> DataFrame:
     """Distinct hosts mentioned anywhere in the columns, minus an allow-list (column host)."""
-    found = reduce(
-        DataFrame.unionByName,
-        [df.select(F.explode(F.regexp_extract_all(
-            F.col(c), F.lit(r"""(?i)\b([a-z][a-z0-9+.-]*://[^\s"'<>)\]]+)"""), F.lit(1))).alias("url")) for c in columns],
-    )
+    address = F.lit(r"""(?i)\b([a-z][a-z0-9+.-]*://[^\s"'<>)\]]+)""")
+    every = F.concat(*[F.coalesce(F.regexp_extract_all(F.col(c), address, F.lit(1)), F.array()) for c in columns])
+    found = df.select(F.explode(every).alias("url"))
     host = F.try_parse_url(F.col("url"), F.lit("HOST"))
     hosts = found.select(F.lower(host).alias("host")).where(F.col("host").isNotNull()).distinct()
     return hosts.join(allowed, "host", "left_anti")

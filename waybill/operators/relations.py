@@ -18,15 +18,17 @@ def resolve_relationships(edges: DataFrame, records: DataFrame, collections: Dat
     )
 
 
-def out_of_scope_relations(edges: DataFrame, records: DataFrame) -> DataFrame:
+def out_of_scope_relations(cells: DataFrame, records: DataFrame) -> DataFrame:
     """Per record and field: how many targets are outside the snapshot, and which.
 
-    The targets of one cell form one text, as the property table needs; distinct targets are
-    reduced before the shuffle.
+    cells: record, field_id, targets. The targets of one cell arrive as one row, which bounds the
+    text made of them.
     """
-    outside = edges.join(records.select(F.col("key").alias("to")), "to", "left_anti")
-    return outside.groupBy("from", "field").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("to")), ", ").alias("targets")
+    parts = cells.select("record", "field_id", F.posexplode("targets").alias("_pos", "_target"))
+    outside = parts.join(records.select(F.col("key").alias("_target")), "_target", "left_anti")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_target"))), lambda s: s["_target"])
+    return outside.groupBy("record", "field_id").agg(
+        F.count("*").alias("n"), F.array_join(ordered, ", ").alias("targets")
     )
 
 

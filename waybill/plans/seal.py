@@ -12,7 +12,7 @@ def _fold(hashes: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(hashes), ""), 256)
 
 
-def table_hash(table: DataFrame, row_json: Column, name: str, digits: int = 2) -> DataFrame:
+def table_hash(table: DataFrame, row_json: Column, name: str, digits: int = 3) -> DataFrame:
     """One row (name, hash) for a table.
 
     Each row is hashed from its canonical JSON. Equal rows are counted first, so hot duplicates

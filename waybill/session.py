@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -40,6 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="waybill-checkpoint-"))
 
 
+def config_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of configuration as a relation whose size the optimizer knows, so joins with it
+    are broadcast without a hint."""
+    kinds = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage.
 

@@ -142,43 +142,39 @@ def non_verified_items(t: Tables) -> DataFrame:
     return found.select("action_id", "label", "status", names.alias("failing"))
 
 
-def line_arrays(t: Tables) -> DataFrame:
-    """Lines of an order as one array cell."""
-    parts = t.lineitem.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.col("l_partkey").cast("string"))).alias("items")
-    )
-    k = F.col("l_orderkey")
+def array_cells(t: Tables) -> DataFrame:
+    """Each order as one array cell of zero to forty entries."""
+    k = F.col("o_orderkey")
     kind = vocab.lookup(k % 4, {0: "relation", 1: "people", 2: "rich_text", 3: "select"})
-    wide = F.when(k % 3 == 0, F.flatten(F.array_repeat("items", 10))).otherwise(F.col("items"))
-    return parts.select(
-        F.col("l_orderkey").alias("record"), F.lit("lines").alias("field_id"), kind.alias("source_type"),
-        wide.alias("items"), (k % 5 == 0).alias("has_more"),
+    entries = F.array_repeat(F.col("o_orderpriority"), (k % 41).cast("int"))
+    return t.orders.select(
+        k.alias("record"), F.lit("lines").alias("field_id"), kind.alias("source_type"),
+        entries.alias("items"), (k % 5 == 0).alias("has_more"),
     )
 
 
-LINE_ARRAYS = """arrays AS (
-  SELECT l_orderkey AS record, ['relation', 'people', 'rich_text', 'select'][l_orderkey % 4 + 1] AS source_type,
-    count(*) * CASE WHEN l_orderkey % 3 = 0 THEN 10 ELSE 1 END AS n, l_orderkey % 5 = 0 AS has_more
-  FROM lineitem GROUP BY l_orderkey)"""
+ARRAY_CELLS = """arrays AS (
+  SELECT o_orderkey AS record, ['relation', 'people', 'rich_text', 'select'][o_orderkey % 4 + 1] AS source_type,
+    o_orderkey % 41 AS n, o_orderkey % 5 = 0 AS has_more FROM orders)"""
 
 
 @query(
     "truncated_values",
-    with_(LINE_ARRAYS) + """
+    with_(ARRAY_CELLS) + """
 SELECT record, source_type FROM arrays WHERE (source_type <> 'select' AND n >= 25) OR (source_type = 'relation' AND has_more)""",
 )
 def truncated_values(t: Tables) -> DataFrame:
-    return cells.truncated_values(line_arrays(t)).select("record", "source_type")
+    return cells.truncated_values(array_cells(t)).select("record", "source_type")
 
 
 @query(
     "overlay_full_items",
-    with_(LINE_ARRAYS) + """
+    with_(ARRAY_CELLS) + """
 SELECT record, source_type, CASE WHEN record % 2 = 0 THEN n + 1 ELSE n END::INT AS n,
        source_type = 'relation' AND has_more AND record % 2 <> 0 AS truncated FROM arrays""",
 )
 def overlay_full_items(t: Tables) -> DataFrame:
-    partial = line_arrays(t)
+    partial = array_cells(t)
     full = partial.where(F.col("record") % 2 == 0).select(
         "record", "field_id", F.array_append("items", F.lit("last")).alias("items")
     )

@@ -287,7 +287,7 @@ def date_only_epoch(t: Tables) -> DataFrame:
     f"""SELECT event_id, strftime(timezone('{ZONE}', timezone('UTC', ts)), '%Y-%m-%d') AS day FROM events""",
 )
 def epoch_to_zoned_date(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = dates.epoch_ms(F.col("ts"))
     return t.events.select("event_id", dates.epoch_to_zoned_date(ms, ZONE).alias("day"))
 
 
@@ -296,7 +296,7 @@ def epoch_to_zoned_date(t: Tables) -> DataFrame:
     f"""SELECT event_id, (epoch_ms(timezone('{ZONE}', timezone('UTC', ts))) - epoch_ms(ts))::BIGINT AS offset_ms FROM events""",
 )
 def zone_offset_ms(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = dates.epoch_ms(F.col("ts"))
     return t.events.select("event_id", dates.zone_offset_ms(ms, ZONE).alias("offset_ms"))
 
 
@@ -345,7 +345,7 @@ def format_date_range(t: Tables) -> DataFrame:
        strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END AS iso FROM events""",
 )
 def epoch_to_iso(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    ms = dates.epoch_ms(F.col("ts")).cast("string")
     raw = F.when(F.col("event_id") % 7 == 0, F.concat(ms, F.lit(" ms"))).otherwise(ms)
     return t.events.select("event_id", dates.epoch_to_iso(raw).alias("iso"))
 
@@ -403,7 +403,7 @@ ADDRESS_SQL = r"""CASE page_id % 5 WHEN 1 THEN 'https://user:pw@' || regexp_repl
 
 @query(
     "valid_url",
-    r"""SELECT page_id, page_id % 5 IN (0, 4) AND regexp_matches(url, '^https?://[a-zA-Z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?$') AS valid FROM pages""",
+    r"""SELECT page_id, page_id % 5 IN (0, 3, 4) AND regexp_matches(url, '^https?://[a-zA-Z0-9.-]+(:[0-9]+)?([/?#][^ ]*)?$') AS valid FROM pages""",
 )
 def valid_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.valid_url(page_address()).alias("valid"))
@@ -472,21 +472,34 @@ NAME_SQL = "['password', 'api_key', 'session', 'bearer-token'][event_id % 4 + 1]
     f"""
 WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, {NAME_SQL} AS name FROM events)
 SELECT event_id, '{{' || CASE WHEN 'k' < name THEN '"k":"' || k || '","' || name || '":"' || v || '"'
-       ELSE '"' || name || '":"' || v || '","k":"' || k || '"' END || '}}' AS json
+       ELSE '"' || name || '":"' || v || '","k":"' || k || '"' END || '}}' AS json,
+  '{{"secret":"[REDACTED]","in":[{{"k":"' || k || '","' || name || '":"' || v || '"}}]}}' AS nested
 FROM (SELECT *, CASE WHEN event_id % 4 < 2 THEN '[REDACTED]' ELSE 'Bearer [REDACTED]' END AS v FROM e)""",
 )
 def scrub_struct(t: Tables) -> DataFrame:
+    flat = jsontext.canonical_map(secrets.scrub_map(props_map()))
+    nested = F.concat(F.lit('{"secret":{"a":1},"in":['), F.to_json(props_map()), F.lit("]}"))
     return t.events.select(
-        "event_id", jsontext.canonical_map(secrets.scrub_map(props_map())).alias("json")
+        "event_id", flat.alias("json"), secrets.scrub_json(nested).alias("nested")
     )
 
 
 @query(
     "find_secret_keys",
-    f"""SELECT event_id, {NAME_SQL} AS path FROM events WHERE event_id % 4 <> 2""",
+    f"""
+SELECT event_id, path, false AS too_deep FROM (
+  SELECT event_id, 'conf.' || {NAME_SQL} AS path FROM events WHERE event_id % 4 <> 2
+  UNION ALL SELECT event_id, 'list[1].auth_token' FROM events WHERE event_id % 3 = 0)""",
 )
 def find_secret_keys(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.explode(secrets.credential_keys(props_map())).alias("path"))
+    """Properties with a credential-like name one level down, and sometimes one inside a list."""
+    name = vocab.lookup(F.col("event_id") % 4, {0: "password", 1: "api_key", 2: "session", 3: "bearer-token"})
+    token = F.when(F.col("event_id") % 3 == 0, F.lit("auth_token")).otherwise(F.lit("note"))
+    document = F.concat(
+        F.lit('{"conf":{"'), name, F.lit('":'), "props", F.lit('},"list":[1,{"'), token, F.lit('":"x"}]}')
+    )
+    rows = t.events.select("event_id", document.alias("doc"))
+    return secrets.credential_paths(rows, "doc", ["event_id"], max_depth=4)
 
 
 @query(

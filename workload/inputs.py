@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waybill import vocab
 from waybill.operators import mapping as mp
 from waybill.operators import verify as vf
+from waybill.session import config_frame
 from workload.tables import Tables
 
 
@@ -23,20 +24,22 @@ def options(t: Tables) -> DataFrame:
 
 def value_map(t: Tables) -> DataFrame:
     """Configured value map (a few rows of configuration); one entry points nowhere."""
-    return t.spark.createDataFrame(
+    return config_frame(
+        t.spark,
         [
             ("priority", 0, "1-urgent", "Urgent"), ("priority", 1, "2 HIGH", "high"),
             ("priority", 2, "3-MEDIUM", "Normal"), ("priority", 3, "5-LOW", "low"),
             ("priority", 4, "4-NOT SPECIFIED", "whenever"), ("status", 0, "o", "Open"),
             ("status", 1, "F", "CLOSED"),
         ],
-        "field_id string, pos int, `from` string, `to` string",
+        "field_id string, pos int, from string, to string",
     )
 
 
 def statuses(t: Tables) -> DataFrame:
     """Names the destination knows (its inspection)."""
-    return t.spark.createDataFrame(
+    return config_frame(
+        t.spark,
         [
             ("status", 0, "open", "open"), ("status", 1, "Closed", "closed"),
             ("status", 2, "Doing", "custom"), ("priority", 0, "urgent", "p"),

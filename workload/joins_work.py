@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill import vocab
+from waybill.functions import dates
 from waybill.operators import cells, findings as fnd, mapping as mp, relations as rel, state
 from waybill.operators import verify as vf
 from waybill.plans import build, report
+from waybill.session import config_frame
 from workload.inputs import (
     CHECKPOINTS, ITEMS, MAPPED_OPTIONS, OPTIONS, checkpoints, items, mapped_options, options, planned, statuses,
     value_map,
@@ -60,7 +62,7 @@ SELECT 'part:' || p_type || ':' || p_brand AS key, CASE WHEN p_brand = 'Brand#1'
 def match_collections(t: Tables) -> DataFrame:
     config = t.part.select("p_type", "p_brand").distinct().where(F.col("p_brand") == "Brand#1").select(
         F.lit(0).alias("pos"), F.concat(F.lit(" part:"), "p_type", F.lit(":"), "p_brand").alias("source"), F.lit("list_key").alias("list_id")
-    ).unionByName(t.spark.createDataFrame([(1, " pro-MO ", "list_a"), (2, "brand#7", "list_b"), (3, "promo", "list_c")], "pos int, source string, list_id string"))
+    ).unionByName(config_frame(t.spark, [(1, " pro-MO ", "list_a"), (2, "brand#7", "list_b"), (3, "promo", "list_c")], "pos int, source string, list_id string"))
     return mp.match_collections(part_collections(t), config).select("key", "list_id")
 
 
@@ -94,7 +96,7 @@ def unselected_config(t: Tables) -> DataFrame:
 FROM part WHERE p_type <> 'PROMO' GROUP BY p_type, p_brand""",
 )
 def unmapped_collections(t: Tables) -> DataFrame:
-    config = t.spark.createDataFrame([(0, "promo", "list_a")], "pos int, source string, list_id string")
+    config = config_frame(t.spark, [(0, "promo", "list_a")], "pos int, source string, list_id string")
     return mp.unmapped_collections(mp.match_collections(part_collections(t), config))
 
 
@@ -275,30 +277,39 @@ def resolve_relationships(t: Tables) -> DataFrame:
     return done.groupBy(*done.columns).agg(F.count("*").alias("n"))
 
 
+def relation_cells(t: Tables) -> DataFrame:
+    """Each order points to one to five customers, counted on from its own."""
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("o_orderkey") % 5)
+    targets = F.transform(steps, lambda i: F.concat(F.lit("c"), F.col("o_custkey") + i * 13))
+    return t.orders.select(F.col("o_orderkey").alias("record"), F.lit("placed_by").alias("field_id"), targets.alias("targets"))
+
+
+RELATION_CELLS = """targets AS (
+  SELECT o_orderkey AS record, i AS pos, o_custkey + i * 13 AS target FROM orders, range(5) r(i) WHERE i <= o_orderkey % 5)"""
+
+
 @query(
     "out_of_scope_relations",
-    """
-WITH o AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)
-SELECT l_partkey AS "from", 'made_by' AS field, count(*)::BIGINT AS n, string_agg(DISTINCT 's' || l_suppkey, ', ' ORDER BY 's' || l_suppkey) AS targets FROM o GROUP BY l_partkey""",
+    with_(RELATION_CELLS) + """
+SELECT record, count(*)::BIGINT AS n, string_agg('c' || target, ', ' ORDER BY pos) AS targets FROM targets
+WHERE target NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY record""",
 )
 def out_of_scope_relations(t: Tables) -> DataFrame:
-    name = lambda c: F.concat(F.lit("s"), c)
-    edges = t.edges.select(F.col("from_id").alias("from"), F.lit("made_by").alias("field"), name("to_id").alias("to"))
-    records = t.supplier.where(F.col("s_suppkey") % 3 != 0).select(name("s_suppkey").alias("key"))
-    return rel.out_of_scope_relations(edges, records)
+    records = t.customer.where(F.col("c_custkey") % 3 != 0).select(F.concat(F.lit("c"), "c_custkey").alias("key"))
+    return rel.out_of_scope_relations(relation_cells(t), records).select("record", "n", "targets")
 
 
 @query(
     "relation_as_text",
-    """
-WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
-SELECT l_orderkey AS record, string_agg(coalesce(s_name, '(item outside this migration)'), ', ' ORDER BY l_suppkey) AS text
-FROM d LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 <> 0 GROUP BY l_orderkey""",
+    with_(RELATION_CELLS) + """
+SELECT record, string_agg(coalesce(c_name, '(item outside this migration)'), ', ' ORDER BY pos) AS text
+FROM targets LEFT JOIN customer ON c_custkey = target AND c_custkey % 3 <> 0 GROUP BY record""",
 )
 def relation_as_text(t: Tables) -> DataFrame:
-    targets = t.lineitem.groupBy(F.col("l_orderkey").alias("record")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("targets"))
-    records = t.supplier.where(F.col("s_suppkey") % 3 != 0).select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title"))
-    return rel.relation_as_text(targets.withColumn("field_id", F.lit("made_by")), records).select("record", "text")
+    records = t.customer.where(F.col("c_custkey") % 3 != 0).select(
+        F.concat(F.lit("c"), "c_custkey").alias("key"), F.col("c_name").alias("title")
+    )
+    return rel.relation_as_text(relation_cells(t), records).select("record", "text")
 
 
 @query(
@@ -467,7 +478,7 @@ SELECT action_id, CASE n WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'undec
   CASE WHEN n = 0 THEN true END AS confident FROM j""",
 )
 def reconcile_matches(t: Tables) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = dates.epoch_ms(F.col("ts"))
     candidates = t.events.where(F.col("event_type") != "view").select(
         F.col("user_id").alias("target"), F.col("event_type").alias("match_key"), F.col("event_id").alias("item_id"), ms.alias("created_ms")
     )
@@ -555,7 +566,7 @@ SELECT o_orderkey AS id, 'List ' || o_orderstatus AS list_name, CASE WHEN o_cust
 def task_preview(t: Tables) -> DataFrame:
     actions = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("list_id"), F.col("o_custkey").alias("assignee"),
-        F.col("o_orderpriority").alias("custom_field"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("due_ms"),
+        F.col("o_orderpriority").alias("custom_field"), dates.epoch_ms(F.col("o_orderdate")).alias("due_ms"),
     )
     lists = t.orders.select(F.col("o_orderstatus").alias("id"), F.concat(F.lit("List "), "o_orderstatus").alias("name")).distinct()
     people = t.customer.where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))

@@ -91,8 +91,8 @@ def assume_not_created(t: Tables) -> DataFrame:
 def fold_sql(name: str, row: str, source: str) -> str:
     return f"""{name}_r AS (SELECT sha256({row}) AS h FROM {source}),
 {name}_n AS (SELECT h, h || 'x' || count(*) AS m FROM {name}_r GROUP BY h),
-{name}_l AS (SELECT left(h, 4) AS b, sha256(string_agg(m, '' ORDER BY m)) AS h FROM {name}_n GROUP BY left(h, 4)),
-{name}_m AS (SELECT left(b, 2) AS b, sha256(string_agg(b || ':' || h, '' ORDER BY b || ':' || h)) AS h FROM {name}_l GROUP BY left(b, 2)),
+{name}_l AS (SELECT left(h, 6) AS b, sha256(string_agg(m, '' ORDER BY m)) AS h FROM {name}_n GROUP BY left(h, 6)),
+{name}_m AS (SELECT left(b, 3) AS b, sha256(string_agg(b || ':' || h, '' ORDER BY b || ':' || h)) AS h FROM {name}_l GROUP BY left(b, 3)),
 {name}_t AS (SELECT '{name}=' || sha256(string_agg(b || ':' || h, '' ORDER BY b || ':' || h)) AS t FROM {name}_m)"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.functions import dates
 from waybill.streaming import runlog, run
 from workload.inputs import TRANSITIONS
 from workload.registry import query
@@ -16,7 +17,7 @@ from workload.tables import LOG, Tables, with_
 def log_stream(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     return run.read_table_stream(t.spark, t.sf_dir, "events").select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("run_"), "user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"), F.concat(F.lit("run_"), "user_id").alias("run_id"), dates.instant(F.col("ts")).alias("ts"),
         F.when(kind == "purchase", F.lit("action_succeeded")).when(kind == "error", F.lit("action_failed"))
         .when(kind == "signup", F.lit("approved")).when(kind == "click", F.lit("in_flight"))
         .otherwise(F.lit("progress")).alias("type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.functions import text
+from waybill.functions import dates, text
 from waybill.operators import cells, findings as fnd, graph, mapping as mp, ordered, runlog, state
 from workload.inputs import RUN_STATUS
 from workload.registry import query
@@ -189,7 +189,7 @@ SELECT o_orderkey AS record,
 def date_conflicts(t: Tables) -> DataFrame:
     """A due-date and a start-date field per order; either may be a range, either may come first."""
     k = F.col("o_orderkey")
-    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    ms = dates.epoch_ms(F.col("o_orderdate"))
     cell = lambda target, pos, start, end: F.struct(
         F.lit(target).alias("target"), pos.alias("pos"), start.alias("start_ms"), end.alias("end_ms")
     )
