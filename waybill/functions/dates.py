@@ -7,29 +7,49 @@ from __future__ import annotations
 
 import zoneinfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill import vocab
 from waybill.functions.text import wide_trim
 
 DATE_SHAPE = (
     r"^(\d{4}-\d{2}-\d{2})"
     r"(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 # Not zones a calendar knows: files of the zone database itself.
 NOT_ZONES = {"localtime", "Factory", "posixrules", "leapseconds", "tzdata.zi"}
 
 
+# Zone names the JVM knows only under another name.
+JVM_ZONES = {"ROC": "Asia/Taipei"}
+
+
 def zone_names() -> list[str]:
     return sorted(zoneinfo.available_timezones() - NOT_ZONES)
 
 
+def jvm_zone(zone: Column | str) -> Column:
+    """A zone under the name the JVM knows it by."""
+    if isinstance(zone, str):
+        return F.lit(JVM_ZONES.get(zone, zone))
+    return vocab.lookup(zone, JVM_ZONES, zone)
+
+
 def is_valid_zone(zone: Column) -> Column:
     return F.coalesce(zone.isin(zone_names()), F.lit(False))
 
 
 def epoch_ms(wall: Column) -> Column:
-    """Milliseconds from the epoch to a TIMESTAMP_NTZ read as UTC, whatever the session zone."""
+    """Milliseconds from the epoch to a TIMESTAMP_NTZ read as UTC, whatever the session zone.
+
+    Under a UTC session the cast to an instant is exact and cheapest; under any other it would
+    apply the session's own offset, so the parts of the wall clock are added up instead.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in UTC_NAMES:
+        return F.unix_millis(wall.cast("timestamp"))
     days = F.unix_date(wall.cast("date")).cast("bigint")
     minutes = days * 1440 + F.hour(wall) * 60 + F.minute(wall)
     millis = F.floor(F.date_part(F.lit("SECOND"), wall) * 1000).cast("bigint")
@@ -44,8 +64,7 @@ def instant(wall: Column) -> Column:
 
 def zoned_to_epoch(wall: Column, zone: Column | str) -> Column:
     """Wall clock in a zone to an instant: a gap moves forward, an overlap takes the earlier one."""
-    named = F.lit(zone) if isinstance(zone, str) else zone
-    return epoch_ms(F.convert_timezone(named, F.lit("UTC"), wall))
+    return epoch_ms(F.convert_timezone(jvm_zone(zone), F.lit("UTC"), wall))
 
 
 def date_only_epoch(day: Column, zone: Column | str, hour: int = 4) -> Column:
@@ -55,10 +74,9 @@ def date_only_epoch(day: Column, zone: Column | str, hour: int = 4) -> Column:
 
 
 def _wall(ms: Column, zone: Column | str) -> Column:
-    named = F.lit(zone) if isinstance(zone, str) else zone
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     utc = F.timestamp_add("MILLISECOND", ms, start)
-    return F.convert_timezone(F.lit("UTC"), named, utc)
+    return F.convert_timezone(F.lit("UTC"), jvm_zone(zone), utc)
 
 
 def epoch_to_zoned_date(ms: Column, zone: Column | str) -> Column:

@@ -52,6 +52,16 @@ def config_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out over all cores before heavy per-row work, when it comes in fewer splits.
+
+    A table of any size has more splits than the cluster has cores and is returned as it is; only
+    a small one (one file, one row group) gains the extra exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage.
 

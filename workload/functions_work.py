@@ -54,7 +54,7 @@ FROM m""",
 )
 def clean_name(t: Tables) -> DataFrame:
     name = text.clean_name(F.col("text"))
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id",
         F.md5(name).alias("name_md5"),
         F.length(name).alias("name_length"),
@@ -78,7 +78,7 @@ def slug(t: Tables) -> DataFrame:
 )
 def normalize_markdown(t: Tables) -> DataFrame:
     padded = F.concat("text", F.lit("  \r\n\n\n"), "doc_id")
-    return t.documents.select("doc_id", F.md5(text.normalize_markdown(padded)).alias("md5"))
+    return t.spread("documents").select("doc_id", F.md5(text.normalize_markdown(padded)).alias("md5"))
 
 
 @query(
@@ -243,7 +243,7 @@ EPOCH_SQL = f"""CASE o_orderkey % 5 WHEN 1 THEN epoch_ms(o_orderdate) + 55800250
 )
 def parse_date(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    return dates.with_parsed_date(t.orders, date_text(), none, ZONE, "p").select(
+    return dates.with_parsed_date(t.spread("orders"), date_text(), none, ZONE, "p").select(
         "o_orderkey", "p.kind", "p.epoch_ms", "p.had_offset", "p.assumed_zone"
     )
 
@@ -314,7 +314,7 @@ FROM d""",
 def convert_date(t: Tables) -> DataFrame:
     named = F.when(F.col("o_orderkey") % 2 == 0, F.lit(ZONE))
     none = F.lit(None).cast("string")
-    return dates.with_converted_date(t.orders, date_text(), none, named, ZONE, "d").select(
+    return dates.with_converted_date(t.spread("orders"), date_text(), none, named, ZONE, "d").select(
         "o_orderkey", "d.start_ms", "d.start_timed", "d.invalid",
         F.array_join("d.codes", ",").alias("codes"),
     )
@@ -450,7 +450,7 @@ def scrub_sql(expr: str) -> str:
 
 @query("scrub_secrets", f"SELECT doc_id, md5({scrub_sql(SECRET_TEXT)}) AS scrubbed_md5, {scrub_sql(SECRET_TEXT)} <> ({SECRET_TEXT}) AS changed FROM documents")
 def scrub_secrets(t: Tables) -> DataFrame:
-    raw = t.documents.select("doc_id", secret_text().alias("raw"))
+    raw = t.spread("documents").select("doc_id", secret_text().alias("raw"))
     clean = secrets.scrub(F.col("raw"))
     return raw.select("doc_id", F.md5(clean).alias("scrubbed_md5"), (clean != F.col("raw")).alias("changed"))
 

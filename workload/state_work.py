@@ -99,8 +99,8 @@ def fold_sql(name: str, row: str, source: str) -> str:
 def plan_tables(t: Tables) -> list[DataFrame]:
     line = F.concat_ws("|", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"))
     return [
-        seal.table_hash(t.orders, canonical_order(), "orders"),
-        seal.table_hash(t.lineitem, line, "lines"),
+        seal.table_hash(t.spread("orders"), canonical_order(), "orders"),
+        seal.table_hash(t.spread("lineitem"), line, "lines"),
     ]
 
 
@@ -165,7 +165,7 @@ def leaky_documents(t: Tables) -> DataFrame:
         .when(shape == 3, F.lit(" at /home/me/x")).when(shape == 4, F.lit(" by robin.")).when(shape == 5, F.lit(" by robins."))
         .otherwise(F.lit(""))
     )
-    return t.documents.select("doc_id", F.concat("text", planted).alias("text"), "source")
+    return t.spread("documents").select("doc_id", F.concat("text", planted).alias("text"), "source")
 
 
 @query(

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill.session import spread
+
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -30,6 +32,10 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         raise AttributeError(name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for CPU-heavy rows: these test files hold one row group each."""
+        return spread(getattr(self, name))
+
     # -- snapshot ---------------------------------------------------------------------------------
     @cached_property
     def records(self) -> DataFrame:
@@ -148,7 +154,7 @@ class Tables:
 
         rank = F.col("l_linenumber") % 6
         outcome = vocab.lookup(rank, dict(enumerate(vocab.OUTCOMES)))
-        return self.lineitem.select(
+        return self.spread("lineitem").select(
             F.struct(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -260,7 +266,7 @@ class Tables:
             .when(F.col("conv_id") % 3 == 0, F.lit("meeting_notes"))
             .otherwise(F.lit("paragraph"))
         )
-        return self.conversations.select(
+        return self.spread("conversations").select(
             key_of("page", "conv_id").alias("doc"),
             F.concat(F.lit("b"), "conv_id", F.lit("-"), "turn").alias("block_id"),
             F.when(nested, parent_id).alias("parent_id"),

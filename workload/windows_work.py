@@ -169,7 +169,7 @@ SELECT doc_id, line::BIGINT AS line,
 )
 def first_difference(t: Tables) -> DataFrame:
     changed = F.replace("text", F.lit("\nE"), F.lit("\n\nX"))
-    found = text.with_first_difference(t.documents, F.col("text"), changed, "d")
+    found = text.with_first_difference(t.spread("documents"), F.col("text"), changed, "d")
     return found.select(
         "doc_id", "d.line", F.md5("d.expected").alias("expected_md5"), F.md5("d.actual").alias("actual_md5")
     )
