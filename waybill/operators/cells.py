@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import vocab
@@ -341,19 +341,28 @@ def custom_field_values(cells: DataFrame, targets: DataFrame, zone: str) -> Data
     )
 
 
-def row_cap(df: DataFrame, limit: int = vocab.DEFAULT_ROW_CAP) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` rows and a one-row report that says whether more were left unread.
+def row_cap(
+    df: DataFrame, bucket: Column, order: list[str], limit: int = vocab.DEFAULT_ROW_CAP
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` rows in order, and a one-row report of whether more were left unread.
 
-    The cap is the feature: it reports itself as incomplete and names the reason.
+    The cap is the feature: it reports itself as incomplete and names the reason. ``bucket`` is a
+    coarse, monotone form of the order (such as the day of the creation time): rows are counted
+    per bucket first, so only the buckets the cap reaches into are sorted.
     """
-    probe = df.limit(limit + 1)
-    seen = probe.agg(F.count("*").alias("_n"))
-    report = seen.select(
-        F.least("_n", F.lit(limit)).alias("rows"),
+    counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    # One row per bucket.
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = reached.where(F.col("_before") < limit).select("_bucket")
+    near = df.withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi").drop("_bucket")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    report = total.select(
+        F.least("_n", F.lit(limit)).cast("bigint").alias("rows"),
         (F.col("_n") > limit).alias("incomplete"),
         F.when(F.col("_n") > limit, F.lit("max_records")).alias("reason"),
     )
-    return df.limit(limit), report
+    return near.orderBy(*order).limit(limit), report
 
 
 def inspect_collections(records: DataFrame, fields: DataFrame) -> DataFrame:

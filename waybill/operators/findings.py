@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waybill import vocab
 from waybill.functions.text import matches_terms
-from waybill.operators.ordered import first_by, last_n_per_key
+from waybill.operators.ordered import first_by, group_apart, last_n_per_key
 
 IDENTITY = ["code", "outcome", "severity", "collection", "field", "message"]
 PRESERVED_NOT = ["lossy", "unsupported"]
@@ -228,10 +228,8 @@ def plan_level_findings(*lists: DataFrame) -> DataFrame:
 
 def first_owner(actions: DataFrame) -> DataFrame:
     """First action of each source entity, in plan order."""
-    owned = actions.where(F.col("source").isNotNull())
-    return owned.groupBy(F.col("source").alias("entity")).agg(
-        F.min_by("id", "seq").alias("owner")
-    )
+    owned = actions.where(F.col("source").isNotNull()).select(F.col("source").alias("entity"), "id", "seq")
+    return group_apart(owned, ["entity"], F.min_by("id", "seq").alias("owner"))
 
 
 def route_findings(

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.operators.ordered import global_rank
+from waybill.operators.ordered import global_rank, group_apart
 from waybill.session import materialize
 
 MAX_ROUNDS = 10_000
@@ -132,7 +132,7 @@ def sibling_order(children: DataFrame, mentions: DataFrame) -> DataFrame:
     last = F.lit(2**62)
     joined = children.join(first, ["parent", "key"], "left").withColumn("_pos", F.coalesce("_pos", last))
     ranked = global_rank(joined, [F.col(c) for c in ("parent", "_pos", "title", "key")], "_rank")
-    starts = ranked.groupBy("parent").agg(F.min("_rank").alias("_start"))
+    starts = group_apart(ranked, ["parent"], F.min("_rank").alias("_start"))
     return ranked.join(starts, "parent").withColumn(
         "ordinal", F.col("_rank") - F.col("_start") + 1
     ).drop("_rank", "_start", "_pos")

@@ -139,6 +139,17 @@ def first_by(df: DataFrame, keys: list[str], order: Column, keep: list[str]) ->
     return picked.select(*keys, "_first.*")
 
 
+def group_apart(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """An aggregate by ``keys`` that is about to be joined to rows where a key may be hot.
+
+    It groups by the keys as one struct, so its partitioning does not serve the join and the
+    planner shuffles its few rows again. Both sides of the join then come straight from a shuffle,
+    which is what the adaptive skew join needs to split the hot key over many tasks.
+    """
+    grouped = df.groupBy(F.struct(*keys).alias("_key")).agg(*aggregates)
+    return grouped.select("_key.*", *[c for c in grouped.columns if c != "_key"])
+
+
 def last_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each key. The rank filter is applied before the shuffle as well, so a
     hot key sends at most ``n`` rows per task."""

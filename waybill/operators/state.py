@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill import vocab
+from waybill.operators.ordered import group_apart
 
 FAILURES = ["failed", "ambiguous", "blocked"]
 
@@ -37,14 +38,15 @@ def fold_checkpoints(transitions: DataFrame, keys: list[str] | None = None) -> D
     Events: in_flight, succeeded, failed, ambiguous, blocked, pending (a reset). Success is final:
     later transitions change nothing. Attempts count the writes started before success, the
     in-flight time is the first since the last reset, the error the last since the last reset.
-    Two combinable aggregations with a join between them. The second groups by the key as one
-    struct, which the join's partitioning does not satisfy: the adaptive skew join is then free to
-    split a hot action over many tasks, each of which sends on one partial row.
+    Two combinable aggregations with a join between them. Neither shares the join's partitioning
+    (see ``group_apart``), so the adaptive skew join may split a hot action over many tasks, each
+    of which sends on one partial row.
     """
     keys = keys or ["run_id", "action_id"]
     event, seq = F.col("event"), F.col("seq")
     when = lambda e: F.when(event == e, seq)
-    marks = transitions.groupBy(*keys).agg(
+    marks = group_apart(
+        transitions, keys,
         F.min(when("succeeded")).alias("_done"),
         F.max(when("pending")).alias("_reset"),
         F.max_by(event, seq).alias("_last"),
@@ -55,13 +57,13 @@ def fold_checkpoints(transitions: DataFrame, keys: list[str] | None = None) -> D
     fresh = F.col("_reset").isNull() | (seq > F.col("_reset"))
     started = (event == "in_flight") & before
     failed = event.isin(*FAILURES) & fresh & F.col("_done").isNull()
-    whole = F.struct(*keys, "_done", "_last", "_dest").alias("_key")
-    folded = joined.groupBy(whole).agg(
+    folded = group_apart(
+        joined, [*keys, "_done", "_last", "_dest"],
         F.count_if(started).alias("attempts"),
         F.min(F.when(started & fresh & F.col("_done").isNull(), F.col("ts"))).alias("in_flight_since"),
         F.max_by("error_code", F.when(failed, seq)).alias("last_error_code"),
     )
-    return folded.select("_key.*", "attempts", "in_flight_since", "last_error_code").select(
+    return folded.select(
         *keys,
         F.when(F.col("_done").isNotNull(), F.lit("succeeded")).otherwise(F.col("_last")).alias("status"),
         "attempts", F.col("_dest").alias("destination_id"), "in_flight_since", "last_error_code",

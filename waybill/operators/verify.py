@@ -13,6 +13,7 @@ from waybill.functions.text import (
     canon, clip, normal_form, normalize_markdown, number_text, wide_trim, with_first_difference,
 )
 from waybill.functions.values import priority_from
+from waybill.operators.ordered import group_apart
 
 SNIPPET = 120
 CHECK = "struct<field:string,status:string,expected:string,actual:string,note:string>"
@@ -321,14 +322,12 @@ def reconcile_matches(attempts: DataFrame, candidates: DataFrame, complete: bool
     latest = Window.partitionBy("target", "match_key").orderBy(
         F.col("created_ms").desc(), F.col("item_id")
     )
-    top = (
-        candidates.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= 2)
-        .groupBy("target", "match_key")
-        .agg(
-            F.max(F.when(F.col("_n") == 1, F.col("created_ms"))).alias("_first_ms"),
-            F.max(F.when(F.col("_n") == 1, F.col("item_id"))).alias("_first_id"),
-            F.max(F.when(F.col("_n") == 2, F.col("created_ms"))).alias("_second_ms"),
-        )
+    top = group_apart(
+        candidates.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= 2),
+        ["target", "match_key"],
+        F.max(F.when(F.col("_n") == 1, F.col("created_ms"))).alias("_first_ms"),
+        F.max(F.when(F.col("_n") == 1, F.col("item_id"))).alias("_first_id"),
+        F.max(F.when(F.col("_n") == 2, F.col("created_ms"))).alias("_second_ms"),
     )
     floor = F.col("since_ms") - vocab.CLOCK_SKEW_SECONDS * 1000
     in_time = lambda c: F.coalesce(F.col(c) >= floor, F.lit(False))

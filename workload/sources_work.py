@@ -102,11 +102,14 @@ def incremental_windowed_read(t: Tables) -> DataFrame:
 
 @query(
     "capped_read",
-    """SELECT least(count(*), 50000)::BIGINT AS "rows", count(*) > 50000 AS incomplete, CASE WHEN count(*) > 50000 THEN 'max_records' END AS reason FROM lineitem""",
+    """
+SELECT * FROM (SELECT o_orderkey AS key, NULL::BIGINT AS "rows", NULL::BOOLEAN AS incomplete, NULL AS reason FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5000)
+UNION ALL SELECT NULL, least(count(*), 5000)::BIGINT, count(*) > 5000, CASE WHEN count(*) > 5000 THEN 'max_records' END FROM orders""",
 )
 def capped_read(t: Tables) -> DataFrame:
-    _, told = cells.row_cap(t.lineitem)
-    return told
+    kept, told = cells.row_cap(t.orders, F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"], 5000)
+    rows = kept.select(F.col("o_orderkey").alias("key"))
+    return rows.unionByName(told, allowMissingColumns=True)
 
 
 @query(
