@@ -12,7 +12,7 @@ from workload.tables import Tables
 
 MODULES = [
     "sources_work", "filters_work", "joins_work", "aggregates_work", "windows_work", "sorts_work",
-    "functions_work", "documents_work", "graph_work", "state_work", "quality_work", "streams_work",
+    "functions_work", "documents_work", "graph_work", "state_work", "quality_work", "streams_work", "whole_work",
 ]
 
 
