@@ -21,6 +21,7 @@ from waybill.operators import findings as fnd
 from waybill.operators import mapping as mp
 from waybill.operators import verify as vf
 from waybill.plans import build
+from waybill.sources.sinks import stored
 
 
 @dataclass(frozen=True)
@@ -112,10 +113,11 @@ def draft_cells(
     texts = ruled.where(F.col("target_kind").isin("status", "priority")).select("collection", "field_id", "name").where(
         F.col("name").isNotNull()
     ).distinct().withColumn("_canon", canon(F.col("name")))
-    by_text = (
+    by_text = stored(
         texts.join(_option_lookup(rules, statuses, value_map), ["collection", "field_id", "_canon"], "left")
         .join(_priority_lookup(rules, value_map), ["collection", "field_id", "_canon"], "left")
-        .select("collection", "field_id", "name", "status", F.coalesce("_mapped", priority_from(F.col("name"))).alias("priority"))
+        .select("collection", "field_id", "name", "status", F.coalesce("_mapped", priority_from(F.col("name"))).alias("priority")),
+        "options",
     )
     target = F.col("target_kind")
     joined = ruled.join(by_text, ["collection", "field_id", "name"], "left")
@@ -175,11 +177,14 @@ def plan_migration(
     """The plan's tables: rules, actions (with payload), findings, and the collections left out.
 
     snapshot: collections, fields, records, cells, and optionally documents (key, markdown). lists:
-    pos, source, list_id, name. A record's cells are brought together in one aggregation whose
-    lists are bounded by the declared fields.
+    pos, source, list_id, name. What follows from the configuration (matched collections, rules,
+    option texts) is worked out once and stored; everything keyed by record stays lazy. A record's
+    cells are brought together in one aggregation whose lists are bounded by the declared fields.
     """
-    matched = mp.match_collections(snapshot["collections"], lists.select("pos", "source", "list_id"))
-    rules = plan_rules(matched, snapshot["fields"], field_map, options)
+    matched = stored(
+        mp.match_collections(snapshot["collections"], lists.select("pos", "source", "list_id")), "matched"
+    )
+    rules = stored(plan_rules(matched, snapshot["fields"], field_map, options), "rules")
     drafts = draft_cells(snapshot["cells"], rules, statuses, value_map, options)
     of = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{t}_{c}")
     per_record = drafts.groupBy(F.col("record").alias("key")).agg(

@@ -16,6 +16,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table several outputs share, written once to the shared folder and read back.
+
+    Unlike a checkpoint the files have a known size, so a small one is broadcast when it is joined.
+    """
+    home = shared_folder(df.sparkSession, name)
+    df.write.parquet(home)
+    return df.sparkSession.read.schema(df.schema).parquet(home)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

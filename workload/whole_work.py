@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.plans import migrate
-from waybill.session import config_frame
+from waybill.session import config_frame, spread
 from workload.documents_work import ACT
 from workload.registry import query
 from workload.tables import COLLECTIONS, ID_MAP, PRICE_TEXT, RECORDS, Tables, with_
@@ -28,7 +28,7 @@ def snapshot_of(t: Tables) -> dict[str, DataFrame]:
         cell("ordered", "date", date=day), cell("price", "number", number=F.col("o_totalprice")),
     )
     title = F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Order\n"), "o_orderkey")).otherwise(F.col("title"))
-    records = t.records.select(
+    records = spread(t.records).select(
         "key", "collection", title.alias("title"), F.concat(F.lit("https://o.example/"), "o_orderkey").alias("url"), "created_at",
         "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
     )
