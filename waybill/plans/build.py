@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill import vocab
 from waybill.functions import urls
 from waybill.functions.ids import stable_id
 from waybill.functions.text import canon, clean_name, name_changed, wide_trim

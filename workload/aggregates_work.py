@@ -12,14 +12,13 @@ from waybill.operators import runlog, state
 from waybill.operators import documents as docs
 from waybill.operators import quality
 from waybill.operators import verify as vf
-from waybill.plans import build, summary
+from waybill.plans import summary
 from workload.inputs import (
-    CHECKPOINTS, ITEMS, MAPPED_OPTIONS, MAPPINGS, RUN_STATUS, TRANSITIONS, checkpoints, items,
-    mapped_options, mappings, run_status, value_map, statuses,
+    CHECKPOINTS, ITEMS, MAPPED_OPTIONS, MAPPINGS, RUN_STATUS, checkpoints, items, mapped_options, mappings, run_status,
 )
 from workload.registry import query
 from workload.tables import (
-    ACTIONS, COLLECTIONS, DESTINATION, FIELDS, FINDINGS, LOG, RAW_BLOCKS, RECORDS, SEQ, Tables, with_,
+    ACTIONS, COLLECTIONS, DESTINATION, FIELDS, FINDINGS, RAW_BLOCKS, RECORDS, SEQ, Tables, with_,
 )
 
 RANK = "CASE outcome " + " ".join(

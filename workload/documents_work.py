@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill import vocab
-from waybill.operators import cells, documents as docs, graph, ordered
+from waybill.operators import cells, documents as docs, graph
 from waybill.plans import build
-from workload.inputs import mappings
 from workload.registry import query
-from workload.tables import (
-    COLLECTIONS, EDGES, FIELDS, FINDINGS, ID_MAP, PAGE_TREE, PRICE_TEXT, RAW_BLOCKS, RECORDS, Tables, key_of, with_,
-)
+from workload.tables import EDGES, FINDINGS, PAGE_TREE, PRICE_TEXT, RAW_BLOCKS, RECORDS, Tables, key_of, with_
 
 
 def raw_pages(t: Tables) -> DataFrame:

@@ -13,8 +13,7 @@ from waybill.plans import summary
 from workload.inputs import ITEMS, MAPPINGS, items, mappings
 from workload.registry import query
 from workload.tables import (
-    ACTIONS, CELLS, COLLECTIONS, DESTINATION, FIELDS, FINDINGS, PAGE_TREE, PRICE_TEXT, RECORDS, SEQ, Tables,
-    key_of, with_,
+    COLLECTIONS, DESTINATION, FIELDS, FINDINGS, PAGE_TREE, PRICE_TEXT, RECORDS, SEQ, Tables, key_of, with_,
 )
 
 

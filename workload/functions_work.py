@@ -14,9 +14,7 @@ from waybill.operators import mapping as mp
 from waybill.operators import runlog
 from waybill.operators import verify as vf
 from workload.registry import query
-from workload.tables import (
-    CELLS, COLLECTIONS, DESTINATION, FIELDS, FINDINGS, LOG, RECORDS, Tables, key_of, with_,
-)
+from workload.tables import COLLECTIONS, DESTINATION, FIELDS, FINDINGS, LOG, RECORDS, Tables, key_of, with_
 
 WIDE = r"[\t\n\v\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MARKER = "waybill-key:"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.operators import graph
 from workload.registry import query
-from workload.tables import ACTIONS, EDGES, PAGE_TREE, Tables, key_of, with_
+from workload.tables import PAGE_TREE, Tables, with_
 
 
 def tree_actions(t: Tables) -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill import vocab
 from waybill.functions import dates
-from waybill.operators import cells, findings as fnd, mapping as mp, relations as rel, state
+from waybill.operators import cells, findings as fnd, mapping as mp, relations as rel
 from waybill.operators import verify as vf
 from waybill.plans import build, report
 from waybill.session import config_frame
 from workload.inputs import (
-    CHECKPOINTS, ITEMS, MAPPED_OPTIONS, OPTIONS, checkpoints, items, mapped_options, options, planned, statuses,
-    value_map,
+    CHECKPOINTS, ITEMS, MAPPED_OPTIONS, checkpoints, items, mapped_options, options, statuses, value_map,
 )
 from workload.registry import query
 from workload.tables import (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waybill.operators import cells, quality
 from workload.filters_work import payloads
 from workload.registry import query
-from workload.tables import ACTIONS, EDGES, FINDINGS, Tables, key_of, with_
+from workload.tables import ACTIONS, EDGES, Tables, with_
 
 
 def verdict_sql(name: str, violations: str) -> str:

@@ -11,11 +11,9 @@ from waybill.operators import cells, findings as fnd, mapping as mp, ordered, ru
 from waybill.operators import verify as vf
 from waybill.plans import build
 from workload.aggregates_work import AGGREGATE, RANK
-from workload.inputs import ITEMS, OPTIONS, items, options, statuses
+from workload.inputs import ITEMS, OPTIONS, items, options
 from workload.registry import query
-from workload.tables import (
-    ACTIONS, COLLECTIONS, DESTINATION, FIELDS, FINDINGS, LOG, RECORDS, Tables, key_of, with_,
-)
+from workload.tables import COLLECTIONS, DESTINATION, FIELDS, FINDINGS, LOG, RECORDS, Tables, with_
 
 
 @query(

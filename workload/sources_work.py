@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill import vocab
 from waybill.operators import cells, findings as fnd
 from waybill.plans import report
 from waybill.sources import sinks, snapshot, targets
 from workload.registry import query
-from workload.tables import (
-    ACTIONS, CELLS, COLLECTIONS, FIELDS, FINDINGS, ID_MAP, RECORDS, Tables, key_of, with_,
-)
+from workload.tables import ACTIONS, COLLECTIONS, FIELDS, FINDINGS, ID_MAP, RECORDS, Tables, with_
 
 
 @query(

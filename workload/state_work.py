@@ -11,7 +11,7 @@ from workload.functions_work import CANONICAL_ORDER_SQL, canonical_order
 from workload.inputs import CHECKPOINTS, TRANSITIONS, checkpoints, items, transitions
 from workload.joins_work import REPORT_ITEMS, report_items_of
 from workload.registry import query
-from workload.tables import ACTIONS, DESTINATION, ID_MAP, Tables, key_of, with_
+from workload.tables import ACTIONS, DESTINATION, Tables, with_
 
 
 def adopted_actions(t: Tables) -> DataFrame:

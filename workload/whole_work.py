@@ -9,7 +9,7 @@ from waybill.plans import migrate
 from waybill.session import config_frame, spread
 from workload.documents_work import ACT
 from workload.registry import query
-from workload.tables import COLLECTIONS, ID_MAP, PRICE_TEXT, RECORDS, Tables, with_
+from workload.tables import PRICE_TEXT, RECORDS, Tables, with_
 
 
 def snapshot_of(t: Tables) -> dict[str, DataFrame]:

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from waybill.functions import dates, text
 from waybill.operators import cells, findings as fnd, graph, mapping as mp, ordered, runlog, state
-from workload.inputs import RUN_STATUS
 from workload.registry import query
-from workload.tables import (
-    ACTIONS, COLLECTIONS, FIELDS, FINDINGS, LOG, PAGE_TREE, RECORDS, SEQ, Tables, key_of, with_,
-)
+from workload.tables import COLLECTIONS, FINDINGS, LOG, PAGE_TREE, RECORDS, SEQ, Tables, with_
 
 WIDTH = 1024  # events per chunk here; a cluster keeps the default of a million
 
