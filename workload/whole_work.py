@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.plans import migrate
 from waybill.session import config_frame, spread
+from waybill.sources.sinks import stored
 from workload.documents_work import ACT
 from workload.registry import query
 from workload.tables import PRICE_TEXT, RECORDS, Tables, with_
@@ -108,7 +109,7 @@ SELECT k AS source, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderkey
 )
 def migration_verification(t: Tables) -> DataFrame:
     """What the destination holds is the plan itself with known faults, written as another system would."""
-    actions = plan_of(t)["actions"]
+    actions = stored(plan_of(t)["actions"], "plan")  # a plan is saved before it is verified
     k = F.element_at(F.split("source", ":"), 3).cast("bigint")
     dest = F.concat(F.lit("d-"), k)
     id_map = actions.select("scope", F.col("idempotency_key").alias("source_key"), dest.alias("destination_id"))
