@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill.llm.decontaminate import find_phrases
+from waybill.llm.jaccard import jaccard_components
 from waybill.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +42,56 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
     )
+
+
+OP3_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrase AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[k : k + 9], ' ') AS g
+  FROM item, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s(k)
+  WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM phrase),
+place AS (
+  SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM plain, lengths, unnest(generate_series(1, len(w) - n + 1)) AS s(k)),
+found AS (SELECT doc_id, p.n, k, item FROM place p JOIN phrase USING (n, g)),
+words AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit
+  FROM (SELECT DISTINCT doc_id, n, k FROM found), unnest(generate_series(k, k + n - 1)) AS s(at)
+  GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM plain LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document holds of the benchmark."""
+    found = find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree to 80 percent."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
