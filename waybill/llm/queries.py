@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill.llm import chat, pseudo_likelihood, rollups
 from waybill.llm.decontaminate import find_phrases
+from waybill.llm.html_text import extract_pages
 from waybill.llm.jaccard import jaccard_components
 from waybill.llm.packing import pack_documents
+from waybill.llm.sharding import assign_shards
+from waybill.llm.storage import new_folder, stored
+from waybill.llm.syncmers import compare_edited
+from waybill.llm.toxicity import score_documents, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,8 +71,8 @@ place AS (
   FROM plain, lengths, unnest(generate_series(1, len(w) - n + 1)) AS s(k)),
 found AS (SELECT doc_id, p.n, k, item FROM place p JOIN phrase USING (n, g)),
 words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT DISTINCT doc_id, n, k FROM found), unnest(generate_series(k, k + n - 1)) AS s(at)
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT DISTINCT doc_id, n, k FROM found), unnest(generate_series(k, k + n - 1)) AS s(pos)
   GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
@@ -95,3 +101,121 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles agree to 80 percent."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, those the model could not learn from marked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_closed_syncmers")
+def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op1_pseudo_likelihood")
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = pseudo_likelihood.Vocabulary.of(docs)
+    return pseudo_likelihood.score_documents(docs, vocabulary, pseudo_likelihood.train(docs, vocabulary))
+
+
+OP6_SQL = r"""
+WITH counted AS (
+  SELECT source, lang,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z\x20\x09-\x0D]')) AS pieces
+  FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens
+FROM counted WHERE words >= 5 GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-1' AS tokenizer, count(*) AS docs, CAST(sum(pieces) AS BIGINT) AS tokens
+FROM counted WHERE words >= 5 GROUP BY source, lang
+"""
+
+
+@query("op6_token_rollups", OP6_SQL)
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after documents were added under two tokenizers, short ones deleted, one tokenizer's counts revised (every
+    digit a token), and two of the batches committed again."""
+    text = F.col("text")
+    counted = stored(
+        table(spark, sf_dir, "documents").select(
+            "source", "lang", rollups.words(text).alias("words"), rollups.pieces(text).alias("pieces"),
+            rollups.pieces_by_digit(text).alias("revised"),
+        ),
+        "token-counts",
+    )
+    by_word = counted.withColumn("tokenizer", F.lit("words-1")).withColumn("tokens", F.col("words"))
+    by_piece = counted.withColumn("tokenizer", F.lit("pieces-1")).withColumn("tokens", F.col("pieces"))
+    short, kept = F.col("words") < 5, F.col("words") >= 5
+    store = rollups.Rollup(spark, new_folder(spark, "rollup"))
+    store.commit("load-words", rollups.inserts(by_word))
+    store.commit("load-pieces", rollups.inserts(by_piece))
+    store.commit("retire-short", rollups.deletes(by_word.where(short).unionByName(by_piece.where(short))))
+    store.commit("revise-pieces", rollups.revisions(by_piece.where(kept), "pieces", "revised"))
+    store.commit("load-words", rollups.inserts(by_word))
+    store.commit("retire-short", rollups.deletes(by_word.where(short).unionByName(by_piece.where(short))))
+    return store.totals()
+
+
+# How a role is marked in each style of transcript; the last style marks no turn of an assistant.
+MARKER_STYLES = (
+    {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
+    {"system": "### Instruction\n", "user": "### Human:\n", "assistant": "### Answer:\n"},
+    {"system": "[SYSTEM] ", "user": "[USER] ", "assistant": "[BOT] "},
+    {"system": "<|system|> ", "user": "<|user|> ", "assistant": "<|assistant|> "},
+    {"system": "**Context**: ", "user": "Q: ", "assistant": ""},
+)
+
+
+@query("op8_chat_formatting")
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as transcripts in one of five styles, and their roles recovered from the lines alone.
+
+    The model is learned from conversations whose crc32(conv_id as text) is even; ``held_out`` marks the others.
+    """
+    rows = table(spark, sf_dir, "conversations")
+    style = F.pmod(F.crc32(F.concat(F.lit("style"), F.col("conv_id").cast("string")).cast("binary")), F.lit(len(MARKER_STYLES)))
+    marker = F.coalesce(*[
+        F.when((style == k) & (F.col("role") == role), F.lit(text)) for k, marks in enumerate(MARKER_STYLES) for role, text in marks.items()
+    ], F.lit(""))
+    parts = rows.select("conv_id", F.col("turn").alias("part"), "role", F.concat(marker, F.coalesce("text", F.lit(""))).alias("text"))
+    even = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0
+    parsed = chat.parse_transcripts(parts, chat.learn(parts.where(even)))
+    return parsed.withColumn("held_out", ~F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0, F.lit(False)))
+
+
+OP9_LIMIT = 1 << 20
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS bits,
+    CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes
+  FROM documents),
+p AS (SELECT doc_id, bytes, CAST(g AS INTEGER) AS depth, bits >> (32 - CAST(g AS INTEGER)) AS prefix FROM d, generate_series(0, 32) AS s(g)),
+size AS (SELECT depth, prefix, count(*) AS shard_rows, CAST(sum(bytes) AS BIGINT) AS shard_bytes FROM p GROUP BY depth, prefix),
+fit AS (
+  SELECT p.*, shard_rows, shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY p.depth) AS n
+  FROM p JOIN size USING (depth, prefix) WHERE shard_bytes <= {OP9_LIMIT} OR p.depth = 32)
+SELECT doc_id, bytes, depth, prefix, right(lpad(bin(prefix), 32, '0'), depth) AS shard, shard_rows, shard_bytes,
+  shard_bytes > {OP9_LIMIT} AS oversized
+FROM fit WHERE n = 1
+"""
+
+
+@query("op9_extendible_sharding", OP9_SQL)
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, none above one MiB of text unless a single document is."""
+    return assign_shards(table(spark, sf_dir, "documents"), OP9_LIMIT)
