@@ -1,6 +1,6 @@
 """Main text of web pages by consensus of their hosts.
 
-Each page scores its containers and votes for the generalised tag-class path of the best ones; votes are added up per
+Each page scores its containers and votes for the generalised tag-class path of the best one; votes are added up per
 host, and every page is read again from the path that its host prefers.
 """
 
@@ -230,11 +230,16 @@ def blocks(html: str | None, path: str | None) -> list[str] | None:
     return out if found else None
 
 
+def best_path(html: str | None) -> tuple[str, float] | None:
+    """The path that a page votes for, with its score; the larger path of equals."""
+    return max(scored_paths(html), key=lambda x: (x[1], x[0]), default=None)
+
+
 def main_text(html: str | None, path: str | None) -> str:
     """The text below the host's path, or below the page's own best one where that path is missing or empty."""
     found = blocks(html, path) if path else None
     if not found:
-        own = max(scored_paths(html), key=lambda x: (x[1], x[0]), default=None)
+        own = best_path(html)
         found = blocks(html, own[0]) if own else None
     return "\n".join(found or [])
 
@@ -245,11 +250,11 @@ VOTES_ARROW = pa.schema([("host", pa.string()), ("path", pa.string()), ("score",
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [
-            (host, path, score)
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for path, score in scored_paths(html.as_py())
-        ]
+        rows = []
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            best = best_path(html.as_py())
+            if best:
+                rows.append((host, *best))
         host, path, score = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays(
             [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], schema=VOTES_ARROW
@@ -257,13 +262,15 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the highest sum of scores over all pages of a host, the smaller one of equals.
+    """(host, path): the path with most votes over all pages of a host; of equals the one with the higher scores.
 
-    Votes are added up before they are shuffled, so a host with a third of all pages is no larger than others.
+    Each page votes for its best path. Votes are added up before they are shuffled, so a host with a third of all pages is no larger than others.
     """
-    votes = pages.select("host", "html").mapInArrow(_vote, VOTES).groupBy("host", "path").agg(F.sum("score").alias("score"))
+    votes = pages.select("host", "html").mapInArrow(_vote, VOTES).groupBy("host", "path").agg(
+        F.count("*").alias("votes"), F.sum("score").alias("score")
+    )
     # Sums of floats depend on their order; equal ones must stay equal.
-    ranked = F.struct(F.round("score", 4).alias("score"), F.col("path"))
+    ranked = F.struct("votes", F.round("score", 4).alias("score"), F.col("path"))
     return votes.groupBy("host").agg(F.max(ranked)["path"].alias("path"))
 
 

@@ -97,7 +97,9 @@ def write_shards(docs: DataFrame, limit_bytes: int, path: str, key: str = "doc_i
     buckets = directory(sized, limit_bytes)
     depths = [r.depth for r in buckets.select("depth").distinct().collect()]
     probes = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("_bits"), F.lit(d)).alias("prefix")) for d in depths])
-    named = buckets.select(F.struct("depth", "prefix").alias("_probe"), F.expr("right(lpad(bin(prefix), 32, '0'), depth)").alias("shard"))
+    # A letter in front keeps the bits of a folder's name from being read as a number.
+    name = F.expr("concat('s', right(lpad(bin(prefix), 32, '0'), depth))")
+    named = buckets.select(F.struct("depth", "prefix").alias("_probe"), name.alias("shard"))
     placed = rows.withColumn("_probe", F.explode(probes)).join(named, "_probe").drop("_probe", "_bits")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
     return buckets

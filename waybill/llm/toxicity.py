@@ -35,7 +35,7 @@ WORD = re.compile(r"[^\W_]+")
 DISGUISED = re.compile(
     r"[0-9@$!|]++[^\W\d_]++(?:[0-9@$!|*+.\-_]++[^\W\d_]++)*+|(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*+.\-_]++[^\W\d_]++)++"
 )
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}+[^\W\d_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 DIGIT_INSIDE = re.compile(r"[^\W\d_][0-9@$][^\W\d_]")
