@@ -180,6 +180,21 @@ def test_graph_waves_cycles_and_closures(frame):
     assert {r.id for r in graph.cycle_check(nodes, deps).collect()} == {"x", "y", "e"}
     actions = frame([("a", "failed"), ("b", "pending"), ("c", "succeeded"), ("d", "pending"), ("e", "pending"), ("x", "pending"), ("y", "pending")], "id string, status string")
     assert {r.id for r in graph.blocked_closure(actions, deps).collect()} == {"b"}
+    gone = frame([("a", "gone"), ("b", "a")], "action_id string, depends_on string")
+    assert {(r.id, r.level) for r in graph.dependency_levels(nodes.where("id in ('a', 'b')"), gone).collect()} == {("a", 0), ("b", 1)}
+    assert graph.cycle_check(nodes, gone).count() == 0 and graph.missing_dependencies(nodes, gone).count() == 1
+
+
+def test_deep_trees_and_cycles_lose_no_page(frame):
+    chain = [(f"p{k:03}", f"p{k - 1:03}" if k else None, "t", 0) for k in range(70)]
+    pages = frame([*chain, ("x", "y", "t", 0), ("y", "x", "t", 0), ("z", "y", "t", 0), ("orphan", "nowhere", "t", 1)], "key string, parent string, title string, pos bigint")
+    flat = {r.key: r.depth for r in graph.flatten_pages(pages).collect()}
+    assert flat == {f"p{k:03}": k for k in range(70)} | {"x": None, "y": None, "z": None, "orphan": 0}
+    order = [r.key for r in graph.tree_emit_order(pages).orderBy("position").collect()]
+    assert order == [f"p{k:03}" for k in range(70)] + ["orphan", "x", "y", "z"]
+    links = pages.where("key like 'p%'").select("parent", "key", "pos").where("parent is not null")
+    read, left = graph.crawl_tree(pages.where("key = 'p000'").select("key", "pos"), links, max_pages=100)
+    assert read.count() == 70 and left.count() == 0
 
 
 def test_crawl_stops_at_the_limit_and_names_the_rest(frame):

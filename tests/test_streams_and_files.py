@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,10 +23,14 @@ def files(spark, tmp_path, rows, schema, parts):
     )
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_state_survives_batches(spark, tmp_path, parts):
-    """The streamed state equals the batch fold, however the log is cut into batches."""
+@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("seed", [None, 5])
+def test_state_survives_batches(spark, tmp_path, parts, seed):
+    """The streamed state equals the batch fold, however the log is cut into batches, and in whatever order it comes."""
     rows = [("r", f"a{i % 3}", i, KINDS[(i * 5 + i // 7) % 8]) for i in range(40)]
+    rows += [("q", "late", 1, "in_flight"), ("q", "late", 5, "failed"), ("q", "late", 3, "succeeded"), ("q", "late", 4, "in_flight")]
+    if seed:
+        random.Random(seed).shuffle(rows)
     schema = "run_id string, action_id string, seq bigint, event string"
     stream = files(spark, tmp_path, rows, schema, parts)
     got = run.drain_changes(runlog.checkpoint_state(stream), "t", ["run_id", "action_id"])
@@ -46,13 +51,17 @@ def test_breaker_counts_across_batches(spark, tmp_path, parts):
     assert sorted(r.seq for r in got.collect()) == [7, 16]
 
 
-def test_late_rows_are_dropped_and_repeats_kept_once(spark, tmp_path):
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_first_mapping_holds_for_good(spark, tmp_path, parts):
     start = dt.datetime(2026, 1, 1)
     at = lambda s: start + dt.timedelta(seconds=s)
-    rows = [("k", "s", at(0)), ("k", "s", at(10)), ("j", "s", at(600)), ("k", "t", at(601))]
-    stream = files(spark, tmp_path, rows, "source_key string, scope string, ts timestamp", 2)
-    got = run.drain(runlog.id_map_stream(stream), "m")
-    assert sorted((r.source_key, r.scope) for r in got.collect()) == [("j", "s"), ("k", "s"), ("k", "t")]
+    rows = [
+        ("k", "s", "d1", at(0)), ("k", "s", "d1", at(10)), ("j", "s", "d2", at(600)), ("k", "t", "d3", at(601)), ("k", "s", "d4", at(90_000)),
+    ]
+    stream = files(spark, tmp_path, rows, "source_key string, scope string, destination_id string, ts timestamp", parts)
+    built, conflicts = run.drain_id_map(stream, "m")
+    assert sorted(tuple(r) for r in built.select("source_key", "scope", "destination_id").collect()) == [("j", "s", "d2"), ("k", "s", "d1"), ("k", "t", "d3")]
+    assert [(r.source_key, r.destination_id, r.mapped_to) for r in conflicts.collect()] == [("k", "d4", "d1")]
 
 
 # -- files -----------------------------------------------------------------------------------------------

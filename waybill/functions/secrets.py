@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from waybill.session import materialize
+
 MASK = "[REDACTED]"
 # Address parameters that carry a credential.
 SENSITIVE_PARAMETERS = (
@@ -26,6 +29,7 @@ SCRUB_RULES = [
     (rf"""(?i)([?&](?:{SENSITIVE_PARAMETERS})=)[^&\s"'<>]+""", f"$1{MASK}"),
     (r"(?i)(https?://)[^/\s:@]+:[^/\s@]+@", f"$1{MASK}@"),
 ]
+# Names of members whose value is a secret, and parts of names that look like one.
 SENSITIVE_KEY = (
     r"(?i)^(authorization|token|access_?token|refresh_?token|api_?key|secret|password|cookie|"
     r"signature)$"
@@ -69,65 +73,66 @@ def credential_keys(values: Column) -> Column:
     return F.filter(F.map_keys(values), lambda k: k.rlike(CREDENTIAL_KEY))
 
 
-def credential_paths(df: DataFrame, column: str, keys: list[str], max_depth: int = 8) -> DataFrame:
+def credential_paths(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Paths of keys that look like credentials anywhere in a JSON document, e.g. `a.b[0].token`.
 
-    One level of members is laid out per step, inside the row and without a shuffle; a document
-    nested deeper than ``max_depth`` is reported by the path where the search stopped, marked
-    `too_deep`.
+    The members of one level are laid out per round, and the next round reads only those that hold members themselves,
+    so the source is read once and there are as many rounds as the deepest document has levels.
     """
     tvf = df.sparkSession.tvf
-    level = df.select(*keys, F.try_parse_json(column).alias("_v"), F.lit("").alias("_path"))
-    found: DataFrame | None = None
-    for depth in range(max_depth + 1):
-        nested = level.where(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)"))
-        if depth == max_depth:
-            hits = nested.select(*keys, F.col("_path").alias("path"), F.lit(True).alias("too_deep"))
-        else:
-            members = nested.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
-            named = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
-            here = F.when(F.col("key").isNull(), F.concat("_path", F.lit("["), F.col("pos"), F.lit("]"))).otherwise(named)
-            level = members.select(*keys, F.col("value").alias("_v"), here.alias("_path"), F.col("key").alias("_key"))
-            hits = level.where(F.col("_key").rlike(CREDENTIAL_KEY)).select(
-                *keys, F.col("_path").alias("path"), F.lit(False).alias("too_deep")
-            )
-        found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def _scrub_member(value, depth: int = 0):
-    if depth > 20:
+    holds = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
+    level = df.select(*keys, F.try_parse_json(column).alias("_v"), F.lit("").alias("_path")).where(holds)
+    found: list[DataFrame] = []
+    while True:
+        members = level.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
+        named = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
+        here = F.when(F.col("key").isNull(), F.concat("_path", F.lit("["), F.col("pos"), F.lit("]"))).otherwise(named)
+        members = members.select(*keys, F.col("value").alias("_v"), here.alias("_path"), F.col("key").alias("_key"))
+        members = materialize(members.where(F.col("_key").rlike(CREDENTIAL_KEY) | holds))
+        found.append(members.where(F.col("_key").rlike(CREDENTIAL_KEY)).select(*keys, F.col("_path").alias("path")))
+        level = members.where(holds)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+# A string of serialized JSON, and the colon that makes it a member's name.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*+"(:?)')
+_RULES = [(re.compile(p), r.replace("$1", r"\1")) for p, r in SCRUB_RULES]
+_SENSITIVE = re.compile(SENSITIVE_KEY)
+
+
+def _blanked(members: list[tuple[str, object]]) -> dict[str, object]:
+    """The members of one object, which the parser calls from the innermost object outwards."""
+    return {name: MASK if _SENSITIVE.match(name) else value for name, value in members}
+
+
+def _scrubbed(found: re.Match) -> str:
+    if found[1]:
+        return found[0]
+    text = json.loads(found[0])
+    clean = text
+    for pattern, replacement in _RULES:
+        clean = pattern.sub(replacement, clean)
+    return found[0] if clean == text else json.dumps(clean, ensure_ascii=False)
+
+
+def _scrubbed_document(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        kept = json.loads(text, object_pairs_hook=_blanked)
+        plain = json.dumps(kept, ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
         return MASK
-    if isinstance(value, str):
-        for pattern, replacement in _PYTHON_RULES:
-            value = pattern.sub(replacement, value)
-        return value
-    if isinstance(value, list):
-        return [_scrub_member(v, depth + 1) for v in value]
-    if isinstance(value, dict):
-        hide = _PYTHON_SENSITIVE.match
-        return {k: MASK if hide(k) else _scrub_member(v, depth + 1) for k, v in value.items()}
-    return value
-
-
-_PYTHON_RULES = [(re.compile(p), r.replace("$1", r"\1")) for p, r in SCRUB_RULES]
-_PYTHON_SENSITIVE = re.compile(SENSITIVE_KEY)
+    return _STRING.sub(_scrubbed, plain)
 
 
 @F.pandas_udf(StringType())
 def scrub_json(documents: pd.Series) -> pd.Series:
-    """Nested JSON text with every string scrubbed and values under sensitive keys blanked.
+    """Nested JSON text with every string scrubbed and values under sensitive keys blanked, at any depth.
 
-    Spark has no recursive expression, so this one runs in Arrow batches; flat maps use
-    ``scrub_map``. Text that is not JSON is blanked as a whole.
+    Objects are blanked while they are parsed; strings are scrubbed in the serialized text, from end to end. Spark has
+    no expression that rewrites nested values of unknown depth, so this runs in Arrow batches; flat maps use
+    ``scrub_map``. Text that is not JSON, or too deeply nested for the parser, is blanked as a whole.
     """
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            return json.dumps(_scrub_member(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return MASK
-
-    return documents.map(one)
+    return documents.map(_scrubbed_document)

@@ -121,7 +121,7 @@ def priority_from(value: Column) -> Column:
     """1 to 4 from a number, numeric text or a name; null for anything else."""
     number = wide_trim(value).try_cast("double")
     whole = number == F.floor(number)
-    named = vocab.lookup(canon(value, normalize=False), vocab.PRIORITY_NAMES)
+    named = vocab.lookup(canon(value), vocab.PRIORITY_NAMES)
     in_range = F.when(number.isin(1.0, 2.0, 3.0, 4.0), number.cast("int"))
     return F.when(whole, in_range).otherwise(named)
 
@@ -175,15 +175,11 @@ def with_computed_display(df: DataFrame, computed_type: str, payload: str, out:
         display, complete = single, kind.isNotNull()
     else:
         items = F.try_variant_get(p, "$.array", "array<variant>")
-        parts = F.filter(F.transform(F.slice(items, 1, 20), _item_text), lambda t: t != "")
+        parts = F.filter(F.transform(items, _item_text), lambda t: t != "")
         broken = kind.isNull() | kind.isin("incomplete", "unsupported")
         listed = F.coalesce(F.array_join(parts, ", "), F.lit(""))
         display = F.when(~broken, F.when(kind == "array", listed).otherwise(single))
-        complete = (
-            F.when(broken, F.lit(False))
-            .when(kind == "array", F.coalesce(F.size(items), F.lit(0)) <= 20)
-            .otherwise(F.lit(True))
-        )
+        complete = ~broken
     shown = F.struct(display.alias("display"), complete.alias("complete"))
     return typed.withColumn(out, shown).drop("_kind", "_member")
 

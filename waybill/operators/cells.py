@@ -314,7 +314,7 @@ def custom_field_values(cells: DataFrame, targets: DataFrame, zone: str) -> Data
         F.when((target == "date") & (kind == "date"), plain), none, none, zone, "_date",
     )
     option_of = lambda name: F.get(
-        F.filter("options", lambda o: o["canon"] == canon(name, normalize=False)), F.lit(0)
+        F.filter("options", lambda o: o["canon"] == canon(name)), F.lit(0)
     )["id"]
     chosen = option_of(plain)
     valid = (
@@ -342,14 +342,18 @@ def custom_field_values(cells: DataFrame, targets: DataFrame, zone: str) -> Data
 
 
 def row_cap(
-    df: DataFrame, bucket: Column, order: list[str], limit: int = vocab.DEFAULT_ROW_CAP
+    df: DataFrame, bucket: Column, order: list[str], limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The first ``limit`` rows in order, and a one-row report of whether more were left unread.
 
     The cap is the feature: it reports itself as incomplete and names the reason. ``bucket`` is a
     coarse, monotone form of the order (such as the day of the creation time): rows are counted
-    per bucket first, so only the buckets the cap reaches into are sorted.
+    per bucket first, so only the buckets the cap reaches into are sorted. Without a limit all rows
+    are read.
     """
+    if limit is None:
+        whole = df.agg(F.count("*").alias("rows"), F.lit(False).alias("incomplete"), F.lit(None).cast("string").alias("reason"))
+        return df, whole
     counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     # One row per bucket.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

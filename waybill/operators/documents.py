@@ -14,7 +14,6 @@ from waybill.functions.text import wide_trim
 from waybill.schemas import SPAN
 from waybill.sources.sinks import shared_folder
 
-MAX_BLOCKS_PER_PAGE = 5000
 MAX_BLOCK_DEPTH = 8
 
 # Raw block type -> kind; anything else is `unsupported`.
@@ -195,10 +194,16 @@ def block_access_findings(raw: DataFrame) -> DataFrame:
 
 
 def depth_limit(blocks: DataFrame, max_depth: int = MAX_BLOCK_DEPTH) -> DataFrame:
+    """Blocks down to a depth, when a page is read; ``over_depth`` names the pages that have more."""
     return blocks.where(F.col("depth") <= max_depth)
 
 
-def block_budget(blocks: DataFrame, max_blocks: int = MAX_BLOCKS_PER_PAGE) -> DataFrame:
+def over_depth(blocks: DataFrame, max_depth: int = MAX_BLOCK_DEPTH) -> DataFrame:
+    deep = blocks.where(F.col("depth") > max_depth).groupBy("doc").agg(F.count("*").alias("blocks"))
+    return deep.withColumn("code", F.lit("BLOCK_DEPTH_LIMIT"))
+
+
+def block_budget(blocks: DataFrame, max_blocks: int) -> DataFrame:
     """The first blocks of each page, in page order. The budget is the feature; pages over it are
     named by ``over_budget``. The rank filter runs before the shuffle too, so a page that holds a
     third of all blocks sends at most the budget from each task."""
@@ -206,7 +211,7 @@ def block_budget(blocks: DataFrame, max_blocks: int = MAX_BLOCKS_PER_PAGE) -> Da
     return blocks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_blocks).drop("_n")
 
 
-def over_budget(blocks: DataFrame, max_blocks: int = MAX_BLOCKS_PER_PAGE) -> DataFrame:
+def over_budget(blocks: DataFrame, max_blocks: int) -> DataFrame:
     counted = blocks.groupBy("doc").agg(F.count("*").alias("blocks"))
     return counted.where(F.col("blocks") > max_blocks).withColumn("code", F.lit("PAGE_BLOCK_BUDGET"))
 
@@ -433,24 +438,22 @@ PARTS = "array<struct<pos:int,kind:string,text:string,cells:array<string>>>"
 
 
 def render_documents(
-    blocks: DataFrame, policy: Policy = Policy(), max_depth: int = MAX_BLOCK_DEPTH,
-    max_blocks: int = MAX_BLOCKS_PER_PAGE,
+    blocks: DataFrame, policy: Policy = Policy()
 ) -> DataFrame:
     """Page to Markdown: one row per document.
 
     Works from the deepest level up: each level is written with column expressions and gathered to
     its parents. The prepared blocks are first written to the shared folder by depth, so each level
-    reads only its own rows and no plan grows with the depth. The block budget bounds what a page
-    (and so a group) can hold; pages beyond it are named by ``over_budget``.
+    reads only its own rows and no plan grows with the depth. Rendering leaves no block out: limits
+    belong to reading (``depth_limit``, ``block_budget``), where what they leave out is named.
     """
     spark = blocks.sparkSession
-    kept = block_budget(depth_limit(blocks, max_depth), max_blocks)
     place = Window.partitionBy("doc", "parent_id").orderBy("pos")
     same = Window.partitionBy("doc", "parent_id", F.col("kind") == "numberedListItem").orderBy("pos")
     run = F.row_number().over(place) - F.row_number().over(same)
     numbered = Window.partitionBy("doc", "parent_id", F.col("kind") == "numberedListItem", "_run").orderBy("pos")
     prepared = (
-        kept.withColumn("_run", run).withColumn("_ordinal", F.row_number().over(numbered))
+        blocks.withColumn("_run", run).withColumn("_ordinal", F.row_number().over(numbered))
         .withColumn("_inline", richtext.spans_markdown(F.col("spans")))
         .withColumn("_code", F.when(F.col("kind") == "code", richtext.plain_text(F.col("spans"))))
         .drop("spans", "path", "_run")

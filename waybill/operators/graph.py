@@ -7,6 +7,7 @@ executor does not restart the loop. A round touches only rows that are still liv
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from waybill.operators.ordered import global_rank, group_apart
 from waybill.session import materialize
 
-MAX_ROUNDS = 10_000
-
 
 def duplicate_actions(actions: DataFrame) -> DataFrame:
     return actions.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -29,9 +28,11 @@ def missing_dependencies(actions: DataFrame, deps: DataFrame) -> DataFrame:
 def _peel(nodes: DataFrame, deps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Waves of nodes whose dependencies are all in earlier waves, and what is left over."""
     live = materialize(nodes.select("id").distinct())
-    edges = materialize(deps.select("action_id", "depends_on").distinct())
+    # A dependency on something outside the plan blocks nothing here; ``missing_dependencies`` names it.
+    inside = nodes.select(F.col("id").alias("depends_on")).distinct()
+    edges = materialize(deps.select("action_id", "depends_on").distinct().join(inside, "depends_on", "left_semi"))
     waves: list[DataFrame] = []
-    for level in range(MAX_ROUNDS):
+    for level in count():
         waiting = edges.select(F.col("action_id").alias("id")).distinct()
         ready = materialize(live.join(waiting, "id", "left_anti"))
         if ready.isEmpty():
@@ -73,7 +74,7 @@ def blocked_closure(actions: DataFrame, deps: DataFrame) -> DataFrame:
     edges = materialize(deps.select("action_id", "depends_on").distinct())
     frontier = actions.where(F.col("status") == "failed").select("id")
     found: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
+    while True:
         reached = edges.join(frontier.withColumnRenamed("id", "depends_on"), "depends_on", "left_semi")
         new = pending.join(reached.select(F.col("action_id").alias("id")), "id", "left_semi")
         frontier = materialize(new)
@@ -86,11 +87,13 @@ def blocked_closure(actions: DataFrame, deps: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def tree_paths(pages: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Each page with its depth and a path of (pos, title, key) steps from its root.
+def tree_paths(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each page with its depth and a path of (pos, title, key) steps from its root, and the pages without one.
 
     Paths compare in depth-first order with siblings by position, then title, then key. No ordinal
-    per parent is needed, so a parent with very many children is no special case.
+    per parent is needed, so a parent with very many children is no special case. There are as many
+    rounds as levels; pages left over have a cycle of parents above them, and come with null depth
+    and path.
     """
     step = F.struct("pos", "title", "key")
     keys = pages.select(F.col("key").alias("parent"))
@@ -100,7 +103,7 @@ def tree_paths(pages: DataFrame, max_depth: int = 64) -> DataFrame:
     level = materialize(roots.withColumn("depth", F.lit(0)).withColumn("path", F.array(step)))
     levels = [level]
     children = materialize(pages.where(F.col("parent").isNotNull()))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         above = level.select(F.col("key").alias("parent"), F.col("path").alias("_above"))
         level = materialize(
             children.join(above, "parent").select(
@@ -110,16 +113,23 @@ def tree_paths(pages: DataFrame, max_depth: int = 64) -> DataFrame:
         if level.isEmpty():
             break
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    reached = reduce(DataFrame.unionByName, levels)
+    left = pages.join(reached.select("key"), "key", "left_anti").select(
+        *pages.columns, F.lit(None).cast("int").alias("depth"), F.lit(None).cast(reached.schema["path"].dataType).alias("path")
+    )
+    return reached, left
 
 
-def flatten_pages(pages: DataFrame, max_depth: int = 64) -> DataFrame:
-    return tree_paths(pages, max_depth)
+def flatten_pages(pages: DataFrame) -> DataFrame:
+    """All pages with depth and path; those within or below a cycle of parents have neither."""
+    reached, left = tree_paths(pages)
+    return reached.unionByName(left)
 
 
-def tree_emit_order(pages: DataFrame, max_depth: int = 64) -> DataFrame:
-    """1-based position of each page: parents before children, siblings in order."""
-    return global_rank(tree_paths(pages, max_depth), [F.col("path")], "position")
+def tree_emit_order(pages: DataFrame) -> DataFrame:
+    """1-based position of each page: parents before children, siblings in order, pages without a root last."""
+    last = F.col("path").isNull()
+    return global_rank(flatten_pages(pages), [last, F.col("path"), F.col("key")], "position")
 
 
 def sibling_order(children: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -139,7 +149,7 @@ def sibling_order(children: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def crawl_tree(
-    roots: DataFrame, links: DataFrame, max_pages: int, max_depth: int = 64
+    roots: DataFrame, links: DataFrame, max_pages: int
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first crawl: pages read with their depth, and the known pages left unread.
 
@@ -152,7 +162,7 @@ def crawl_tree(
     read: list[DataFrame] = []
     unread = frontier.limit(0)
     left = max_pages
-    for depth in range(max_depth + 1):
+    for depth in count():
         size = frontier.count()
         if size == 0:
             break

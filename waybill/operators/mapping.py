@@ -259,7 +259,7 @@ def suggest_status(unmapped: DataFrame, statuses: DataFrame) -> DataFrame:
         types.join(statuses, "type").groupBy("_group")
         .agg(F.count("*").alias("_n"), F.first("name").alias("suggestion")).where(F.col("_n") == 1)
     )
-    return unmapped.withColumn("_group", canon(F.col("group"), False)).join(only, "_group").drop("_group", "_n")
+    return unmapped.withColumn("_group", canon(F.col("group"))).join(only, "_group").drop("_group", "_n")
 
 
 def tag_match(rows: DataFrame, keys: list[str], tags: str, held: DataFrame) -> DataFrame:
@@ -267,9 +267,9 @@ def tag_match(rows: DataFrame, keys: list[str], tags: str, held: DataFrame) -> D
 
     Tags of one row are bounded; ``held`` has one column, name.
     """
-    lookup = _by_canon(held.withColumn("pos", F.lit(0)), "name", "name", False)
+    lookup = _by_canon(held.withColumn("pos", F.lit(0)), "name", "name", True)
     exploded = rows.select(*keys, F.posexplode(tags).alias("_pos", "_tag")).withColumn(
-        "_canon", canon(F.col("_tag"), False)
+        "_canon", canon(F.col("_tag"))
     )
     joined = exploded.join(lookup, "_canon", "left")
     ordered = lambda c, keep: F.transform(

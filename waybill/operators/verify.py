@@ -48,9 +48,9 @@ def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(a).eqNullSafe(F.array_sort(b))
 
 
-def canon_subset(wanted: Column, held: Column, normalize: bool = False) -> Column:
+def canon_subset(wanted: Column, held: Column) -> Column:
     """Every wanted name is held, compared by canonical form."""
-    key = lambda x: canon(x, normalize)
+    key = lambda x: canon(x)
     return F.size(F.array_except(F.transform(wanted, key), F.transform(held, key))) == 0
 
 
@@ -76,7 +76,7 @@ def field_status(rule: Rule, planned: Column, actual: Column, options: Column |
     elif kind in ("labels", "id_set"):
         equal = same_set(planned, actual)
     elif kind == "tags":
-        equal = canon_subset(planned, actual, normalize=False)
+        equal = canon_subset(planned, actual)
     elif kind == "markdown":
         # Both sides are normalized already: see ``stage_markdown``.
         equal = planned == actual

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.sources.sinks import shared_folder
+from waybill.streaming.runlog import first_mappings
 
 
 def read_table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -52,3 +53,30 @@ def drain_changes(stream: DataFrame, name: str, keys: list[str], mode: str = "up
     written = spark.read.parquet(f"{home}/out")
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
     return last.select(*keys, "_row.*")
+
+
+ID_MAP = "source_key string, scope string, destination_id string"
+
+
+def drain_id_map(mappings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The id map that a stream of mappings (source_key, scope, destination_id, ts) builds, and the conflicts.
+
+    Each batch is compared with the map as stored by the batches before it, so a key that comes again keeps its
+    destination however much later that is. A batch that is run again replaces what it wrote.
+    """
+    spark = mappings.sparkSession
+    home = shared_folder(spark, f"stream-{name}")
+
+    def held(before: int) -> DataFrame:
+        parts = [f"{home}/map/part={n}" for n in range(before)]
+        return spark.read.schema(ID_MAP).parquet(*parts) if parts else spark.createDataFrame([], ID_MAP)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        new, conflicts = first_mappings(batch, held(number))
+        new.select("source_key", "scope", "destination_id").write.mode("overwrite").parquet(f"{home}/map/part={number}")
+        conflicts.write.mode("overwrite").parquet(f"{home}/conflicts/part={number}")
+
+    query = mappings.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    built = spark.read.parquet(f"{home}/map").drop("part")
+    return built, spark.read.parquet(f"{home}/conflicts").drop("part")

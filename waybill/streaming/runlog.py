@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from waybill import vocab
 
 LATENESS = f"{vocab.CLOCK_SKEW_SECONDS} seconds"
-TERMINAL = {"succeeded", "skipped"}
 
 
 def event_counts(events: DataFrame, size: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
@@ -49,42 +48,25 @@ def activity_sessions(events: DataFrame, gap: str, lateness: str = LATENESS) ->
     )
 
 
-STATE_OUT = "run_id string, action_id string, status string, attempts long, seq long"
-
-
 def checkpoint_state(transitions: DataFrame) -> DataFrame:
-    """Current state per action from a stream of transitions (run_id, action_id, seq, event).
+    """Current state per action from a stream of transitions (run_id, action_id, seq, event). Output in update mode.
 
-    The state is three values per action; success is never taken back. Output in update mode.
+    Success is final whatever its order number and whenever it arrives; attempts are the writes started before it.
+    The state (first success, last event, order numbers of started writes) is a streaming aggregate, so it does not
+    depend on how the stream is cut into batches, and a transition that is delivered twice counts once.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, attempts, last = state.get if state.exists else ("pending", 0, -1)
-        # Only the order numbers of started writes are kept while the batches pass by.
-        started: list[np.ndarray] = []
-        done, newest, newest_event = None, last, None
-        for batch in batches:
-            batch = batch[batch["seq"] > last]
-            if batch.empty:
-                continue
-            seq, event = batch["seq"].to_numpy(), batch["event"].to_numpy()
-            started.append(seq[event == "in_flight"])
-            finished = seq[event == "succeeded"]
-            if finished.size:
-                done = int(finished.min()) if done is None else min(done, int(finished.min()))
-            at = int(seq.argmax())
-            if seq[at] > newest:
-                newest, newest_event = int(seq[at]), str(event[at])
-        if status not in TERMINAL and newest_event is not None:
-            attempts += sum(int((s < done).sum()) if done is not None else s.size for s in started)
-            status = "succeeded" if done is not None else newest_event
-        state.update((status, attempts, newest))
-        yield pd.DataFrame(
-            {"run_id": [key[0]], "action_id": [key[1]], "status": [status], "attempts": [attempts], "seq": [newest]}
-        )
-
-    return transitions.groupBy("run_id", "action_id").applyInPandasWithState(
-        update, STATE_OUT, "status string, attempts long, seq long", "update", "NoTimeout"
+    event, seq = F.col("event"), F.col("seq")
+    folded = transitions.groupBy("run_id", "action_id").agg(
+        F.min(F.when(event == "succeeded", seq)).alias("_done"),
+        F.max(F.struct("seq", "event")).alias("_last"),
+        F.collect_set(F.when(event == "in_flight", seq)).alias("_started"),
+    )
+    before = F.filter("_started", lambda s: F.col("_done").isNull() | (s < F.col("_done")))
+    return folded.select(
+        "run_id", "action_id",
+        F.when(F.col("_done").isNotNull(), F.lit("succeeded")).otherwise(F.col("_last.event")).alias("status"),
+        F.size(before).cast("long").alias("attempts"),
+        F.col("_last.seq").alias("seq"),
     )
 
 
@@ -123,9 +105,17 @@ def breaker(events: DataFrame, limit: int = vocab.BREAKER_LIMIT) -> DataFrame:
     )
 
 
-def id_map_stream(mappings: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """First mapping per (key, scope) within the watermark; later repeats are dropped."""
-    return mappings.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["source_key", "scope"])
+def first_mappings(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a batch of mappings (source_key, scope, destination_id, ts) adds to an id map, and what it contradicts.
+
+    The earliest mapping of a (key, scope) holds for good; another destination for it is a conflict.
+    """
+    keys = ["source_key", "scope"]
+    first = batch.groupBy(*keys).agg(F.min(F.struct("ts", "destination_id"))["destination_id"].alias("destination_id"))
+    new = first.join(held.select(*keys), keys, "left_anti")
+    mapped = held.unionByName(new).select(*keys, F.col("destination_id").alias("mapped_to"))
+    conflicts = batch.select(*keys, "destination_id").distinct().join(mapped, keys)
+    return new, conflicts.where(F.col("destination_id") != F.col("mapped_to"))
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -129,7 +129,6 @@ MILESTONE_TYPES = ["approved", "run_started", "run_stopped", "run_finished", "ve
 CLOCK_SKEW_SECONDS = 60
 BREAKER_LIMIT = 5
 PROPERTY_ITEM_CAP = 25
-DEFAULT_ROW_CAP = 50_000
 
 
 def lookup(column: Column, table: dict, default: Column | None = None) -> Column:

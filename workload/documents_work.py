@@ -147,7 +147,7 @@ top AS (SELECT o.doc, o.turn, CASE WHEN kid_md IS NULL THEN CASE WHEN o.type = '
 SELECT doc, md5(trim(string_agg(md, {NL} || {NL} ORDER BY turn), {NL} || ' ')) AS markdown_md5 FROM top GROUP BY doc""",
 )
 def render_documents(t: Tables) -> DataFrame:
-    return docs.render_documents(blocks_of(t), max_depth=1).select("doc", F.md5("markdown").alias("markdown_md5"))
+    return docs.render_documents(blocks_of(t)).select("doc", F.md5("markdown").alias("markdown_md5"))
 
 
 @query(
@@ -216,7 +216,7 @@ UNION ALL SELECT {ACT.format(kind='create_doc_page', key="key || '#page'")}, 'cr
   {ACT.format(kind='create_doc', key="root || '#doc'")} || coalesce(',' || {ACT.format(kind='create_doc_page', key="parent || '#page'")}, '') FROM r""",
 )
 def build_docs(t: Tables) -> DataFrame:
-    tree = graph.tree_paths(t.page_tree)
+    tree = graph.flatten_pages(t.page_tree)
     pages = tree.select("key", "title", F.col("parent").alias("parent_key"), F.get("path", F.lit(0))["key"].alias("root_key"))
     return build.build_docs(pages, t.id_map, "dest:docs:w").select(
         "id", "kind", "source", F.array_join("depends_on", ",").alias("deps")

@@ -485,7 +485,7 @@ def scrub_struct(t: Tables) -> DataFrame:
 @query(
     "find_secret_keys",
     f"""
-SELECT event_id, path, false AS too_deep FROM (
+SELECT event_id, path FROM (
   SELECT event_id, 'conf.' || {NAME_SQL} AS path FROM events WHERE event_id % 4 <> 2
   UNION ALL SELECT event_id, 'list[1].auth_token' FROM events WHERE event_id % 3 = 0)""",
 )
@@ -497,7 +497,7 @@ def find_secret_keys(t: Tables) -> DataFrame:
         F.lit('{"conf":{"'), name, F.lit('":'), "props", F.lit('},"list":[1,{"'), token, F.lit('":"x"}]}')
     )
     rows = t.events.select("event_id", document.alias("doc"))
-    return secrets.credential_paths(rows, "doc", ["event_id"], max_depth=4)
+    return secrets.credential_paths(rows, "doc", ["event_id"])
 
 
 @query(

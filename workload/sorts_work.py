@@ -151,7 +151,7 @@ def union_distinct_findings(t: Tables) -> DataFrame:
 )
 def option_difference(t: Tables) -> DataFrame:
     held = t.orders.where(F.col("o_orderpriority").rlike("^[13]-")).select(F.lower("o_orderpriority").alias("name"))
-    return mp.option_difference(options(t).select("field_id", "option"), held, normalize=False)
+    return mp.option_difference(options(t).select("field_id", "option"), held)
 
 
 @query(

@@ -100,13 +100,23 @@ def stream_breaker(t: Tables) -> DataFrame:
     return run.drain(runlog.breaker(log_stream(t).select("run_id", "seq", "type"), 3), "breaker")
 
 
-@query("stream_id_map", "SELECT DISTINCT 'k' || event_id % 500 AS source_key, event_type AS scope FROM events")
+@query(
+    "stream_id_map",
+    """
+WITH m AS (SELECT 'k' || event_id % 500 AS source_key, event_type AS scope, 'dst-' || event_id AS destination_id, ts FROM events),
+f AS (SELECT source_key, scope, min({'ts': ts, 'd': destination_id}).d AS destination_id FROM m GROUP BY ALL)
+SELECT source_key, scope, destination_id, NULL::VARCHAR AS mapped_to FROM f
+UNION ALL SELECT DISTINCT m.source_key, m.scope, m.destination_id, f.destination_id FROM m JOIN f USING (source_key, scope)
+WHERE m.destination_id <> f.destination_id""",
+)
 def stream_id_map(t: Tables) -> DataFrame:
     mapped = log_stream(t).select(
         F.concat(F.lit("k"), F.col("seq") % 500).alias("source_key"), F.col("event_type").alias("scope"), "ts",
         F.concat(F.lit("dst-"), "seq").alias("destination_id"),
     )
-    return run.drain(runlog.id_map_stream(mapped), "idmap").select("source_key", "scope")
+    built, conflicts = run.drain_id_map(mapped, "idmap")
+    columns = ["source_key", "scope", "destination_id"]
+    return built.select(*columns, F.lit(None).cast("string").alias("mapped_to")).unionByName(conflicts.select(*columns, "mapped_to"))
 
 
 @query(
