@@ -19,6 +19,7 @@ from waybill.functions.text import canon, clean_name, name_changed
 from waybill.functions.values import priority_from, value_to_markdown
 from waybill.operators import findings as fnd
 from waybill.operators import mapping as mp
+from waybill.operators import relations as rel
 from waybill.operators import verify as vf
 from waybill.plans import build
 from waybill.sources.sinks import stored
@@ -44,7 +45,8 @@ CELL_CODES = {
     "FIELD_SNAPSHOT_ONLY": ("lossy", "warning", "field_type"),
     "METADATA_AS_TEXT": ("lossy", "warning", "field_type"),
     "FIELD_PRESERVED_AS_TEXT": ("transformed", "info", "field_type"),
-    "RELATION_AS_LINK": ("transformed", "info", "relation"),
+    "DATE_RANGE_START_LOST": ("lossy", "warning", "data"),
+    "DATE_RANGE_END_LOST": ("lossy", "warning", "data"),
     "NAME_NORMALIZED": ("transformed", "info", "data"),
 }
 
@@ -100,15 +102,35 @@ def _priority_lookup(rules: DataFrame, value_map: DataFrame) -> DataFrame:
     ).agg(F.max_by("priority", "pos").alias("_mapped"))
 
 
+# Targets that need facts about the destination's people and tags, which the plan does not take: kept as text.
+TEXT_TARGETS = ("description_table", "assignees", "tags")
+
+
+def draft_relations(cells: DataFrame, rules: DataFrame, records: DataFrame) -> DataFrame:
+    """Relation cells as text rows with the titles of their targets, in the form of ``draft_cells``."""
+    linked = rules.where(F.col("target_kind") == "link").select("collection", "field_id", "field_name", "pos")
+    own = cells.where(F.size("targets") > 0).join(linked, ["collection", "field_id"])
+    text = rel.relation_as_text(own, records)
+    none = F.lit(None)
+    return own.select("record", "field_id", "collection", "field_name", "pos").join(text, ["record", "field_id"]).select(
+        "record", "collection", "field_name", "pos", F.lit("link").alias("target"), none.cast("string").alias("status"),
+        none.cast("int").alias("priority"), none.cast("bigint").alias("start_ms"), none.cast("bigint").alias("end_ms"),
+        F.struct("pos", F.col("field_name").alias("label"), F.col("text").alias("markdown")).alias("row"),
+        F.array(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("codes"), F.lit("row").alias("kept_as"),
+    )
+
+
 def draft_cells(
     cells: DataFrame, rules: DataFrame, statuses: DataFrame, value_map: DataFrame, options: Options
 ) -> DataFrame:
-    """Every cell with what it becomes: a status, a priority, instants or a text row, and a code.
+    """Every cell but relations with what it becomes: a status, a priority, instants or a text row, and a code.
 
-    One pass over the cells; rules and lookups are configuration-sized.
+    ``kept_as`` says where its value went: value, row, finding (only a code tells of it) or null (it had none). One
+    pass over the cells; rules and lookups are configuration-sized.
     """
     ruled = cells.join(
-        rules.select("collection", "field_id", "field_name", "pos", "target_kind", "skip"), ["collection", "field_id"]
+        rules.where(F.col("target_kind") != "link").select("collection", "field_id", "field_name", "pos", "target_kind", "skip"),
+        ["collection", "field_id"],
     )
     texts = ruled.where(F.col("target_kind").isin("status", "priority")).select("collection", "field_id", "name").where(
         F.col("name").isNotNull()
@@ -140,17 +162,33 @@ def draft_cells(
     dropped = F.when(F.col("skip"), F.lit("FIELD_EXPLICITLY_SKIPPED")).otherwise(F.lit("FIELD_DROPPED"))
     one = (
         F.when((target == "dropped") & has & (kind != "unsupported"), dropped)
-        .when((target == "description_table") & has, as_text)
-        .when((target == "link") & (F.size("targets") > 0), F.lit("RELATION_AS_LINK"))
+        .when(target.isin(*TEXT_TARGETS) & has, as_text)
         .otherwise(lost)
     )
-    keep_row = ((target == "description_table") & has) | lost.isNotNull() | bad_date
+    keep_row = (target.isin(*TEXT_TARGETS) & has) | lost.isNotNull() | bad_date
+    codes = F.array_compact(F.concat(F.array(one), F.when(is_date & has, F.col("_d.codes")).otherwise(F.array())))
+    placed = (
+        (target == "name") | ((target == "status") & F.col("status").isNotNull())
+        | ((target == "priority") & F.col("priority").isNotNull()) | (is_date & ~F.col("_d.invalid"))
+    )
+    kept_as = F.when(
+        has, F.when(placed, F.lit("value")).when(keep_row, F.lit("row")).when(F.size(codes) > 0, F.lit("finding")).otherwise(F.lit("lost"))
+    )
     return dated.select(
         "record", "collection", "field_name", "pos", target.alias("target"),
         F.when(target == "status", F.col("status")).alias("status"), F.when(target == "priority", F.col("priority")).alias("priority"),
         F.when(is_date, F.col("_d.start_ms")).alias("start_ms"), F.when(is_date, F.col("_d.end_ms")).alias("end_ms"),
         F.when(keep_row, F.struct("pos", F.col("field_name").alias("label"), F.coalesce("_md", F.lit("")).alias("markdown"))).alias("row"),
-        F.array_compact(F.concat(F.array(one), F.when(is_date & has, F.col("_d.codes")).otherwise(F.array()))).alias("codes"),
+        codes.alias("codes"), kept_as.alias("kept_as"),
+    )
+
+
+def accounting(drafts: DataFrame) -> DataFrame:
+    """Per collection and field: cells with a value, and where the values went. ``lost`` must be 0 everywhere."""
+    count = lambda what: F.count_if(F.col("kept_as") == what)
+    return drafts.where(F.col("kept_as").isNotNull()).groupBy("collection", "field_name").agg(
+        F.count("*").alias("cells"), count("value").alias("placed"), count("row").alias("text_rows"),
+        count("finding").alias("findings_only"), count("lost").alias("lost"),
     )
 
 
@@ -185,11 +223,13 @@ def plan_migration(
         mp.match_collections(snapshot["collections"], lists.select("pos", "source", "list_id")), "matched"
     )
     rules = stored(plan_rules(matched, snapshot["fields"], field_map, options), "rules")
-    drafts = draft_cells(snapshot["cells"], rules, statuses, value_map, options)
+    drafts = draft_cells(snapshot["cells"], rules, statuses, value_map, options).unionByName(
+        draft_relations(snapshot["cells"], rules, snapshot["records"])
+    )
     of = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{t}_{c}")
     per_record = drafts.groupBy(F.col("record").alias("key")).agg(
         F.max("status").alias("status"), F.max("priority").alias("priority"),
-        *[of(t, c) for t in ("due_date", "start_date") for c in ("start_ms", "end_ms")],
+        *[of(t, c) for t in ("due_date", "start_date") for c in ("start_ms", "end_ms", "field_name")],
         F.array_sort(F.collect_list("row")).alias("_rows"), F.max(_worst_code(F.col("codes"))).alias("_rank"),
     )
     targets = matched.where(F.col("list_id").isNotNull()).select(F.col("key").alias("collection"), "list_id").join(
@@ -203,7 +243,14 @@ def plan_migration(
     footer = build.provenance_footer(F.col("key"), F.col("url"), F.col("created_at"), options.marker_prefix)
     marker = F.concat(F.lit(options.marker_prefix), "key")
     name = clean_name(F.col("title"))
-    rank = F.greatest(F.coalesce("_rank", F.lit(0)), F.when(name_changed(F.col("title")), F.lit(2)).otherwise(F.lit(0)))
+    # A date range whose other half is taken by the field of that half loses it.
+    start_lost = F.col("due_date_end_ms").isNotNull() & F.col("due_date_start_ms").isNotNull() & F.col("start_date_start_ms").isNotNull()
+    end_lost = F.col("start_date_end_ms").isNotNull() & F.coalesce("due_date_end_ms", "due_date_start_ms").isNotNull()
+    lossy = vocab.OUTCOMES_BY_RANK.index("lossy")
+    rank = F.greatest(
+        F.coalesce("_rank", F.lit(0)), F.when(name_changed(F.col("title")), F.lit(2)).otherwise(F.lit(0)),
+        F.when(start_lost | end_lost, F.lit(lossy)).otherwise(F.lit(0)),
+    )
     body = F.struct(
         name.alias("name"),
         build.compose(F.col("_body"), build.properties_table(F.col("_rows")), footer if options.provenance else F.lit("")).alias("markdown_content"),
@@ -223,10 +270,19 @@ def plan_migration(
         F.lit("NAME_NORMALIZED").alias("code"), F.lit("transformed").alias("outcome"), F.lit("info").alias("severity"),
         F.lit("data").alias("category"), F.col("key").alias("entity"), "collection", F.lit(None).cast("string").alias("field"),
     )
+    half = F.array_compact(F.array(
+        F.when(start_lost, F.struct(F.lit("DATE_RANGE_START_LOST").alias("code"), F.col("due_date_field_name").alias("field"))),
+        F.when(end_lost, F.struct(F.lit("DATE_RANGE_END_LOST").alias("code"), F.col("start_date_field_name").alias("field"))),
+    ))
+    halves = records.where(start_lost | end_lost).select("key", "collection", F.inline(half)).select(
+        "code", F.lit("lossy").alias("outcome"), F.lit("warning").alias("severity"), F.lit("data").alias("category"),
+        F.col("key").alias("entity"), "collection", "field",
+    )
     return {
         "rules": rules,
         "actions": build.skip_already_migrated(created, id_map),
-        "findings": cell_findings(drafts).unionByName(renamed),
+        "findings": cell_findings(drafts).unionByName(renamed).unionByName(halves),
+        "accounting": accounting(drafts),
         "unmapped": mp.unmapped_collections(matched),
     }
 
