@@ -24,7 +24,7 @@ from waybill.llm.storage import stored
 TRAINING_ROWS = 20_000
 # Longest lexicon of each kind, the rows that a term must occur in, and its least log-odds.
 LEXICON_TERMS = 4_000
-LEXICON_ROWS = 4
+LEXICON_ROWS = 3
 LEXICON_ODDS = 2.5
 NEAR_WORDS = 6
 CALIBRATION_FOLDS = 4
@@ -43,6 +43,13 @@ LOOKS_LIKE = str.maketrans("01345789@$!|+", "oieastbgasiit")
 APART = re.compile(r"[*.\-_+|!]+")
 REPEATED = re.compile(r"(\w)\1{2,}")
 PUNCTUATION = re.compile(r"[!?]{2,}")
+# Plain English insults, which stand in the lexicon even where too few labels teach them.
+SEED_WORDS = frozenset(
+    "idiot idiots idiotic stupid stupidity moron morons moronic dumb dumbass fool fools foolish loser losers pathetic worthless "
+    "disgusting scum trash garbage filth filthy vermin clown clowns jerk jerks creep creeps imbecile cretin dimwit halfwit "
+    "bastard bastards bitch asshole shit fuck fucking retard retarded scumbag lowlife maggot parasite".split()
+)
+SEED_ODDS = 3.0
 # Second person in the languages of the corpus and a few more.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos "
@@ -80,6 +87,8 @@ class Lexica:
                 if k == kind and c1 >= LEXICON_ROWS and odds >= LEXICON_ODDS:
                     scored.append((-odds * np.sqrt(c1), term, float(odds)))
             held.update((term, odds) for _, term, odds in sorted(scored)[:LEXICON_TERMS])
+        usual = {term for k, term, c0, c1 in counts if k == "w" and c0 > c1}
+        made.words = {w: SEED_ODDS for w in sorted(SEED_WORDS - usual)} | made.words
         return made
 
     def features(self, text: str | None) -> list[float]:
@@ -134,7 +143,7 @@ class Lexica:
 
 # --- boosted trees -----------------------------------------------------------------------------------------------
 
-TREES, DEPTH, RATE, BINS, LEAF_WEIGHT, LEAST_ROWS = 60, 3, 0.15, 64, 1.0, 5
+TREES, DEPTH, RATE, BINS, LEAF_WEIGHT, LEAST_ROWS = 60, 3, 0.15, 64, 1.0, 3
 
 
 @dataclass
