@@ -205,8 +205,9 @@ def over_depth(blocks: DataFrame, max_depth: int = MAX_BLOCK_DEPTH) -> DataFrame
 
 def block_budget(blocks: DataFrame, max_blocks: int) -> DataFrame:
     """The first blocks of each page, in page order. The budget is the feature; pages over it are
-    named by ``over_budget``. The rank filter runs before the shuffle too, so a page that holds a
-    third of all blocks sends at most the budget from each task."""
+    named by ``over_budget``. Up to a budget of ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1 000) the rank filter runs before the shuffle too, so a page that holds a third of all blocks
+    sends at most the budget from each task; above it, the blocks of a page meet in one task."""
     order = Window.partitionBy("doc").orderBy("path")
     return blocks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_blocks).drop("_n")
 
