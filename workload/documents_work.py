@@ -153,17 +153,18 @@ def render_documents(t: Tables) -> DataFrame:
 @query(
     "task_body",
     with_(RECORDS) + rf"""
-, d AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0)
-SELECT key, md5(coalesce(CASE WHEN trim(d.text) <> '' THEN d.text || '{{R}}' END, '') || '**Properties**{{N}}{{N}}| Property | Value |{{N}}| --- | --- |{{N}}| Status | ' || o_orderstatus ||
-  ' |{{N}}| Total \| price | ' || {PRICE_TEXT} || ' |{{R}}_Migrated, created ' || created_at || '._ [Original](https://o.example/' || o_orderkey || '%28x%29){{N}}{{N}}`waybill-key:' || key || '`') AS md5
+, d AS (SELECT doc_id, text FROM documents)
+SELECT key, md5(coalesce(CASE WHEN trim(d.text) <> '' THEN d.text || '{{R}}' END, '') || '**Properties**{{N}}{{N}}| Property | Value |{{N}}| --- | --- |{{N}}| Status | ' || o_orderstatus || ' |{{N}}| Priority | ' || o_orderpriority ||
+  ' |{{N}}| Ordered | ' || created_at || ' |{{N}}| Total \| price | ' || {PRICE_TEXT} || ' |{{R}}_Migrated, created ' || created_at || '._ [Original](https://o.example/' || o_orderkey || '%28x%29){{N}}{{N}}`waybill-key:' || key || '`') AS md5
 FROM records LEFT JOIN d ON d.doc_id = o_orderkey""".replace("{R}", "' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '").replace("{N}", "' || chr(10) || '"),
 )
 def task_body(t: Tables) -> DataFrame:
     records = t.records.select("key", "created_at", F.concat(F.lit("https://o.example/"), "o_orderkey", F.lit("(x)")).alias("url"))
-    pages = t.documents.where(F.col("doc_id") % 3 == 0).select(key_of("order", "doc_id").alias("key"), F.col("text").alias("markdown"))
-    label = vocab.lookup(F.col("field_id"), {"status": "Status", "price": "Total | price"})
-    rows = t.cells.where(F.col("field_id").isin("status", "price")).select(
-        "record", F.when(F.col("field_id") == "status", 0).otherwise(1).alias("pos"), label.alias("label"), F.col("text").alias("markdown")
+    pages = t.documents.select(key_of("order", "doc_id").alias("key"), F.col("text").alias("markdown"))
+    names = {"status": "Status", "priority": "Priority", "ordered": "Ordered", "price": "Total | price"}
+    rows = t.cells.select(
+        "record", vocab.lookup(F.col("field_id"), {f: k for k, f in enumerate(names)}).alias("pos"),
+        vocab.lookup(F.col("field_id"), names).alias("label"), F.col("text").alias("markdown"),
     )
     return build.task_body(records, pages, rows).select("key", F.md5("markdown").alias("md5"))
 

@@ -118,13 +118,13 @@ def clip_messages(t: Tables) -> DataFrame:
     with_(FINDINGS) + """
 SELECT code, outcome, severity, message, origin, count(*)::BIGINT AS n FROM (
   SELECT code, outcome, severity, message, 'source' AS origin FROM findings WHERE category = 'data'
-  UNION ALL SELECT code, outcome, severity, message, 'inspection' FROM findings WHERE severity = 'error'
+  UNION ALL SELECT code, outcome, severity, message, 'inspection' FROM findings WHERE category <> 'data'
   UNION ALL SELECT 'ORDER_' || o_orderstatus, 'supported', 'info', o_orderpriority, 'validation' FROM orders) GROUP BY ALL""",
 )
 def plan_level_findings(t: Tables) -> DataFrame:
     keep = ["code", "outcome", "severity", "message"]
     source = t.findings.where(F.col("category") == "data").select(*keep, F.lit("source").alias("origin"))
-    inspection = t.findings.where(F.col("severity") == "error").select(*keep, F.lit("inspection").alias("origin"))
+    inspection = t.findings.where(F.col("category") != "data").select(*keep, F.lit("inspection").alias("origin"))
     validation = t.orders.select(
         F.concat(F.lit("ORDER_"), "o_orderstatus").alias("code"), F.lit("supported").alias("outcome"),
         F.lit("info").alias("severity"), F.col("o_orderpriority").alias("message"), F.lit("validation").alias("origin"),
@@ -136,13 +136,16 @@ def plan_level_findings(t: Tables) -> DataFrame:
 @query(
     "union_distinct_findings",
     with_(FINDINGS) + """
-SELECT code, outcome, severity, collection, field, message FROM findings WHERE outcome = 'lossy'
-UNION SELECT code, outcome, severity, collection, field, message FROM findings WHERE severity = 'warning'""",
+SELECT code, outcome, severity, collection, field, message FROM findings
+UNION SELECT 'ORDER_' || o_orderstatus, 'supported', 'info', NULL, NULL, o_orderpriority FROM orders""",
 )
 def union_distinct_findings(t: Tables) -> DataFrame:
-    return fnd.union_distinct_findings(
-        t.findings.where(F.col("outcome") == "lossy"), t.findings.where(F.col("severity") == "warning")
+    none = F.lit(None).cast("string")
+    orders = t.orders.select(
+        F.concat(F.lit("ORDER_"), "o_orderstatus").alias("code"), F.lit("supported").alias("outcome"), F.lit("info").alias("severity"),
+        none.alias("collection"), none.alias("field"), F.col("o_orderpriority").alias("message"),
     )
+    return fnd.union_distinct_findings(t.findings, orders)
 
 
 @query(
@@ -157,13 +160,13 @@ def option_difference(t: Tables) -> DataFrame:
 @query(
     "tag_intersection",
     """
-SELECT DISTINCT w AS tag FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 2 = 0)
-INTERSECT SELECT DISTINCT w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 5 = 1)""",
+SELECT DISTINCT w AS tag FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
+INTERSECT SELECT DISTINCT w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))""",
 )
 def tag_intersection(t: Tables) -> DataFrame:
     words = lambda df: df.select(F.explode(F.split("p_name", " ")).alias("tag"))
-    k = F.col("p_partkey")
-    return words(t.part.where(k % 2 == 0)).intersect(words(t.part.where(k % 5 == 1)))
+    returned = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"))
+    return words(t.part).intersect(words(t.part.join(returned, "p_partkey", "left_semi")))
 
 
 def tag_sets(t: Tables) -> DataFrame:
