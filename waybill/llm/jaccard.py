@@ -18,13 +18,15 @@ link that matters to a component is found, and none is added.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.llm import sketch
@@ -33,7 +35,7 @@ from waybill.llm.storage import stored
 
 SKETCH_BITS = 21
 FILTER_BITS = 21
-BITMAP_BITS = 1024
+BITMAP_BITS = 4096
 # Rows of a list that one window gathers, and members that one task compares with as many others.
 LIST_ROWS = 2_048
 BLOCK = 512
@@ -289,23 +291,16 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slot, minlength=BITMAP_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-SETS = "doc_id long, size int, shingles array<long>, bits array<long>"
-SETS_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())),
-])
+MARKS = "doc_id long, size int, bits array<long>"
+SETS = "doc_id long, shingles array<long>"
 
 
 def _cells(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64) * _A) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The sets of the documents in ``wanted``.
-
-    A filter of fixed size, made from their ids, goes to the tasks, so that only their texts (and others by chance)
-    become sets and no text is shuffled.
-    """
-    spark = texts.sparkSession
+def _filter_of(values: DataFrame):
+    """A broadcast table of fixed size that says which numbers may be in ``values`` (one long column)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << FILTER_BITS, np.uint32)
@@ -314,101 +309,173 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for block, blob in sketch.rows_of(counts):
             yield _batch_of([[block], [blob]], sketch.ARROW)
 
-    marked = sketch.add_up(wanted.select("doc_id").mapInArrow(mark, sketch.SCHEMA), FILTER_BITS)
-    chosen = spark.sparkContext.broadcast(marked > 0)
+    marked = sketch.add_up(values.mapInArrow(mark, sketch.SCHEMA), FILTER_BITS)
+    return values.sparkSession.sparkContext.broadcast(marked > 0)
+
+
+def _maybe_in(column: Column, values: DataFrame) -> Column:
+    """False only where the number in ``column`` is not in ``values``; such rows need not be joined."""
+    chosen = _filter_of(values)
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        found = np.zeros(len(x), bool)
+        found[known] = chosen.value[_cells(x[known].to_numpy().astype(np.int64))]
+        return pd.Series(found)
+
+    return possible(column)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (doc_id long); null ids stay.
+
+    Only rows that a filter of fixed size cannot clear are joined, so the texts of the others are not shuffled.
+    """
+    marked = docs.withColumn("_possible", _maybe_in(F.col("doc_id").cast("long"), ids.select("doc_id")))
+    rest = marked.where("_possible").join(ids, "doc_id", "left_anti")
+    return marked.where("not _possible").select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
+def _of_wanted(texts: DataFrame, wanted: DataFrame, width: int, schema: str, columns) -> DataFrame:
+    """``columns`` (doc_ids, sets) of the documents in ``wanted``, and of a few others by chance.
+
+    Only their texts become sets, and no text is shuffled.
+    """
+    chosen = _filter_of(wanted.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             taken, content = batch.column(0), batch.column(1)
             keep = np.flatnonzero(taken.is_valid().to_numpy(zero_copy_only=False))
-            ids = taken.drop_null().to_numpy()
-            keep = keep[chosen.value[_cells(ids)]]
+            keep = keep[chosen.value[_cells(taken.drop_null().to_numpy())]]
             for at in range(0, len(keep), 200):
                 part = keep[at : at + 200].tolist()
-                found = list(shingler(content[k].as_py() for k in part))
-                yield _batch_of(
-                    [taken.take(pa.array(part, pa.int64())), [len(s) for s in found], [s.view(np.int64) for s in found],
-                     [bitmap(s) for s in found]],
-                    SETS_ARROW,
-                )
+                yield columns(taken.take(pa.array(part, pa.int64())), list(shingler(content[k].as_py() for k in part)))
+
+    return texts.mapInArrow(run, schema)
 
-    return texts.mapInArrow(run, SETS).join(wanted.select("doc_id"), "doc_id", "left_semi")
 
+def _marks(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, size, bits): what bounds the overlap of two sets."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("bits", pa.list_(pa.int64()))])
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; bitmaps spare most others the comparison of their sets."""
-    bits = sets.select("doc_id", "size", "bits")
+    def columns(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return _batch_of([ids, [len(s) for s in sets], [bitmap(s) for s in sets]], arrow)
+
+    return _of_wanted(texts, wanted, width, MARKS, columns)
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the threshold."""
     sides = pairs
     for end in ("a", "b"):
         sides = sides.join(
-            bits.select(F.col("doc_id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end
+            marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}")), end
         )
     apart = F.aggregate(
         F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
     )
-    likely = stored(
-        sides.where(apart * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b"), "likely"
-    )
-    whole = sets.select("doc_id", "shingles")
-    both = likely.join(whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return sides.where(apart * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def _verified(likely: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def columns(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return _batch_of([ids, [s.view(np.int64) for s in sets]], arrow)
+
+    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(_of_wanted(texts, ends, width, SETS, columns), "sets")
+    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    return both.where(100 * common >= percent * union).select("a", "b").distinct()
 
 
 BLOCK_PAIRS = "a long, b long"
+PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compare_blocks(percent: int):
-    def compare(key: tuple, rows):
-        """Members of one block with those of another (or itself): pairs of different components that bitmaps allow."""
-        import pandas as pd
-
-        low = rows[rows["mine"] == key[1]]
-        high = rows[rows["mine"] == key[2]]
+    def near(rows: dict[str, np.ndarray]) -> np.ndarray:
+        """Members of one block beside those of another (or itself): pairs of different components that bitmaps allow."""
+        kinds, count = np.unique(rows["component"], return_counts=True)
+        rare = np.flatnonzero(rows["component"] != kinds[count.argmax()])  # two of the largest need no comparison
+        one = rows["low"][0] == rows["high"][0]
         found = []
-        x, y = (np.array(list(part["bits"]), np.int64).reshape(len(part), BITMAP_BITS // 64).view(np.uint64) for part in (low, high))
-        size, component, name = (high[c].to_numpy() for c in ("size", "component", "rep"))
-        for k, (n, c, r) in enumerate(zip(low["size"], low["component"], low["rep"], strict=True)):
-            apart = np.bitwise_count(y ^ x[k]).sum(axis=1, dtype=np.int64)
-            near = (component != c) & (apart * (100 + percent) <= (100 - percent) * (size + n))
-            found += [(min(r, o), max(r, o)) for o in name[near].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        for k in rare.tolist():
+            apart = np.bitwise_count(rows["bits"] ^ rows["bits"][k]).sum(axis=1, dtype=np.int64)
+            near = (rows["component"] != rows["component"][k]) & (one | (rows["mine"] != rows["mine"][k]))
+            near &= apart * (100 + percent) <= (100 - percent) * (rows["size"] + rows["size"][k])
+            other = rows["rep"][near]
+            found.append(np.stack([np.minimum(other, rows["rep"][k]), np.maximum(other, rows["rep"][k])], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    names = ("key", "low", "high", "mine", "rep", "size", "component")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows = {n: batch.column(n).to_numpy().astype(np.int64) for n in names}
+                rows["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_BITS // 64)
+                held = rows if held is None else {n: np.concatenate([held[n], rows[n]]) for n in rows}
+            if held is None or not len(held["key"]):
+                continue
+            new = np.zeros(len(held["key"]), bool)
+            for n in ("key", "low", "high"):
+                new[1:] |= held[n][1:] != held[n][:-1]
+            starts = [0, *np.flatnonzero(new).tolist()]
+            ends = [*starts[1:], len(new)]
+            done = len(starts) if batch is None else len(starts) - 1  # the last list may go on in the next batch
+            found = [near({n: v[a:b] for n, v in held.items()}) for a, b in zip(starts[:done], ends[:done], strict=True)]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            if len(pairs):
+                yield _batch_of([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], PAIRS_ARROW)
+            held = {n: v[starts[-1] :] for n, v in held.items()} if batch is not None else None
 
     return compare
 
 
-def _left_apart(lists: DataFrame, pairs: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pivots do not decide: of lists whose pivot is linked with some members and not with others."""
+def _left_apart(lists: DataFrame, pairs: DataFrame, reps: DataFrame, marks: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pivots do not decide: of lists whose pivot is linked with some members and not with others.
+
+    ``pairs`` has (doc_id, pivot) as listed, and the nodes a, b of both. Filters of fixed size take the rows of other
+    lists out before anything is joined.
+    """
     component = labels.select(F.col("node").alias("rep"), "component")
 
     def label(frame: DataFrame, end: str) -> DataFrame:
         named = component.select(F.col("rep").alias(end), F.col("component").alias(f"c_{end}"))
         return frame.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
 
-    failed = label(label(pairs, "a"), "b").where("c_a <> c_b").select("a", "b")
+    nodes = pairs.select("a", "b").distinct()
+    failed = stored(label(label(nodes, "a"), "b").where("c_a <> c_b").select("a", "b"), "failed")
+    listed = F.xxhash64("doc_id", "pivot")
+    apart = stored(pairs.join(failed, ["a", "b"], "left_semi").select("doc_id", "pivot", listed.alias("listed")), "failed-entries")
     crowded = lists.where("crowded")
-    mapped = crowded.join(reps.select("doc_id", "rep"), "doc_id")
-    mapped = mapped.join(reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("of_pivot")), "pivot")
-    mapped = stored(
-        mapped.select("key", "rep", F.least("rep", "of_pivot").alias("a"), F.greatest("rep", "of_pivot").alias("b")).distinct(),
-        "crowded",
-    )
-    keys = mapped.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-    members = mapped.join(stored(keys, "open-lists"), "key", "left_semi").select("key", "rep").distinct()
+    near = crowded.where(_maybe_in(listed, apart.select("listed")))
+    keys = stored(near.join(apart, ["doc_id", "pivot"], "left_semi").select("key").distinct(), "open-lists")
+    members = crowded.where(_maybe_in(F.col("key"), keys)).join(keys, "key", "left_semi")
+    members = members.select("key", F.explode(F.array("doc_id", "pivot")).alias("doc_id")).distinct()
+    members = stored(members.join(reps.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct(), "members")
     counts = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "list-sizes")
     members = members.join(counts, "key").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = members.join(sets.select(F.col("doc_id").alias("rep"), "size", "bits"), "rep")
+    members = members.join(marks.select(F.col("doc_id").alias("rep"), "size", "bits"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select(
         "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "size", "component", "bits"
     )
-    near = dealt.groupBy("key", "low", "high").applyInPandas(_compare_blocks(percent), BLOCK_PAIRS)
-    return near.distinct().join(pairs, ["a", "b"], "left_anti")
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    near = dealt.mapInArrow(_compare_blocks(percent), BLOCK_PAIRS)
+    return near.distinct().join(nodes, ["a", "b"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -434,21 +501,27 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         found.where("size > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep")), "classes"
     )
     nodes = stored(found.join(classes, "signature", "left").select("doc_id", "size", "rep"), "nodes")
-    reps = nodes.where("rep is not null").select("doc_id", "rep")
+    reps = nodes.where("rep is not null").select("doc_id", "rep", "size")
 
     lists = _lists(_entries(texts, width, threshold, plan, table))
     pairs = lists.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    pairs = pairs.join(reps, "doc_id").select("pivot", F.col("rep").alias("x"))
-    pairs = pairs.join(reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("y")), "pivot").where("x <> y")
-    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    sets = stored(_sets(texts, ends, width), "sets")
-    links = stored(_verified(pairs, sets, percent), "verified")
+    pairs = pairs.join(reps, "doc_id").select("doc_id", "pivot", F.col("rep").alias("x"), "size")
+    pairs = pairs.join(reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("y"), F.col("size").alias("other")), "pivot")
+    pairs = stored(
+        pairs.where("x <> y").select(
+            "doc_id", "pivot", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+            (100 * F.least("size", "other") >= percent * F.greatest("size", "other")).alias("sizes_fit"),
+        ),
+        "pairs",
+    )
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    marks = stored(_marks(texts, ends, width), "marks")
+    likely = stored(_likely(pairs.where("sizes_fit").select("a", "b").distinct(), marks, percent), "likely")
+    links = stored(_verified(likely, texts, width, percent), "verified")
     labels = connected_components(links)
-    more = stored(_left_apart(lists, pairs, reps, sets, labels, percent), "apart")
+    more = stored(_left_apart(lists, pairs, reps, marks, labels, percent), "apart")
     if not more.isEmpty():
-        more = _verified(more, sets, percent)
+        more = _verified(more, texts, width, percent)
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     labels = labels.select(F.col("node").alias("rep"), "component")
     return nodes.join(labels, "rep", "left").select(
