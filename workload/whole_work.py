@@ -124,7 +124,11 @@ SELECT k AS source, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderkey
 )
 def migration_verification(t: Tables) -> DataFrame:
     """What the destination holds is the plan itself with known faults, written as another system would."""
-    actions = stored(plan_of(t)["actions"], "plan")  # a plan is saved before it is verified
+    return verification_of(stored(plan_of(t)["actions"], "plan"))  # a plan is saved before it is verified
+
+
+def verification_of(actions: DataFrame) -> DataFrame:
+    """A stored plan beside its faulty twin."""
     k = F.element_at(F.split("source", ":"), 3).cast("bigint")
     dest = F.concat(F.lit("d-"), k)
     id_map = actions.select("scope", F.col("idempotency_key").alias("source_key"), dest.alias("destination_id"))
