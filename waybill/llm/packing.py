@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words that one Python worker remembers, in two generations, and the longest word that it remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_WORD_BYTES = 64
-ROWS_OUT = 4_000
+ROWS_OUT = 500
 
 # Words whose pre-tokens follow from their characters alone: printable ASCII without the apostrophe of contractions, and
 # composed Latin letters, which every Unicode version lower-cases one by one.
