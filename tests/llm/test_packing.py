@@ -66,3 +66,11 @@ def test_query_checksums(spark):
         ids = encoded[r.doc_id]
         piece = ids[r.start : r.start + r.length]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *piece))
+
+
+def test_long_runs_that_the_tokenizer_drops(frame):
+    texts = ["a " + "\u00a0" * 40 + " b", "\u3000" * 30, "a" + "\u00a0" * 40 + "b " + "\u3000" * 22 + " " + "x" * 100, "\u00a0 \u3000"]
+    packed = pack_documents(frame([*enumerate(texts)], "doc_id long, text string"), PATH).collect()
+    for i, text in enumerate(texts):
+        pieces = sorted((r for r in packed if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in pieces for x in struct.unpack(f"<{r.length}I", bytes(r.ids))] == plain_ids(text)

@@ -65,7 +65,7 @@ class WordEncoder:
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text):
             found = self.parts.get
-            return b"".join([found(p) or self._part(p) for p in PRE_TOKEN.findall(text.lower())])
+            return b"".join([self._part(p) if (ids := found(p)) is None else ids for p in PRE_TOKEN.findall(text.lower())])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: Iterator[bytes | None]) -> Iterator[bytes]:
@@ -73,10 +73,12 @@ class WordEncoder:
             words = text.split() if text else []
             rare: dict[bytes, bytes] = {}
             for word in {*words}.difference(self.young):
-                ids = self.old.get(word) or self._ids(word)
+                ids = self.old.get(word)
+                if ids is None:  # a word of characters that the tokenizer drops has no ids
+                    ids = self._ids(word)
                 (self.young if len(word) <= CACHE_WORD_BYTES else rare)[word] = ids
             if rare:
-                yield b"".join([rare.get(w) or self.young[w] for w in words])
+                yield b"".join([rare[w] if w in rare else self.young[w] for w in words])
             else:
                 yield b"".join(map(self.young.__getitem__, words))
             if len(self.young) > CACHE_WORDS:
