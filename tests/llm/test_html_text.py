@@ -54,3 +54,27 @@ def test_query_on_all_pages(spark):
         inner = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         want = [" ".join(unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(w for w in want if w) and r.n_chars == len(r.text)
+
+
+def test_wrappers_named_like_boilerplate_keep_their_article():
+    text = "<h1>Title</h1><p>First words of it.</p>"
+    for open_tag, close_tag in [
+        ("<div id='content-sidebar-wrap'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='layout-sidebar-right'>", "</div>"),
+        ("<div class='page-with-banner'>", "</div>"), ("<form action='/x'>", "</form>"),
+    ]:
+        for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div role=main>{text}</div>"):
+            assert main_text(FRAME.format(f"{open_tag}{inner}<div class='sidebar'><p>Aside</p></div>{close_tag}"), None) == "Title\nFirst words of it."
+        assert main_text(FRAME.format(f"{open_tag}<div>{text}<p>{'More words. ' * 5}</p></div>{close_tag}"), None).startswith("Title\nFirst words of it.\nMore")
+    whole = f"<html><body><form id='form1'><div class='sidebar'><p>Links</p></div><div><p>{'All of the page. ' * 9}</p></div></form></body></html>"
+    assert main_text(whole, None) == ("All of the page. " * 9).strip()
+
+
+def test_passages_of_an_article_and_comments():
+    words = "Some words of this passage, and further ones. " * 4
+    for name in ("discussion", "legal", "related", "social-policy"):
+        page = FRAME.format(f"<article><h1>T</h1><p>{words}</p><section class='{name}'><p>Kept here. {words}</p></section></article>")
+        assert "Kept here." in main_text(page, None) and "reader" not in main_text(page, None)
+    links = f"<article><p>{words}</p><div class='related'><a href='/x'>{words}</a></div></article>"
+    assert main_text(FRAME.format(links), None) == words.strip()
+    replies = f"<article><p>Short one.</p></article><div id='comments'><article class='comment'><p>{words * 9}</p></article></div>"
+    assert main_text(FRAME.format(replies), None) == "Short one."

@@ -38,7 +38,7 @@ CLOSES = {
 }
 SCOPE = frozenset("ul ol dl table div section article main body td th".split())
 # Never part of an article.
-BOILERPLATE_TAGS = frozenset("nav footer aside form button select dialog menu svg canvas object head audio video map".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside button select dialog menu svg canvas object head audio video map".split())
 BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -48,9 +48,17 @@ BOILERPLATE_NAMES = re.compile(
     r"newsletter|subscribe|subscription|signup|login|register|share|sharing|social|related|recommend\w*|comment\w*|disqus|"
     r"reply|replies|respond|discussion|widget\w*|pagination|pager|toolbar|hidden|copyright|legal|disclaimer|outbrain|taboola)$"
 )
+# Of these, words that a layout adds to the names of what it surrounds, and words that name passages of articles as well.
+LAYOUT_NAMES = re.compile(r"^(banner\w*|nav|navbar|navigation|menu\w*|sidebar\w*|side|rail|footer\w*|masthead|breadcrumb\w*|widget\w*|toolbar)$")
+PASSAGE_NAMES = re.compile(
+    r"^(promo\w*|side|notice\w*|notification\w*|alert\w*|consent|subscription|register|share|sharing|social|related|"
+    r"recommend\w*|discussion|copyright|legal|disclaimer)$"
+)
 HEADER_NAMES = re.compile(r"^((site|page|global|top|main|blog)[-_])?(header|topbar)$")
 CONTENT_NAMES = re.compile(r"^(article\w*|content|post\w*|entry\w*|story\w*|main|maincontent|text|body|page)$")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+# The share of a page's unlinked letters up to which a passage of an article with such a name is left out.
+SMALL = 0.05
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -62,6 +70,8 @@ class Node:
     left_out: bool
     linked: bool
     content: bool
+    doubt: str = ""  # "layout", "passage" or "other": its name says boilerplate, what it holds decides
+    subject: bool = False  # an article or the like, or a container that its name calls one
     letters: int = 0
     link_letters: int = 0
     headings: int = 0
@@ -78,25 +88,101 @@ def _names(attributes: dict[str, str]) -> list[str]:
     return sorted({DIGITS.sub("0", w) for w in words})
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], names: list[str], in_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in BOILERPLATE_TAGS or tag in RAW or (tag == "header" and not in_article):
         return True
     if not attributes:
         return False
     if attributes.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attributes:
         return True
-    if attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", "")):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
+    return attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
+
+
+def _doubt(tag: str, names: list[str], in_article: bool) -> str:
+    """What kind of boilerplate an element's names (or a form) may stand for; empty if for none."""
+    kinds = {"layout"} if tag == "form" else set()
     for name in names:
         parts = re.split(r"[-_:]+", name)
-        if any(BOILERPLATE_NAMES.match(p) for p in parts) or (HEADER_NAMES.match(name) and not in_article):
-            return True
-    return False
+        hits = [p for p in parts if BOILERPLATE_NAMES.match(p)]
+        if hits:
+            layout = len(parts) > 1 and all(LAYOUT_NAMES.match(p) for p in hits)
+            kinds.add("layout" if layout else "passage" if all(PASSAGE_NAMES.match(p) for p in hits) else "other")
+        elif HEADER_NAMES.match(name) and not in_article:
+            kinds.add("other")
+    return next((k for k in ("other", "passage", "layout") if k in kinds), "")
+
+
+def _decide(nodes: list[Node], plain: dict[int, int], linked: dict[int, int]) -> None:
+    """Leave out doubtful elements, but not those around the page's text; ``nodes`` in page order, letters by node.
+
+    An element is kept that holds the article (of the articles, the one with most unlinked letters outside other
+    doubtful elements). On a page without one, a layout's element is kept that holds more unlinked letters than stand
+    outside all doubtful ones (four times as many, if content is named there); then the largest other one, if it holds
+    four times as many as are kept so far and no content is named outside. A passage of an article that its name calls
+    legal, related or the like is kept if most of it is unlinked and it is no small share of the page.
+    """
+    if not any(node.doubt and not node.left_out for node in nodes):
+        return
+    clean, solid = dict(plain), dict(plain)  # letters outside doubtful elements, and outside all of them but layouts
+    for node in reversed(nodes):
+        up = id(node.parent)
+        if not node.left_out:
+            plain[up] = plain.get(up, 0) + plain.get(id(node), 0)
+            linked[up] = linked.get(up, 0) + linked.get(id(node), 0)
+            clean[up] = clean.get(up, 0) + (0 if node.doubt else clean.get(id(node), 0))
+            solid[up] = solid.get(up, 0) + (0 if node.doubt in ("other", "passage") else solid.get(id(node), 0))
+    root = id(nodes[0].parent)
+    kept: set[int] = set()
+    foreign: set[int] = set()  # articles with doubtful names, as of comments, and what they hold
+    doubtful: set[int] = set()  # doubtful elements and what they hold
+    best, named = None, False
+    for node in nodes:
+        if id(node.parent) in foreign or (node.tag == "article" and node.doubt == "" and node.subject is False):
+            foreign.add(id(node))
+        if node.doubt or id(node.parent) in doubtful:
+            doubtful.add(id(node))
+        if not node.subject or node.left_out or not clean.get(id(node)) or id(node) in foreign:
+            continue
+        if node.tag in ("article", "main") or node.content and not node.parent.content:
+            if best is None or clean[id(node)] > clean[id(best)]:
+                best = node
+        elif id(node) not in doubtful:
+            named = True
+    up = best
+    while up is not None:
+        kept.add(id(up))
+        up = up.parent
+    if best is None:
+        outside = clean.get(root, 0)
+        layouts = [n for n in nodes if n.doubt == "layout" and solid.get(id(n), 0) > outside * (4 if named else 1)]
+        kept.update(map(id, layouts))
+        outside += sum(clean.get(id(n), 0) for n in layouts)
+        others = [n for n in nodes if n.doubt in ("other", "passage") and plain.get(id(n), 0) > 4 * outside]
+        if others and not named:  # the largest one, the outer one of equals
+            kept.add(id(max(others, key=lambda n: plain[id(n)])))
+    for node in nodes:
+        own = plain.get(id(node), 0)
+        if node.doubt == "passage" and node.parent.content and own > linked.get(id(node), 0) and own > SMALL * plain[root]:
+            kept.add(id(node))
+    for node in nodes:
+        node.left_out |= node.parent.left_out or (bool(node.doubt) and id(node) not in kept)
+
+
+def walk(html: str) -> list[tuple[str, Node, str]]:
+    """The events of ``_events``, after it was decided for the whole page which elements are left out."""
+    events = list(_events(html))
+    nodes, plain, linked = [], {}, {}
+    for kind, node, text in events:
+        if kind == "open":
+            nodes.append(node)
+        elif kind == "text" and not node.left_out:
+            held = linked if node.linked else plain
+            held[id(node)] = held.get(id(node), 0) + len(text) - text.count(" ") - text.count("\n")
+    _decide(nodes, plain, linked)
+    return events
 
 
-def walk(html: str) -> Iterator[tuple[str, Node, str]]:
+def _events(html: str) -> Iterator[tuple[str, Node, str]]:
     """("open" | "close" | "break", node, "") and ("text", node, text) in page order."""
     root = node = Node("", "", None, False, False, False)
     at, end = 0, len(html)
@@ -137,12 +223,18 @@ def walk(html: str) -> Iterator[tuple[str, Node, str]]:
         in_article = node.content
         step = ".".join([tag, *names])
         content = node.content or tag in ("article", "main") or attributes.get("role") == "main"
-        left_out = node.left_out or _boilerplate(tag, attributes, names, in_article)
+        left_out = node.left_out or _boilerplate(tag, attributes, in_article)
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(html, at)
             at = end if close is None else (html.find(">", close.start()) + 1 or end)
             continue
         child = Node(tag, f"{node.path}>{step}" if tag not in INLINE else node.path, node, left_out, node.linked or tag == "a", content)
+        doubt = _doubt(tag, names, in_article) if names or tag == "form" else ""
+        if tag not in ("body", "html", "article", "main"):
+            child.doubt = doubt
+        article = tag in ("article", "main") or attributes.get("role") == "main"
+        called = tag in CONTAINERS and any(CONTENT_NAMES.match(p) for n in names for p in re.split(r"[-_:]+", n))
+        child.subject = tag == "main" or attributes.get("role") == "main" or (not doubt and (article or called))
         node = child
         yield "open", node, ""
     while node is not root:
