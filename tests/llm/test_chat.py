@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import itertools
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waybill.llm import chat
-from waybill.llm.chat import K, STATES, Hmm, learn, observe, parse_transcripts
+from waybill.llm.chat import K, ROLES, STATES, Hmm, chained, joined, learn, observe, parse_transcripts
 from waybill.llm.queries import QUERIES
+from waybill.llm.storage import stored
 
 
 def some_model(seed=0):
@@ -48,3 +51,42 @@ def test_roles_of_held_out_conversations(spark):
     both = QUERIES["op8_chat_formatting"](spark, folder).join(true, ["conv_id", "part"])
     assert both.where("held_out").agg(F.avg((F.col("role") == F.col("true")).cast("int"))).first()[0] > 0.85
     assert both.select("conv_id", "part").distinct().count() == true.count()
+
+
+@pytest.mark.parametrize("part", [None, 7])
+def test_rows_of_one_number_are_cut_into_chunks(frame, monkeypatch, part):
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    kept = {}
+    monkeypatch.setattr(chat, "stored", lambda made, name: kept.setdefault(name, stored(made, name)))
+    model = some_model()
+    lines = sorted(random.Random(1).choices(["User: a?", "b", "", "- c", "Bot: d"], k=300))
+    seen = [observe(line)[0] for line in lines]
+    path = model.path(seen, K, int(chained([model.table(seen)], K, None)[0][1]))
+    for conv in ("x", None):
+        rows = [(conv, part, line) for line in lines]
+        kept.clear()
+        got = parse_transcripts(frame(rows, "conv_id string, part long, text string").repartition(5), model).collect()
+        assert kept["chat-tables"].count() >= 300 / 8
+        assert Counter((r.role, r.continues) for r in got) == Counter((STATES[s][0], not STATES[s][1]) for s in path)
+
+
+def test_tables_chain_in_two_levels():
+    model, rng = some_model(), np.random.default_rng(2)
+    seen = rng.integers(0, chat.OBSERVATIONS, 60).tolist()
+    pieces = [model.table(seen[k : k + 5]) for k in range(0, 60, 5)]
+    ranges = [joined(pieces[k : k + 4]) for k in range(0, 12, 4)]
+    assert np.allclose(joined(ranges), model.table(seen))
+    ends = chained(ranges, K, None)
+    inner = [e for k, (before, last) in enumerate(ends) for e in chained(pieces[4 * k : 4 * k + 4], before, last)]
+    assert inner == chained(pieces, K, None)
+
+
+def test_learning_counts_every_row_once(frame):
+    turns = [(c, k, f"{c} {k}", ROLES[k % 3]) for c in range(5) for k in range(40)]
+    plain = np.zeros((K, K))
+    for c, k, _, _ in turns:
+        if k:
+            plain[2 * ((k - 1) % 3), 2 * (k % 3)] += 1
+    want = Hmm.of(np.array([5, 0, 0, 0, 0, 0]), plain, np.zeros((K, chat.OBSERVATIONS)))
+    got = learn(frame(turns, "conv_id long, part long, text string, role string").repartition(7))
+    assert np.allclose(np.exp(got.start), np.exp(want.start)) and np.allclose(np.exp(got.move), np.exp(want.move))

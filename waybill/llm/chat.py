@@ -1,9 +1,10 @@
 """Chat formatting: a hidden Markov model over speaker markers and line features recovers the roles of a transcript.
 
 A transcript comes in parts (conv_id, part, text), each with one or more lines. States are the roles, each at the first
-line of a turn or further on. A conversation is decoded in chunks of parts: every chunk becomes the table of its best
-path scores between any two states, the tables of a conversation are chained, and each chunk is then decoded between
-the states at its ends. That is the exact Viterbi path, and no task reads a whole long conversation.
+line of a turn or further on. All rows are put in one order, dealt by ranges of it, and cut into chunks of so many
+rows: every chunk becomes the table of its best path scores between any two states, the tables of a conversation are
+chained in two levels (within each range, and over ranges), and each chunk is then decoded between the states at its
+ends. That is the exact Viterbi path, and no task reads a whole long conversation or all of its tables.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from waybill.llm.storage import stored
+
 ROLES = ("system", "user", "assistant")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
 K = len(STATES)
-# Parts of one chunk, by their number.
+# Rows of one chunk at most.
 CHUNK = 256
 
 _OPEN, _CLOSE = r"^[\s#>*\[<|({_]*", r"(?:\s+\d+)?[\s\])>|*}_]*(?:[:：>\]|*]|-\s|$)[\s\])>|*:_]*"
@@ -110,11 +114,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
         yield key, held
 
 
-def _dealt(parts: DataFrame, *more: str) -> DataFrame:
-    """Parts by conversation and chunk; parts of one number are ordered by their text, a null number comes first."""
-    chunk = F.floor(F.coalesce(F.col("part"), F.lit(0)) / CHUNK).cast("long")
-    rows = parts.select("conv_id", chunk.alias("chunk"), "part", F.coalesce("text", F.lit("")).alias("text"), *more)
-    return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "part", "text")
+def _ordered(parts: DataFrame, *more: str) -> DataFrame:
+    """conv_id, part, text and ``more``, dealt by ranges of the order of conversation, part and text and sorted in each.
+
+    A null number comes first. Texts are ordered by their beginnings, then by a hash, as bounds of ranges reach the
+    driver. The last key sets equal rows apart, so that they can be dealt over several ranges.
+    """
+    keys = ["conv_id", "part", F.substring("text", 1, 256), F.xxhash64("text"), *more, "_tie"]
+    rows = parts.select("conv_id", "part", F.coalesce("text", F.lit("")).alias("text"), *more)
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+
+
+# Places count up from the partition's number times this.
+RANGE = 1 << 33
 
 
 def _lines(text: str) -> list[str]:
@@ -125,42 +138,91 @@ COUNTS = "kind string, a int, b int, n long"
 
 
 def learn(parts: DataFrame) -> Hmm:
-    """The model from parts whose ``role`` is known; what the driver gathers is one number per cell of its tables."""
+    """The model from parts whose ``role`` is known; the driver gathers one number per cell of its tables, and the two
+    ends of each range of rows, at which conversations may go on."""
     place = {s: k for k, s in enumerate(STATES)}
+    kind = parts.schema["conv_id"].dataType.simpleString()
+    schema = pa.schema([
+        ("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()),
+        ("conv_id", to_arrow_type(parts.schema["conv_id"].dataType)),
+    ])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, show = np.zeros(K, np.int64), np.zeros((K, K), np.int64), np.zeros((K, OBSERVATIONS), np.int64)
-        for (_, chunk), rows in _chunks(batches):
-            state = None
-            for _, _, _, text, role in rows:
-                if role not in ROLES:
-                    state = None
+        state, at, first, any_row = -1, None, -1, False
+        first_of = None
+        for batch in batches:
+            for conv, _, text, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fresh = any_row and conv != at
+                if fresh:
+                    state = -1
+                known = role in ROLES
+                if not any_row:
+                    first, first_of = place[role, True] if known else -1, conv
+                elif fresh and known:
+                    start[place[role, True]] += 1
+                any_row, at = True, conv
+                if not known:
+                    state = -1
                     continue
                 for n, line in enumerate(_lines(text)):
                     new = place[role, n == 0]
-                    if state is not None:
+                    if state >= 0:
                         move[state, new] += 1
-                    elif chunk == 0:
-                        start[new] += 1
                     show[new, observe(line)[0]] += 1
                     state = new
-        rows = [("start", int(a), 0, int(start[a])) for a in np.flatnonzero(start)]
-        rows += [(kind, int(a), int(b), int(t[a, b])) for kind, t in (("move", move), ("show", show)) for a, b in np.argwhere(t)]
-        if rows:
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n"])
+        if not any_row:
+            return
+        rows = [("start", int(a), 0, int(start[a]), None) for a in np.flatnonzero(start)]
+        rows += [(k, int(a), int(b), int(t[a, b]), None) for k, t in (("move", move), ("show", show)) for a, b in np.argwhere(t)]
+        here = TaskContext.get().partitionId()
+        rows += [("first", here, first, 0, first_of), ("last", here, state, 0, at)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     start, move, show = np.zeros(K), np.zeros((K, K)), np.zeros((K, OBSERVATIONS))
-    cells = _dealt(parts, "role").mapInArrow(count, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    for kind, a, b, n in cells.collect():
-        if kind == "start":
+    ends: dict[str, dict[int, tuple]] = {"first": {}, "last": {}}
+    # The ends of a range have its number in ``a``, so each of them is a group of its own.
+    cells = _ordered(parts, "role").mapInArrow(count, f"{COUNTS}, conv_id {kind}").groupBy("kind", "a", "b", "conv_id").agg(F.sum("n").alias("n"))
+    for what, a, b, conv, n in cells.collect():
+        if what in ends:
+            ends[what][a] = (conv, b)
+        elif what == "start":
             start[a] = n
         else:
-            (move if kind == "move" else show)[a, b] = n
+            (move if what == "move" else show)[a, b] = n
+    before = None
+    for here, (conv, first) in sorted(ends["first"].items()):
+        if first >= 0:
+            if before is None or before[0] != conv:
+                start[first] += 1
+            elif before[1] >= 0:
+                move[before[1], first] += 1
+        before = ends["last"][here]
     return Hmm.of(start, move, show)
 
 
+def joined(tables: list[np.ndarray]) -> np.ndarray:
+    """The table of several stretches that follow each other."""
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = (whole[:, :, None] + table[None, :K]).max(axis=1)
+    return whole
+
+
+def chained(tables: list[np.ndarray], before: int, last: int | None) -> list[tuple[int, int]]:
+    """The states before and at the end of each stretch on the best path from ``before`` to ``last`` (None: any)."""
+    scores = [tables[0][before]]
+    for table in tables[1:]:
+        scores.append((scores[-1][:, None] + table[:K]).max(axis=0))
+    last = int(scores[-1].argmax()) if last is None else last
+    found = []
+    for n in range(len(tables) - 1, -1, -1):
+        start = before if n == 0 else int((scores[n - 1] + tables[n][:K, last]).argmax())
+        found.append((start, last))
+        last = start
+    return found[::-1]
+
+
 def parse_transcripts(parts: DataFrame, model: Hmm) -> DataFrame:
     """Per run of lines of one turn within a part: conv_id, part, segment, role, continues, text, rendered.
 
@@ -176,94 +238,102 @@ def parse_transcripts(parts: DataFrame, model: Hmm) -> DataFrame:
     part_type = to_arrow_type(parts.schema["part"].dataType)
     id_type = to_arrow_type(parts.schema["conv_id"].dataType)
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm = shared.value
-        ids, chunks, found = [], [], []
-        for (conv, chunk), rows in _chunks(batches):
-            seen = [observe(line)[0] for row in rows for line in _lines(row[3])]
-            ids.append(conv)
-            chunks.append(chunk)
-            found.append(hmm.table(seen).ravel().tolist())
-        if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(chunks, pa.int64()), pa.array(found, pa.list_(pa.float64()))],
-                names=["conv_id", "chunk", "best"],
-            )
+    table_schema = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("best", pa.list_(pa.float64()))])
+    ends_schema = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("before", pa.int32()), ("last", pa.int32())])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        same: list[tuple] = []
-
-        def close() -> None:
-            scores, best = None, []
-            for _, _, table in same:
-                table = np.array(table).reshape(K + 1, K)
-                best.append(table)
-                scores = [*(scores or []), table[K] if scores is None else (scores[-1][:, None] + table[:K]).max(axis=0)]
-            last = int(scores[-1].argmax())
-            for n in range(len(same) - 1, -1, -1):
-                before = K if n == 0 else int((scores[n - 1] + best[n][:K, last]).argmax())
-                out.append((*same[n][:2], before, last))
-                last = before
+    def written(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if same and same[0][0] != row[0]:
-                    close()
-                    same.clear()
-                same.append(row)
-            if len(out) > 10_000:
-                yield _ends(out, id_type)
+    def flushed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        out = []
+        for row in rows:
+            out.append(row)
+            if len(out) >= 2_000:
+                yield written(out, schema)
                 out = []
-        if same:
-            close()
         if out:
-            yield _ends(out, id_type)
+            yield written(out, schema)
+
+    def as_table(cells: list[float]) -> np.ndarray:
+        return np.array(cells).reshape(K + 1, K)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hmm = shared.value
+        found = (
+            (conv, chunk, hmm.table([observe(line)[0] for row in rows for line in _lines(row[3])]).ravel().tolist())
+            for (conv, chunk), rows in _chunks(batches)
+        )
+        yield from flushed(found, table_schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((conv, rng, joined([as_table(r[3]) for r in rows]).ravel().tolist()) for (conv, rng), rows in _chunks(batches))
+        yield from flushed(found, table_schema)
+
+    def over_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (
+            (conv, row[2], before, last)
+            for (conv, _), rows in _chunks(batches)
+            for row, (before, last) in zip(rows, chained([as_table(r[3]) for r in rows], K, None), strict=True)
+        )
+        yield from flushed(found, ends_schema)
+
+    def within_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (
+            (conv, row[2], before, last)
+            for (conv, _), rows in _chunks(batches)
+            for row, (before, last) in zip(rows, chained([as_table(r[3]) for r in rows], *rows[0][4:]), strict=True)
+        )
+        yield from flushed(found, ends_schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = shared.value
-        schema = None
-        for batch in batches:
-            schema = schema or pa.schema([
-                ("conv_id", id_type), ("part", part_type), ("segment", pa.int32()),
-                ("role", pa.string()), ("continues", pa.bool_()), ("text", pa.string()), ("rendered", pa.string()),
-            ])
-            out = []
-            for conv, _, rows_parts, texts, before, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [(k, line) for k, text in enumerate(texts) for line in _lines(text)]
+        schema = pa.schema([
+            ("conv_id", id_type), ("part", part_type), ("segment", pa.int32()),
+            ("role", pa.string()), ("continues", pa.bool_()), ("text", pa.string()), ("rendered", pa.string()),
+        ])
+
+        def segments() -> Iterator[tuple]:
+            for (conv, _), rows in _chunks(batches):
+                lines = [(k, line) for k, row in enumerate(rows) for line in _lines(row[3])]
                 seen = [observe(line) for _, line in lines]
-                path = hmm.path([o for o, _ in seen], before, last)
+                path = hmm.path([o for o, _ in seen], *rows[0][4:])
                 segment, at = 0, None
                 held: list[str] = []
-                for n, ((k, line), (_, cut), state) in enumerate(zip(lines, seen, path, strict=True)):
+                out: list[list] = []
+                for (k, line), (_, cut), state in zip(lines, seen, path, strict=True):
                     role, first = STATES[state]
-                    if n == 0 or first or at != k:
+                    if first or at != k:
                         segment = 0 if at != k else segment + 1
                         held = []
-                        out.append([conv, rows_parts[k], segment, role, not first, held])
+                        out.append([conv, rows[k][2], segment, role, not first, held])
                         at = k
                     held.append(line[cut:] if first else line)
-            if out:
-                texts = ["\n".join(row[5]).strip() for row in out]
-                columns = [*list(zip(*(row[:5] for row in out), strict=True)), texts]
-                columns.append([f"<|{row[3]}|>\n{text}\n<|end|>" for row, text in zip(out, texts, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    rows = _dealt(parts)
-    best = rows.mapInArrow(tables, f"conv_id {kind}, chunk long, best array<double>")
-    ends = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
-    ends = ends.mapInArrow(chain, f"conv_id {kind}, chunk long, before int, last int")
-    gathered = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("rows"))
-    both = gathered.join(ends, gathered.conv_id.eqNullSafe(ends.conv_id) & (gathered.chunk == ends.chunk))
-    both = both.select(gathered.conv_id, gathered.chunk, F.col("rows.part").alias("parts"), F.col("rows.text").alias("texts"), "before", "last")
-    return both.mapInArrow(
+                for *row, kept in out:
+                    text = "\n".join(kept).strip()
+                    yield (*row, text, f"<|{row[3]}|>\n{text}\n<|end|>")
+
+        yield from flushed(segments(), schema)
+
+    placed = _ordered(parts).withColumn("at", F.monotonically_increasing_id())
+    placed = stored(placed, "chat-parts").withColumn("chunk", F.floor(F.col("at") / CHUNK).cast("long"))
+    rows = placed.select("conv_id", "chunk", "part", "text", "at").repartition("chunk").sortWithinPartitions("chunk", "at")
+    kinds = f"conv_id {kind}, chunk long, best array<double>"
+    ends_kinds = f"conv_id {kind}, chunk long, before int, last int"
+    best = stored(rows.drop("at").mapInArrow(tables, kinds), "chat-tables")
+    best = best.withColumn("rng", F.floor(F.col("chunk") * CHUNK / RANGE).cast("long"))
+
+    by_range = best.select("conv_id", "rng", "chunk", "best").repartition("conv_id", "rng").sortWithinPartitions("conv_id", "rng", "chunk")
+    whole = by_range.mapInArrow(fold, kinds).select("conv_id", F.lit(0).alias("all"), F.col("chunk").alias("rng"), "best")
+    whole = whole.repartition("conv_id").sortWithinPartitions("conv_id", "rng").mapInArrow(over_ranges, ends_kinds)
+    whole = whole.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_rng"), "before", "last")
+
+    ends = best.join(whole, best.conv_id.eqNullSafe(F.col("_conv")) & (F.col("rng") == F.col("_rng")))
+    ends = ends.select("conv_id", "rng", "chunk", "best", "before", "last").repartition("conv_id", "rng").sortWithinPartitions("conv_id", "rng", "chunk")
+    ends = ends.mapInArrow(within_ranges, ends_kinds)
+    ends = ends.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), "before", "last")
+
+    both = placed.join(ends, placed.conv_id.eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")))
+    both = both.select("conv_id", "chunk", "part", "text", "before", "last", "at").repartition("chunk").sortWithinPartitions("chunk", "at")
+    return both.drop("at").mapInArrow(
         decode, f"conv_id {kind}, part {part_kind}, segment int, role string, continues boolean, text string, rendered string"
     )
-
-
-def _ends(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    conv, chunk, before, last = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(conv, id_type), pa.array(chunk, pa.int64()), pa.array(before, pa.int32()), pa.array(last, pa.int32())],
-        names=["conv_id", "chunk", "before", "last"],
-    )
