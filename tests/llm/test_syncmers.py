@@ -64,3 +64,23 @@ def test_query_finds_the_edited_text(spark):
 def test_main_path_is_native(spark):
     plan = QUERIES["op5_closed_syncmers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_texts_are_compared_whole(frame):
+    words = [f"w{k}" for k in range(6000)]
+    passage = [f"shared{k}" for k in range(50)]
+    texts = {
+        6: words, 5: [*words[:3000], "one", "sentence", "more", *words[3000:]], 4: [*words[3000:], *words[:3000]],
+        3: [f"a{k}" for k in range(5000)] + passage, 2: passage + [f"b{k}" for k in range(5000)],
+    }
+    got = {r.doc_id: r for r in compare_edited(frame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 5
+    assert 0.99 < got[6].near_next < 1 and 0.99 < got[5].near_next < 1
+    assert 0 < got[3].near_next < 0.02
+
+
+def test_passages_in_another_order_are_not_the_same(frame):
+    a, b, c = ([f"{x}{k}" for k in range(40)] for x in "abc")
+    rows = [(2, " ".join(a + b + c)), (1, " ".join(c + b + a))]
+    got = {r.doc_id: r for r in compare_edited(frame(rows, "doc_id long, text string")).collect()}
+    assert 0.7 < got[2].near_next < 1 and got[1].fingerprint != got[2].fingerprint

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 K, S = 4, 2
-# Anchors that a fingerprint holds at most: those with the smallest hashes (all of them, in shorter texts).
+# Anchors that the short sketch of a fingerprint holds at most: those with the smallest hashes. The rest of a fingerprint,
+# and likeness, follow from all anchors.
 SKETCH = 128
 # Rows of one part of the global order, and the parts at most (their bounds are known to the driver).
 PART_ROWS = 500
@@ -56,29 +57,50 @@ def with_anchors(docs: DataFrame, text: str, name: str) -> DataFrame:
     ).withColumn(name, _chosen(F.col("_inner"))).drop("_words", "_inner")
 
 
-def with_sketch(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """``docs`` with array<int> ``name``: the smallest ``SKETCH`` distinct anchors, in order.
+def _linked(anchors: Column) -> Column:
+    """Each anchor with its distance to the next one and that one's hash; null where there is no anchor.
 
-    A text without an anchor (fewer than four words, or no syncmer) has the hash of the whole text as its one anchor;
-    null counts as empty.
+    Of two runs that follow each other at least one is an anchor, so the next anchor is one or two places on; the last
+    one of a text stands alone.
+    """
+
+    def at(x: Column, k: Column) -> Column:
+        one, two = F.get(anchors, k + 1), F.get(anchors, k + 2)
+        after = F.when(one.isNotNull(), F.xxhash64(x, F.lit(1), one)).when(two.isNotNull(), F.xxhash64(x, F.lit(2), two))
+        return F.when(x.isNotNull(), after.otherwise(F.xxhash64(x)))
+
+    return F.transform(anchors, at)
+
+
+def with_links(docs: DataFrame, text: str, name: str, sketch: str | None = None) -> DataFrame:
+    """``docs`` with array<bigint> ``name``: the links of all anchors of the text, in order, each anchor with the next.
+
+    Two texts share a link where two successive anchors stand at one offset to each other in both, so a passage that
+    both hold gives a run of shared links, wherever it stands, and passages in another order lose those at their seams.
+    A text without an anchor (fewer than four words, or no syncmer) has the hash of the whole text as its one link;
+    null counts as empty. ``sketch`` names a column for the smallest ``SKETCH`` distinct anchors.
     """
     found = with_anchors(docs, text, "_anchors")
-    distinct = F.array_sort(F.array_distinct(F.array_compact("_anchors")))
-    found = found.withColumn("_distinct", distinct)
-    whole = F.array(F.hash(F.coalesce(F.col(text), F.lit(""))))
-    few = F.when(F.size("_distinct") == 0, whole).otherwise(F.slice("_distinct", 1, SKETCH))
-    return found.withColumn(name, few).drop("_anchors", "_distinct")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = found.withColumn("_links", F.array_compact(_linked(F.col("_anchors"))))
+    if sketch:
+        found = found.withColumn("_distinct", F.array_sort(F.array_distinct(F.array_compact("_anchors"))))
+        few = F.when(F.size("_distinct") == 0, F.array(F.hash(whole))).otherwise(F.slice("_distinct", 1, SKETCH))
+        found = found.withColumn(sketch, few)
+    links = F.when(F.size("_links") == 0, F.array(F.xxhash64(whole))).otherwise(F.col("_links"))
+    return found.withColumn(name, links).drop("_anchors", "_links", "_distinct")
 
 
-def as_text(sketch: Column) -> Column:
-    """Eight hexadecimal digits for each anchor."""
-    return F.array_join(F.transform(sketch, lambda x: F.substring(F.lower(F.lpad(F.hex(x.cast("long")), 16, "0")), 9, 8)), "")
+def as_text(sketch: Column, links: Column) -> Column:
+    """A digest of all links in their order (16 hexadecimal digits), then eight digits for each anchor of the sketch."""
+    few = F.array_join(F.transform(sketch, lambda x: F.substring(F.lower(F.lpad(F.hex(x.cast("long")), 16, "0")), 9, 8)), "")
+    return F.concat(F.lower(F.lpad(F.hex(F.xxhash64(links)), 16, "0")), few)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the anchors of two texts: what both share of the smallest of their union."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+    """Jaccard similarity of all links of two texts, given as arrays of distinct ones."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def _bounds(docs: DataFrame) -> list[int]:
@@ -124,17 +146,18 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, text, n_chars, sketch, and the same of its next document (next_text, next_sketch).
+    """Per document: doc_id, text, n_chars, fingerprint, _held (distinct links), and the next document's next_text (null if
+    nothing follows).
 
     Every input row gives one row; only doc_id and text are read. Null texts count as empty.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed, order = in_order(own)
-    made = with_sketch(placed, "text", "sketch")
-    made = made.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return made.where("not _guest").select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), "sketch",
-        F.coalesce("next_text", F.lit("")).alias("next_text"), "next_sketch",
+    made = placed.withColumn("next_text", F.lead("text").over(order)).where("not _guest")
+    made = with_links(made, "text", "_own", "_sketch")
+    return made.select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), as_text(F.col("_sketch"), F.col("_own")).alias("fingerprint"),
+        F.array_distinct("_own").alias("_held"), "next_text",
     )
 
 
@@ -142,19 +165,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how like they and the next document's are.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document by descending doc_id.
+    document by descending doc_id. Both likenesses are of all anchors of both whole texts.
     """
     made = fingerprints(docs)
     half = "cast(floor(n_chars / 2) as int)"
-    made = made.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))"))
-    made = with_sketch(made, "edited", "edited_sketch")
-    nothing = F.lit(0.0)
+    after = "coalesce(next_text, '')"
+    made = made.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring({after}, 1, {half}))"))
+    made = with_links(made, "edited", "_edited", "_sketch")
+    made = made.select(
+        "doc_id", "n_chars", "fingerprint", "_held", "next_text", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("_sketch"), F.col("_edited")).alias("edited_fingerprint"),
+        likeness(F.col("_held"), F.array_distinct("_edited")).alias("near_edited"),
+    )
+    made = with_links(made, "next_text", "_next").withColumn("_next", F.array_distinct("_next"))
+    near = F.when(F.col("next_text").isNotNull(), likeness(F.col("_held"), F.col("_next"))).otherwise(F.lit(0.0))
     return made.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        F.coalesce(likeness(F.col("sketch"), F.col("next_sketch")), nothing).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near.alias("near_next")
     )
