@@ -43,3 +43,23 @@ def test_counts_of_texts(column):
     assert column(words, texts) == [0, 0, 0, 1, 3, 4]
     assert column(pieces, texts) == [0, 0, 0, 1, 5, 5]
     assert column(pieces_by_digit, ["12 ab34", "a b"]) == [5, 2]
+
+
+def test_folded_batches_keep_totals_and_names(spark, frame, tmp_path):
+    folder = tmp_path / "totals"
+    store = Rollup(spark, str(folder))
+    assert not store.compact()
+    rows = frame([("a", "en", "t1", 5, 4), (None, "en", "t1", 1, 1)], SCHEMA)
+    store.commit("one", inserts(rows))
+    store.commit("two", inserts(rows))
+    before = held(store)
+    assert store.compact() and held(store) == before and not list(folder.glob("batch=*"))
+    assert not store.commit("one", inserts(rows)) and store.batches() == ["one", "two"] and held(store) == before
+    assert store.commit("three", deletes(rows)) and store.compact()
+    assert held(store) == {("a", "en", "t1"): (1, 5), (None, "en", "t1"): (1, 1)}
+    assert not store.commit("three", deletes(rows)) and len(list(folder.glob("fold=*"))) == 1
+    store.commit("four", inserts(rows))
+    four = held(store)
+    store.compact()
+    mark = next(folder.glob("fold=*")) / "_SUCCESS"
+    assert mark.exists() and held(store) == four and store.batches() == ["four", "one", "three", "two"]
