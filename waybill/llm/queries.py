@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import chat, pseudo_likelihood, rollups
+from waybill.llm import chat, filter_audit, pseudo_likelihood, rollups
 from waybill.llm.decontaminate import find_phrases
 from waybill.llm.html_text import extract_pages
 from waybill.llm.jaccard import jaccard_components
@@ -219,3 +219,56 @@ FROM fit WHERE n = 1
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, none above one MiB of text unless a single document is."""
     return assign_shards(table(spark, sf_dir, "documents"), OP9_LIMIT)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+first AS (SELECT t, min(doc_id) AS smallest FROM d GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > smallest THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN first USING (t) LEFT JOIN marks USING (doc_id)),
+counted AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, substr(filter_order, CAST(s AS INTEGER), 1) AS letter,
+    substr(filter_order, 1, CAST(s AS INTEGER) - 1) AS before
+  FROM orders, generate_series(1, 5) AS g(s)),
+applied AS (
+  SELECT *, contains(failed, letter) AS fails, length(translate(before, failed, '')) < length(before) AS gone
+  FROM counted, steps),
+summed AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE failed = letter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost
+  FROM applied GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from all documents, by source, in all orders of the filters."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
