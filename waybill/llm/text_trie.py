@@ -98,5 +98,5 @@ def routed(texts: DataFrame, limit_bytes: int) -> DataFrame:
     out = texts.withColumn("route", F.substring("text", 1, FIRST_BYTES))
     for length, over in large:
         out = out.join(over.withColumn("_large", F.lit(True)), "route", "left")
-        out = out.withColumn("route", F.when("_large", F.substring("text", 1, 2 * length)).otherwise(F.col("route"))).drop("_large")
+        out = out.withColumn("route", F.when(F.col("_large"), F.substring("text", 1, 2 * length)).otherwise(F.col("route"))).drop("_large")
     return out.repartitionByRange(max(1, -(-total // limit_bytes)), "route").sortWithinPartitions("route")
