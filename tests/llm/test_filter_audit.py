@@ -47,11 +47,11 @@ def plain_audit(rows, labels):
     return out
 
 
-def found(frame, rows, labels, trie_bytes):
+def found(frame, rows, labels, route_bytes):
     docs = frame([(*r[:3], 9, "clash") for r in rows], SCHEMA)
     marks = frame(labels, "doc_id long, quality int, toxic int")
     names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
-    got = filter_audit.audit(docs, marks, trie_bytes).collect()
+    got = filter_audit.audit(docs, marks, route_bytes).collect()
     assert len({(r.part, r.filter_order, r.step) for r in got}) == len(got)
     return {(r.part, r.filter_order, r.step): [r[n] for n in names] for r in got}
 
@@ -66,8 +66,8 @@ def test_all_orders_agree_with_a_plain_loop(frame):
     rows += [(None, "a", "tree " * 250), (None, "a", "tree " * 250), rows[0], rows[0], (rows[3][0], "c", rows[3][2])]
     labels = [(k, rng.randrange(2), rng.randrange(2)) for k, *_ in rows if k is not None and k % 2] + [(None, 1, 1), (rows[0][0], 1, 0)]
     want = plain_audit(rows, labels)
-    for trie_bytes in (1 << 20, 600):
-        assert found(frame, rows, labels, trie_bytes) == want
+    for route_bytes in (1 << 20, 600):
+        assert found(frame, rows, labels, route_bytes) == want
 
 
 def test_empty_tables(frame):

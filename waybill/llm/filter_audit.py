@@ -21,8 +21,9 @@ from waybill.llm.text_trie import RadixTrie, routed
 LETTERS = "ABCDE"
 DUPLICATE = 1 << LETTERS.index("E")
 
-# Bytes of text that one trie holds in a task.
+# Bytes of text that one trie holds in a task, and bytes below a prefix that texts are dealt by.
 TRIE_BYTES = 16 << 20
+ROUTE_BYTES = 4 << 20
 
 SIGNS = re.compile(rb"[#$%&*|]")
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -128,22 +129,25 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by ``SCHEMA`` with ``route``, sorted by it, all of a route in one task: which of them are duplicates."""
+    """Rows by ``SCHEMA`` with ``route``, sorted by it, all of a route in one task: which of them are duplicates.
+
+    A full trie is emptied where the route changes, as no later text can equal one in it.
+    """
     write, held, route = None, Originals(), None
     for batch in batches:
         write = write or _writer(batch.schema.field(0).type)
         out = []
         for key, part, mask, n, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != route:
+            if at != route and held.bytes >= TRIE_BYTES:
                 out += [(*row[:4], None) for row in held.take_smallest()]
-                route = at
+            route = at
             held.add(key, part, n, text, mask)
         yield write(out + held.take_settled())
     if write:
         yield write([(*row[:4], None) for row in held.take_smallest()])
 
 
-def failures(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def failures(docs: DataFrame, route_bytes: int = ROUTE_BYTES) -> DataFrame:
     """Counts of rows by doc_id, part and mask: bit k of ``mask`` is set if a row fails filter ``LETTERS[k]``.
 
     Copies are found in two levels of compressed tries. Every task inserts its own whole texts; a row whose id is not
@@ -161,13 +165,13 @@ def failures(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
     )
     first = stored(rows.mapInArrow(collapse, SCHEMA.format(key=key)), "texts")
-    open_rows = routed(first.where("text is not null"), trie_bytes)
+    open_rows = routed(first.where("text is not null"), route_bytes)
     again = open_rows.select("doc_id", "part", "mask", "n", "text", "route").mapInArrow(resolve, SCHEMA.format(key=key))
     settled = first.where("text is null").unionByName(again)
     return settled.groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
 
 
-def audit(docs: DataFrame, labels: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, route_bytes: int = ROUTE_BYTES) -> DataFrame:
     """Per part, filter_order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     ``labels`` has doc_id, quality, toxic; a document is good (toxic) if any of its rows says 1, and neither without
@@ -177,7 +181,7 @@ def audit(docs: DataFrame, labels: DataFrame, trie_bytes: int = TRIE_BYTES) -> D
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("bad")
     )
-    counted = failures(docs, trie_bytes).join(marks, "doc_id", "left").groupBy("part", "mask").agg(
+    counted = failures(docs, route_bytes).join(marks, "doc_id", "left").groupBy("part", "mask").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.coalesce("good", F.lit(0))).alias("good"),
         F.sum(F.col("n") * F.coalesce("bad", F.lit(0))).alias("bad"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.storage import stored
 
-# Bytes of the shortest prefix that texts are dealt by; a prefix that holds too much is twice as long in the next round.
-FIRST_BYTES = 2
+# Bytes of the shortest prefix that texts are dealt by, and how many times longer one is that holds too much.
+FIRST_BYTES = 16
+GROWTH = 8
 
 
 class Node:
@@ -77,26 +80,26 @@ class RadixTrie:
 def routed(texts: DataFrame, limit_bytes: int) -> DataFrame:
     """``texts`` (with a binary column text) dealt and sorted by ``route``, a prefix of the text.
 
-    A route is the shortest prefix of 2, 4, 8, ... bytes below which all texts together have at most ``limit_bytes``,
-    or are all the same; equal texts have equal routes. Sizes are summed before they are shuffled, and each round
-    reads only what lies below prefixes that were too large. Neighbouring routes share a partition.
+    A route is the shortest prefix of 16, 128, 1 024, ... bytes below which all texts together have at most
+    ``limit_bytes``, or are all the same; equal texts have equal routes. Sizes are summed before they are shuffled.
+    Texts whose prefix is short enough leave; each round reads only what lies below prefixes that were too large.
+    Neighbouring routes share a partition.
     """
     size = F.length("text")
     total = texts.agg(F.sum(size)).first()[0] or 0
-    at, large, rest = FIRST_BYTES, [], texts.select("text")
+    at, done, rest = FIRST_BYTES, [], texts
     while True:
-        cells = rest.groupBy(F.substring("text", 1, at).alias("route")).agg(
+        rest = rest.withColumn("route", F.substring("text", 1, at))
+        cells = rest.groupBy("route").agg(
             F.sum(size).alias("bytes"), F.max(size).alias("longest"),
             (F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several"),
         )
-        over = stored(cells.where((F.col("bytes") > limit_bytes) & (F.col("longest") > at) & F.col("several")).select("route"), "prefixes")
-        if over.isEmpty():
+        large = stored(cells.where((F.col("bytes") > limit_bytes) & (F.col("longest") > at) & F.col("several")).select("route"), "prefixes")
+        if large.isEmpty():
+            done.append(rest)
             break
-        large.append((at, over))
-        rest = rest.withColumn("route", F.substring("text", 1, at)).join(over, "route", "left_semi").select("text")
-        at *= 2
-    out = texts.withColumn("route", F.substring("text", 1, FIRST_BYTES))
-    for length, over in large:
-        out = out.join(over.withColumn("_large", F.lit(True)), "route", "left")
-        out = out.withColumn("route", F.when(F.col("_large"), F.substring("text", 1, 2 * length)).otherwise(F.col("route"))).drop("_large")
+        done.append(rest.join(large, "route", "left_anti"))
+        rest = stored(rest.join(large, "route", "left_semi").drop("route"), "below")
+        at *= GROWTH
+    out = reduce(DataFrame.unionByName, done)
     return out.repartitionByRange(max(1, -(-total // limit_bytes)), "route").sortWithinPartitions("route")
