@@ -22,8 +22,8 @@ from waybill.llm.two_stage import repeated_places
 
 LENGTH = 200
 BLOCK_BYTES = 2 << 20
-PIECE_BYTES = 1 << 20  # bytes that are hashed at once
-SHARD_BYTES = 4 << 20  # bytes of fragments that are sorted at once
+PIECE_BYTES = 1 << 19  # bytes that are hashed at once
+SHARD_BYTES = 2 << 20  # bytes of fragments that are sorted at once
 FRAGMENT_IDS = 1 << 20  # fragments whose bytes a task remembers to have written
 
 BASE = 0x9E3779B97F4A7C15
