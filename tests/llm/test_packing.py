@@ -13,12 +13,11 @@ from waybill.llm.queries import QUERIES
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", "  \n", "One two, two.", "x" * 3000, "Don't stop the ÉCOLE école ΣΑΣ 12345",
-    "the cat sat " * 3000, "One two, two.", "<|endoftext|> is text", "日本語のテキスト", "Stra\u00dfe %%% _x_ x%%%y \u00c5ngstr\u00f6m A\u030angstrom \u0130stanbul it\u2019s", "'' 's ''s",
+    "the cat sat " * 3000, "One two, two.", "<|endoftext|> is text", "a <|endoftext|> b", "x<|ENDOFTEXT|>y <|startoftext|><|endoftext|>!", "< |endoftext| > <b>", "日本語のテキスト", "Stra\u00dfe %%% _x_ x%%%y \u00c5ngstr\u00f6m A\u030angstrom \u0130stanbul it\u2019s", "'' 's ''s",
 ]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def plain_ids(text):

@@ -7,14 +7,17 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words that one Python worker remembers, in two generations, and the longest word that it remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 CACHE_WORD_BYTES = 64
-ROWS_OUT = 500
+# Bytes of text that are encoded and cut at once.
+TEXT_BYTES = 2 << 20
 
 # Words whose pre-tokens follow from their characters alone: printable ASCII without the apostrophe of contractions, and
 # composed Latin letters, which every Unicode version lower-cases one by one.
@@ -34,55 +37,79 @@ def byte_symbols() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes.
+    """Token ids of texts, all in one array, and how many each text has.
 
     White space separates pre-tokens in this tokenizer and is dropped by it, so the ids of a text are those of its
-    blank-separated words one after another. Each worker remembers the words it met lately; what it remembers changes
-    no result.
+    blank-separated words one after another. The different words of some texts are encoded once, their ids are then
+    laid out by word number. Each worker remembers the words it met lately; what it remembers changes no result. Words
+    that hold the name of an added token are left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name inside a text is ordinary text
         self.model = self.tokenizer.model
         self.symbols = byte_symbols()
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(names) or "(?!)", re.IGNORECASE)
         self.parts: dict[str, bytes] = {}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
-        symbols = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
-        ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        if len(part) <= CACHE_WORD_BYTES:
-            self.parts[part] = ids
+        """The ids of a pre-token in lower case."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.old_parts.get(part)
+            if ids is None:
+                symbols = part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if len(part) <= CACHE_WORD_BYTES:
+                self.parts[part] = ids
         return ids
 
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
-            found = self.parts.get
-            return b"".join([self._part(p) if (ids := found(p)) is None else ids for p in PRE_TOKEN.findall(text.lower())])
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, texts: Iterator[bytes | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split() if text else []
-            rare: dict[bytes, bytes] = {}
-            for word in {*words}.difference(self.young):
-                ids = self.old.get(word)
+    def _ids(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
+        if PLAIN.fullmatch(word) and not ("<" in word and self.added.search(word)):
+            return b"".join(map(self._part, PRE_TOKEN.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        young, old, out = self.young, self.old, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = old.get(word)
                 if ids is None:  # a word of characters that the tokenizer drops has no ids
                     ids = self._ids(word)
-                (self.young if len(word) <= CACHE_WORD_BYTES else rare)[word] = ids
-            if rare:
-                yield b"".join([rare[w] if w in rare else self.young[w] for w in words])
-            else:
-                yield b"".join(map(self.young.__getitem__, words))
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
+                if len(word) <= CACHE_WORD_BYTES:
+                    young[word] = ids
+            out.append(ids)
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {}
+        if len(self.parts) > CACHE_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8; null: none), one after another, and the number of ids of each."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self.words([w.decode("utf-8", "replace") for w in coded.dictionary.view(pa.binary()).to_pylist()])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.arange(total) + np.repeat(begins[at] - (ends - lengths), lengths)
+        flat = np.frombuffer(b"".join(ids), np.uint32)[places]
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return flat, np.diff(edges)
 
 
 @lru_cache(maxsize=1)
@@ -111,39 +138,45 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
     key = docs.schema["doc_id"].dataType
-    tail = end_id.to_bytes(4, "little")
-    schema = SCHEMA.format(key=key.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path)
-        out: pa.Schema | None = None
         for batch in batches:
-            out = out or pa.schema(
-                [("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()),
-                 ("doc_tokens", pa.int64()), ("ids", pa.binary())]
-            )
-            rows: list[tuple] = []
-            keys = batch.column(0)
-            for k, ids in enumerate(encode(v.as_py() for v in batch.column(1))):
-                ids += tail
-                total, start = len(ids) // 4, 0
-                for length in binary_lengths(total, longest):
-                    rows.append((k, start, length, total, ids[4 * start : 4 * (start + length)]))
-                    start += length
-                if len(rows) >= ROWS_OUT:
-                    yield _batch(keys, rows, out)
-                    rows = []
-            if rows:
-                yield _batch(keys, rows, out)
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
-
-
-def _batch(keys: pa.Array, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    at, start, length, total, ids = zip(*rows, strict=True)
-    columns = [keys.take(pa.array(at, pa.int64()))]
-    columns += [pa.array(c, f.type) for c, f in zip((start, length, total, ids), list(schema)[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+            for part in _parts(batch):
+                flat, sizes = encode(part.column(1))
+                flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
+                yield _pieces(part.column(0), flat, sizes + 1, longest)
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, SCHEMA.format(key=key.simpleString()))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` a few megabytes of text at a time, never less than a row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _pieces(keys: pa.Array, flat: np.ndarray, sizes: np.ndarray, longest: int) -> pa.RecordBatch:
+    """``binary_lengths`` of documents of ``sizes`` ids; pieces lie in ``flat`` as they lie in the documents."""
+    whole, rest = sizes // longest, sizes % longest
+    bits = np.arange(longest.bit_length() - 2, -1, -1)
+    some = rest[:, None] >> bits & 1 == 1
+    counts = whole + some.sum(axis=1)
+    doc = np.repeat(np.arange(len(sizes)), counts)
+    length = np.full(len(doc), longest, np.int64)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    # Bits stand behind the whole pieces of their document, in the order of the matrix.
+    length[place >= whole[doc]] = 1 << np.broadcast_to(bits, some.shape)[some]
+    edges = np.concatenate([[0], np.cumsum(length)])
+    start = edges[:-1] - np.repeat(np.cumsum(sizes) - sizes, counts)
+    ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(flat)])
+    columns = [keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sizes[doc]), ids]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
