@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
-from waybill.llm.html_text import blocks, extract_pages, main_text, scored_paths
+from waybill.llm.html_text import best_path, blocks, extract_pages, main_text, scored_paths, walk
 from waybill.llm.queries import QUERIES
 
 FRAME = (
@@ -30,9 +31,28 @@ def test_containers_without_an_article_element():
 def test_broken_markup():
     assert main_text(None, None) == main_text("", None) == main_text("<", None) == main_text("<p></p>", None) == ""
     assert main_text("plain text", None) == ""
-    assert main_text("<body>a</i></div>b</p>c<p d", None) == "ab\nc<p d".replace("<p d", "<p d")
-    assert blocks("<body><div class=x><p>in", ">body>div.x") == ["in"]
-    assert blocks("<body><p>in", ">body>div.x") is None
+    assert main_text("<body>a</i></div>b</p>c<p d", None) == "ab\nc"
+    assert blocks(walk("<body><div class=x><p>in"), ">body>div.x") == ["in"]
+    assert blocks(walk("<body><p>in"), ">body>div.x") is None
+
+
+def test_tags_end_by_the_rules_of_html():
+    for tag in ("<p title=it's>", "<p class=\"x\"y'>", "<p a='>' b=\">\" c=d'e>", "<p a = 'x>y'>", "<p =\"z>", "<p a==\"b>", "<p/a/>", "<p a=>", "<p\n\ta\n=\n'>'>"):
+        assert main_text(f"<body>{tag}Hello there</p><p>you", None) == "Hello there\nyou", tag
+    for tail in ('<p class="x>hello', "<p title='a>b", "<p d", "</p x='>", "<!-- open", "<!doctype", "<b a=\"", "<"):
+        assert main_text(f"<body><p>Kept</p>{tail}", None) in ("Kept", "Kept\n<") and "hello" not in main_text(f"<body><p>Kept</p>{tail}", None)
+    assert main_text("<body>a<!-->b<!--->c<!-- x --!>d<!-- > -->e</ bogus>f</>g< h", None) == "abcdefg< h"
+    assert main_text("<body><script>x</scripty></script >y<p class=a class='nav'>z", None) == "y\nz"
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    for tag in ("<div>", "<div class=a>", "<b>", "<x>", "<p><x>", "<li>", "<span><div>"):
+        page = f"<body><p>Start</p>{tag * 50_000}deep text"
+        began = time.process_time()
+        text = main_text(page, None)
+        path = best_path(walk(page))[0]
+        assert "deep text" in text and len(path) < len(page) + 10
+        assert time.process_time() - began < 20, tag
 
 
 def test_host_decides(frame):

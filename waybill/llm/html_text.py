@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from waybill.llm.storage import stored
 
+# An attribute by the rules of HTML: a quote opens a value only straight after "=", elsewhere it is a character like others.
+VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+)?+"""
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)" + VALUE)
+INSIDE = re.sub(r"\((?=\[)", "(?:", f"(?:[\\s/]++|([^\\s/>][^\\s/>=]*+){VALUE})*+")
+# Comments, tags, other markup, text. What is not closed by the end of the page is no text.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<", re.S
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*+)({INSIDE})>|<(?:[!?]|/(?=[^A-Za-z]))[^>]*+(?:>|\Z)|</?[A-Za-z].*|[^<]++|<", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,12 +64,15 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # The share of a page's unlinked letters up to which a passage of an article with such a name is left out.
 SMALL = 0.05
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+BLOCK_ENDS = HEADINGS | {"p"}
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
+    step: str  # the tag with its generalised names; empty for inline elements, which are no part of paths
+    path: int  # number of the path in its page
+    depth: int
     parent: Node | None
     left_out: bool
     linked: bool
@@ -75,11 +82,14 @@ class Node:
     letters: int = 0
     link_letters: int = 0
     headings: int = 0
-    children: list[Node] = field(default_factory=list)
+    matched: int = -1  # how much of a wanted path ends here
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):  # of attributes with one name the first holds
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -168,7 +178,7 @@ def _decide(nodes: list[Node], plain: dict[int, int], linked: dict[int, int]) ->
         node.left_out |= node.parent.left_out or (bool(node.doubt) and id(node) not in kept)
 
 
-def walk(html: str) -> list[tuple[str, Node, str]]:
+def walk(html: str) -> Events:
     """The events of ``_events``, after it was decided for the whole page which elements are left out."""
     events = list(_events(html))
     nodes, plain, linked = [], {}, {}
@@ -182,9 +192,34 @@ def walk(html: str) -> list[tuple[str, Node, str]]:
     return events
 
 
+class _Open:
+    """The open elements, innermost last, and where those of each tag stand among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        self.at[node.tag].pop()
+        if node.tag in SCOPE:
+            self.scopes.pop()
+        return node
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of ``tags``; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def _events(html: str) -> Iterator[tuple[str, Node, str]]:
-    """("open" | "close" | "break", node, "") and ("text", node, text) in page order."""
-    root = node = Node("", "", None, False, False, False)
+    """("open" | "close" | "break", node, "") and ("text", node, text) in page order; the work is linear in the page."""
+    root = Node("", "", 0, 0, None, False, False, False)
+    opened, paths = _Open(root), {}
     at, end = 0, len(html)
     while at < end:
         match = TOKEN.match(html, at)
@@ -192,103 +227,108 @@ def _events(html: str) -> Iterator[tuple[str, Node, str]]:
         token, tag = match[0], (match[2] or "").lower()
         if not tag:
             if token[0] != "<" or token == "<":
-                yield "text", node, unescape(token)
+                yield "text", opened.stack[-1], unescape(token)
             continue
         if match[1]:
-            found = node
-            while found.parent is not None and found.tag != tag:
-                found = found.parent
-            if found.parent is not None:  # an end tag without its start tag says nothing
-                while node is not found.parent:
-                    yield "close", node, ""
-                    node = node.parent
+            place = opened.last((tag,))
+            if place:  # an end tag without its start tag says nothing
+                while len(opened.stack) > place:
+                    yield "close", opened.pop(), ""
             elif tag in ("p", "br"):
-                yield "break", node, ""
+                yield "break", opened.stack[-1], ""
             continue
         if tag not in INLINE:
             # A paragraph ends where another block begins, and items end where their like begins.
-            ends = CLOSES.get(tag, set()) | ({"p", *HEADINGS} if tag not in VOID or tag == "hr" else set())
-            found = node
-            while found.parent is not None and found.tag not in ends and (found.tag in INLINE or found.tag not in SCOPE):
-                found = found.parent
-            if found.parent is not None and found.tag in ends:
-                while node is not found.parent:
-                    yield "close", node, ""
-                    node = node.parent
+            place = opened.last(CLOSES.get(tag, frozenset()) | (BLOCK_ENDS if tag not in VOID or tag == "hr" else frozenset()))
+            if place and place >= (opened.scopes[-1] if opened.scopes else 0):
+                while len(opened.stack) > place:
+                    yield "close", opened.pop(), ""
+        node = opened.stack[-1]
         if tag in VOID:
             yield "break", node, tag
             continue
         attributes = _attributes(match[3]) if match[3].strip(" /\n") else {}
         names = _names(attributes) if attributes else []
         in_article = node.content
-        step = ".".join([tag, *names])
         content = node.content or tag in ("article", "main") or attributes.get("role") == "main"
         left_out = node.left_out or _boilerplate(tag, attributes, in_article)
         if tag in RAW:
-            close = re.compile(f"</{tag}", re.I).search(html, at)
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             at = end if close is None else (html.find(">", close.start()) + 1 or end)
             continue
-        child = Node(tag, f"{node.path}>{step}" if tag not in INLINE else node.path, node, left_out, node.linked or tag == "a", content)
+        step, path, depth = "", node.path, node.depth
+        if tag not in INLINE:
+            step, depth = ".".join([tag, *names]), depth + 1
+            path = paths.setdefault((path, step), len(paths) + 1)
+        child = Node(tag, step, path, depth, node, left_out, node.linked or tag == "a", content)
         doubt = _doubt(tag, names, in_article) if names or tag == "form" else ""
         if tag not in ("body", "html", "article", "main"):
             child.doubt = doubt
         article = tag in ("article", "main") or attributes.get("role") == "main"
         called = tag in CONTAINERS and any(CONTENT_NAMES.match(p) for n in names for p in re.split(r"[-_:]+", n))
         child.subject = tag == "main" or attributes.get("role") == "main" or (not doubt and (article or called))
-        node = child
-        yield "open", node, ""
-    while node is not root:
-        yield "close", node, ""
+        opened.push(child)
+        yield "open", child, ""
+    while len(opened.stack) > 1:
+        yield "close", opened.pop(), ""
+
+
+Events = list[tuple[str, Node, str]]
+
+
+def _path(node: Node) -> str:
+    steps = []
+    while node is not None:
+        if node.step:
+            steps.append(node.step)
         node = node.parent
+    return "".join(f">{s}" for s in reversed(steps))
 
 
-def scored_paths(html: str | None) -> list[tuple[str, float]]:
-    """Paths of the page's containers with a score from 0 to 1, the best ones only.
+def _scores(events: Events) -> list[tuple[Node, float]]:
+    """A node of each path with a score from 0 to 1.
 
     A container scores by the letters of its article text, less those in links, as a share of all of the page. One that
     its names or its tag call an article gains; of two that hold the same, the inner one gains, unless the outer one
     adds a heading.
     """
-    if not html:
-        return []
     nodes: list[Node] = []
-    for kind, node, text in walk(html):
+    for kind, node, text in events:
         if kind == "open":
             nodes.append(node)
-            if node.tag in HEADINGS and not node.left_out:
-                up = node
-                while up is not None:
-                    up.headings += 1
-                    up = up.parent
+            node.headings += node.tag in HEADINGS and not node.left_out
         elif kind == "text" and not node.left_out:
             size = len(text) - text.count(" ") - text.count("\n")
-            up = node
-            while up is not None:
-                up.letters += size
-                up.link_letters += size if node.linked else 0
-                up = up.parent
-    own: dict[str, list[float]] = {}
-    for node in nodes:
+            node.letters += size
+            node.link_letters += size if node.linked else 0
+    own: dict[int, list] = {}
+    for node in reversed(nodes):  # whatever an element holds comes after it
+        node.parent.letters += node.letters
+        node.parent.link_letters += node.link_letters
+        node.parent.headings += node.headings
         if node.tag in CONTAINERS and not node.left_out and node.letters:
-            held = own.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
-            held[0] += node.letters - node.link_letters
-            held[1] = max(held[1], node.headings)
-            named = any(CONTENT_NAMES.match(p) for n in node.path.rsplit(">", 1)[-1].split(".")[1:] for p in re.split(r"[-_:]+", n))
-            held[2] = 1.0 if node.tag in ("article", "main") else 0.5 if named else 0.0
-            held[3] = node.path.count(">")
-    total = max((v[0] for v in own.values()), default=0.0)
-    headings = max((v[1] for v in own.values()), default=0.0)
-    if not total:
-        return []
-    scores = {
-        p: (letters / total) * (0.7 + 0.15 * kind + 0.1 * (found > 0 or not headings) + 0.05 * depth / (1 + depth))
-        for p, (letters, found, kind, depth) in own.items()
-    }
-    best = max(scores.values())
-    return sorted((p, round(s, 6)) for p, s in scores.items() if s >= 0.75 * best)
-
-
-def blocks(html: str | None, path: str | None) -> list[str] | None:
+            held = own.setdefault(node.path, [node, 0.0, 0])
+            held[1] += node.letters - node.link_letters
+            held[2] = max(held[2], node.headings)
+    total = max((v[1] for v in own.values()), default=0.0)
+    headings = max((v[2] for v in own.values()), default=0)
+    scores = []
+    for node, letters, found in own.values() if total else ():
+        named = any(CONTENT_NAMES.match(p) for n in node.step.split(".")[1:] for p in re.split(r"[-_:]+", n))
+        kind = 1.0 if node.tag in ("article", "main") else 0.5 if named else 0.0
+        inner = 0.05 * node.depth / (1 + node.depth)
+        scores.append((node, (letters / total) * (0.7 + 0.15 * kind + 0.1 * (found > 0 or not headings) + inner)))
+    return scores
+
+
+def scored_paths(html: str | None) -> list[tuple[str, float]]:
+    """Paths of the page's containers with their scores, the best ones only."""
+    scores = _scores(walk(html or ""))
+    best = max((s for _, s in scores), default=0.0)
+    return sorted((_path(n), round(s, 6)) for n, s in scores if s >= 0.75 * best)
+
+
+def blocks(events: Events, path: str) -> list[str] | None:
     """The blocks of text below ``path``, boilerplate left out; None where the page has no such container."""
     found, open_at, held = False, None, []
     out: list[str] = []
@@ -299,9 +339,12 @@ def blocks(html: str | None, path: str | None) -> list[str] | None:
         if text:
             out.append(text)
 
-    for kind, node, text in walk(html or ""):
+    for kind, node, text in events:
         if kind == "open":
-            if open_at is None and node.path == path and node.tag in CONTAINERS and not node.left_out:
+            before = node.parent.matched if node.parent.parent is not None else 0
+            fits = before >= 0 and (not node.step or path.startswith(f">{node.step}", before))
+            node.matched = before + (len(node.step) + 1 if node.step else 0) if fits else -1
+            if open_at is None and node.matched == len(path) and node.tag in CONTAINERS and not node.left_out:
                 open_at, found = node, True
             if node.tag not in INLINE:
                 flush()
@@ -322,17 +365,20 @@ def blocks(html: str | None, path: str | None) -> list[str] | None:
     return out if found else None
 
 
-def best_path(html: str | None) -> tuple[str, float] | None:
+def best_path(events: Events) -> tuple[str, float] | None:
     """The path that a page votes for, with its score; the larger path of equals."""
-    return max(scored_paths(html), key=lambda x: (x[1], x[0]), default=None)
+    scores = _scores(events)
+    best = max((s for _, s in scores), default=0.0)
+    return (max(_path(n) for n, s in scores if s == best), round(best, 6)) if scores else None
 
 
 def main_text(html: str | None, path: str | None) -> str:
     """The text below the host's path, or below the page's own best one where that path is missing or empty."""
-    found = blocks(html, path) if path else None
+    events = walk(html or "")
+    found = blocks(events, path) if path else None
     if not found:
-        own = best_path(html)
-        found = blocks(html, own[0]) if own else None
+        own = best_path(events)
+        found = blocks(events, own[0]) if own else None
     return "\n".join(found or [])
 
 
@@ -344,7 +390,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            best = best_path(html.as_py())
+            best = best_path(walk(html.as_py() or ""))
             if best:
                 rows.append((host, *best))
         host, path, score = zip(*rows, strict=True) if rows else ([], [], [])
@@ -369,7 +415,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points of text).
 
-    The whole html is read; a null one is empty and has an empty text. Pages whose url is null or names no host vote
+    The whole html is read; a null one is empty and has an empty text. Markup is read by the rules of HTML: what a tag or
+    comment without its end swallows is no text. ``noscript`` is left out like a script, as browsers show either; a note
+    on the author inside the article is part of it. Pages whose url is null or names no host vote
     together. The preferred paths are joined by host: they are broadcast only if their stored size is below the
     session's threshold. Other columns of ``pages`` are not read.
     """
