@@ -70,3 +70,35 @@ def test_packed_pieces_are_the_documents(stages):
 def test_run_is_the_stages_in_turn(spark, stages):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, FOLDER).count() == len(stages[3])
+
+
+ODD = "doc_id long, text string, score double, predicted int, _possible string, ids string, length int, start string, source string"
+
+
+def odd_rows():
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (4, ""), (None, text), (None, None), (5, "word " * 40_000), (6, "short")]
+    return [(k, t, 7.5, 3, "kept", "x", 4, "s", None) for k, t in rows]
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark, frame):
+    docs = frame(odd_rows(), ODD)
+    everything = sorted(map(repr, docs.collect()))
+    toxic, near, cut, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    kept = toxic(spark, docs, FOLDER)
+    assert kept.schema == docs.schema and sorted(map(repr, kept.collect())) == everything
+    one = near(spark, docs, FOLDER)
+    rows = one.collect()
+    assert one.schema == docs.schema and all(r.score == 7.5 and r._possible == "kept" for r in rows)
+    # Repeats of an id are one document; a null id is in no group.
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "3", "4", "4", "5", "6", "None", "None"]
+    clean = cut(spark, docs, FOLDER)
+    assert clean.schema == docs.schema and sorted(map(repr, clean.collect())) == everything
+    pieces = pack(spark, docs, FOLDER).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 3) == 1 and sum(r.length for r in pieces if r.doc_id == 4) == 2
+    assert all(len(bytes(r.ids)) == 4 * r.length for r in pieces)
+
+
+def test_stages_on_empty_tables(spark, frame):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame([], ODD), FOLDER).count() == 0, name

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from waybill.llm import sketch
 from waybill.llm.components import connected_components
-from waybill.llm.storage import stored
+from waybill.llm.storage import free_name, stored
 
 SKETCH_BITS = 21
 FILTER_BITS = 21
@@ -332,9 +332,11 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Only rows that a filter of fixed size cannot clear are joined, so the texts of the others are not shuffled.
     """
-    marked = docs.withColumn("_possible", _maybe_in(F.col("doc_id").cast("long"), ids.select("doc_id")))
-    rest = marked.where("_possible").join(ids, "doc_id", "left_anti")
-    return marked.where("not _possible").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    flag = free_name(docs.columns, "_possible")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(flag, _maybe_in(F.col("doc_id").cast("long"), ids.select("doc_id")))
+    rest = marked.where(F.col(flag)).join(ids, "doc_id", "left_anti")
+    return marked.where(~F.col(flag)).select(*own).unionByName(rest.select(*own))
 
 
 def _of_wanted(texts: DataFrame, wanted: DataFrame, width: int, schema: str, columns) -> DataFrame:

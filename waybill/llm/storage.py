@@ -31,3 +31,11 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -339,22 +339,21 @@ def held_out(doc_id: str) -> bool:
     return zlib.crc32(doc_id.encode()) % 3 == 1
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold, else 0) in front of its own columns.
 
     Every whole text is scored where it is read, without a shuffle; a null text scores like an empty one. Columns of
-    ``docs`` that have these names are replaced.
+    ``docs`` that have these ``names`` are replaced; give others to keep them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    rest = docs.select(*[c for c in docs.columns if c.lower() not in names])
     at = rest.columns.index("text")
-    schema = "score double, predicted int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    schema = f"`{names[0]}` double, `{names[1]}` int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score([t.as_py() for t in batch.column(at)])
             added = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
-            names = ["score", "predicted", *batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*added, *batch.columns], names=names)
+            yield pa.RecordBatch.from_arrays([*added, *batch.columns], names=[*names, *batch.schema.names])
 
     return rest.mapInArrow(run, schema)
