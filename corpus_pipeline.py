@@ -9,15 +9,19 @@ from waybill.llm.decontaminate import remove_phrases
 from waybill.llm.jaccard import jaccard_components, without_ids
 from waybill.llm.packing import pack_documents
 from waybill.llm.queries import table, word_tokenizer
-from waybill.llm.storage import stored
+from waybill.llm.storage import free_name, stored
 from waybill.llm.toxicity import score_documents, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It is learned from the labelled rows among ``docs``."""
+    """Documents that the classifier does not reject. It is learned from the labelled rows among ``docs``.
+
+    Null and empty texts hold nothing toxic and stay; columns of any name come back as they were.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     own = [F.col(f"`{name}`") for name in docs.columns]
-    return score_documents(docs, model).where("predicted = 0").select(*own)
+    names = free_name(docs.columns, "toxicity_score"), free_name(docs.columns, "toxicity_predicted")
+    return score_documents(docs, model, names=names).where(F.col(names[1]) == 0).select(*own)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +34,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur in the benchmark; those that are nothing else go."""
+    """Documents without the passages that occur in the benchmark; those that are nothing else go.
+
+    Null and empty texts hold no passage and stay as they are, and so do repeated rows without one.
+    """
     return remove_phrases(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two of tokens, each from one document."""
+    """Sequences of a power of two of tokens, each from one document; a null or empty text is its end token alone."""
     packed = pack_documents(docs, word_tokenizer())
     return packed.select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", F.crc32("ids").alias("ids_crc32"), "ids"
