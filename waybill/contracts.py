@@ -59,7 +59,7 @@ def check_plan(actions: DataFrame, deps: DataFrame, findings: DataFrame) -> Data
     checks = {
         "action ids are unique": quality.repeated_keys(actions, ["id"]),
         "dependencies are known": graph.missing_dependencies(actions, deps),
-        "the dependency graph has no cycle": graph.cycle_check(actions, deps),
+        "the dependency graph has no cycle": graph.cycle_check(actions, deps).where("in_cycle"),
         "idempotency keys are unique within a scope": quality.repeated_keys(actions, ["scope", "idempotency_key"]),
         "every loss is explained by a finding": quality.unexplained_losses(actions, findings),
     }

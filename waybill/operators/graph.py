@@ -1,7 +1,8 @@
-"""Dependency graphs and trees as iterated joins.
+"""Dependency graphs and trees.
 
-Loop state is written to the reliable checkpoint folder each round, so plans stay short and a lost
-executor does not restart the loop. A round touches only rows that are still live.
+Levels, closures, cycles and trees take a number of rounds that grows with the logarithm of their depth (``fixpoint`` and
+``tours``). Loop state is written to the reliable checkpoint folder each round, so plans stay short and a lost executor
+does not restart the loop.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.operators.fixpoint import keep, solve
 from waybill.operators.ordered import global_rank, group_apart
+from waybill.operators.tours import preorder
 from waybill.session import materialize
 
 
@@ -25,35 +28,82 @@ def missing_dependencies(actions: DataFrame, deps: DataFrame) -> DataFrame:
     return deps.join(actions.select(F.col("id").alias("depends_on")), "depends_on", "left_anti")
 
 
-def _peel(nodes: DataFrame, deps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Waves of nodes whose dependencies are all in earlier waves, and what is left over."""
-    live = materialize(nodes.select("id").distinct())
-    # A dependency on something outside the plan blocks nothing here; ``missing_dependencies`` names it.
-    inside = nodes.select(F.col("id").alias("depends_on")).distinct()
-    edges = materialize(deps.select("action_id", "depends_on").distinct().join(inside, "depends_on", "left_semi"))
-    waves: list[DataFrame] = []
-    for level in count():
-        waiting = edges.select(F.col("action_id").alias("id")).distinct()
-        ready = materialize(live.join(waiting, "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        waves.append(ready.withColumn("level", F.lit(level)))
-        live = materialize(live.join(waiting, "id", "left_semi"))
-        edges = materialize(edges.join(ready.select(F.col("id").alias("depends_on")), "depends_on", "left_anti"))
-    return waves, live
+def _inside(nodes: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and their dependencies on each other.
+
+    A dependency on something outside the plan blocks nothing here; ``missing_dependencies`` names it.
+    """
+    ids = materialize(nodes.select("id").distinct())
+    edges = deps.select(F.col("action_id").alias("id"), F.col("depends_on").alias("dep")).distinct()
+    edges = edges.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dep")), "dep", "left_semi")
+    return ids, materialize(edges.select("id", "dep"))
+
+
+def dependency_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """Wave number of each node: one more than the latest wave it depends on.
+
+    Members of a cycle and what waits behind one have no level and no row.
+    """
+    ids, edges = _inside(nodes, deps)
+    levels, stuck = solve(ids.withColumn("value", F.lit(0).cast("long")), edges)
+    return levels.join(stuck.select("id").distinct(), "id", "left_anti").select("id", F.col("value").cast("int").alias("level"))
 
 
 def cycle_check(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """Nodes that never become free: members of a cycle, and everything behind one."""
-    return _peel(nodes, deps)[1]
+    """Nodes that never become free: id, component, in_cycle.
 
+    ``component`` is the smallest id of the nodes that wait for each other, ``in_cycle`` says whether the node waits for
+    itself. Nodes behind a cycle are components of their own and not in one.
+    """
+    ids, edges = _inside(nodes, deps)
+    _, left = solve(ids.withColumn("value", F.lit(0).cast("long")), edges)
+    stuck = materialize(left.select("id").distinct())
+    edges = materialize(_among(edges, stuck))
+    # What no cycle waits for in its turn is only behind one.
+    _, left = solve(stuck.withColumn("value", F.lit(0).cast("long")), _turned(edges))
+    core = materialize(left.select("id").distinct())
+    found = components(core, materialize(_among(edges, core)))
+    return stuck.join(found, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle")
+    )
 
-def dependency_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    """Wave number of each node: one more than the latest wave it depends on."""
-    waves, _ = _peel(nodes, deps)
-    if not waves:
-        return nodes.select("id", F.lit(0).alias("level")).limit(0)
-    return reduce(DataFrame.unionByName, waves)
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dep").alias("id"), F.col("id").alias("dep"))
+
+
+def _among(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges (id, dep) with both ends in ``ids``."""
+    ends = ids.select("id")
+    return edges.join(ends, "id", "left_semi").join(ends.withColumnRenamed("id", "dep"), "dep", "left_semi").select("id", "dep")
+
+
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Strongly connected components (id, component, in_cycle) by forward-backward colouring.
+
+    The largest id that reaches a node is its colour. Of the nodes of one colour, those that reach the node which gave
+    it are a component. They leave, and what is left is coloured again.
+    """
+    done = None
+    looped = edges.where(F.col("id") == F.col("dep")).select("id").distinct().withColumn("_loop", F.lit(True))
+    while not ids.isEmpty():
+        colours, _ = solve(ids.withColumn("value", F.col("id")), edges, keep, settles=False)
+        mine = colours.select("id", F.col("value").alias("colour"))
+        theirs = colours.select(F.col("id").alias("dep"), F.col("value").alias("_colour"))
+        same = edges.join(mine, "id").join(theirs, "dep").where(F.col("colour") == F.col("_colour")).select("id", "dep")
+        # Backwards from the node that gave the colour: who has a value reaches it.
+        start = mine.select("id", F.when(F.col("id") == F.col("colour"), F.lit(True)).alias("value"))
+        reached, _ = solve(start, _turned(same), keep, settles=False)
+        members = mine.join(reached.where("value").select("id"), "id")
+        names = group_apart(members, ["colour"], F.min("id").alias("component"), F.count("*").alias("_n"))
+        part = members.join(names, "colour").join(looped, "id", "left").select(
+            "id", "component", ((F.col("_n") > 1) | F.coalesce("_loop", F.lit(False))).alias("in_cycle")
+        )
+        part = materialize(part)
+        done = part if done is None else done.unionByName(part)
+        ids = materialize(ids.join(part.select("id"), "id", "left_anti"))
+        edges = materialize(_among(edges, ids))
+    return done if done is not None else ids.select("id", F.col("id").alias("component"), F.lit(False).alias("in_cycle"))
 
 
 def ready_actions(actions: DataFrame, deps: DataFrame) -> DataFrame:
@@ -70,66 +120,45 @@ def ready_actions(actions: DataFrame, deps: DataFrame) -> DataFrame:
 
 def blocked_closure(actions: DataFrame, deps: DataFrame) -> DataFrame:
     """Pending actions downstream of a failed one. Only pending actions pass the block on."""
-    pending = materialize(actions.where(F.col("status") == "pending").select("id"))
-    edges = materialize(deps.select("action_id", "depends_on").distinct())
-    frontier = actions.where(F.col("status") == "failed").select("id")
-    found: list[DataFrame] = []
-    while True:
-        reached = edges.join(frontier.withColumnRenamed("id", "depends_on"), "depends_on", "left_semi")
-        new = pending.join(reached.select(F.col("action_id").alias("id")), "id", "left_semi")
-        frontier = materialize(new)
-        if frontier.isEmpty():
-            break
-        found.append(frontier)
-        pending = materialize(pending.join(frontier, "id", "left_anti"))
-    if not found:
-        return actions.select("id").limit(0)
-    return reduce(DataFrame.unionByName, found)
+    state = actions.select("id", "status")
+    pending = state.where(F.col("status") == "pending").select("id").distinct()
+    edges = deps.select(F.col("action_id").alias("id"), F.col("depends_on").alias("dep")).distinct().join(pending, "id", "left_semi")
+    failed = state.where(F.col("status") == "failed").select(F.col("id").alias("dep")).distinct()
+    hit = edges.join(failed, "dep", "left_semi").select("id").distinct().withColumn("value", F.lit(True))
+    found, _ = solve(pending.join(hit, "id", "left"), materialize(_among(edges, pending)), keep, settles=False, once=True)
+    return found.where("value").select("id")
 
 
-def tree_paths(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each page with its depth and a path of (pos, title, key) steps from its root, and the pages without one.
+def flatten_pages(pages: DataFrame) -> DataFrame:
+    """All pages with depth and root; those within or below a cycle of parents have neither.
 
-    Paths compare in depth-first order with siblings by position, then title, then key. No ordinal
-    per parent is needed, so a parent with very many children is no special case. There are as many
-    rounds as levels; pages left over have a cycle of parents above them, and come with null depth
-    and path.
+    A page whose parent is not in the table is a root. Rounds grow with the logarithm of the depth.
     """
-    step = F.struct("pos", "title", "key")
-    keys = pages.select(F.col("key").alias("parent"))
-    roots = pages.where(F.col("parent").isNull()).unionByName(
-        pages.where(F.col("parent").isNotNull()).join(keys, "parent", "left_anti").select(*pages.columns)
-    )
-    level = materialize(roots.withColumn("depth", F.lit(0)).withColumn("path", F.array(step)))
-    levels = [level]
-    children = materialize(pages.where(F.col("parent").isNotNull()))
-    for depth in count(1):
-        above = level.select(F.col("key").alias("parent"), F.col("path").alias("_above"))
-        level = materialize(
-            children.join(above, "parent").select(
-                *pages.columns, F.lit(depth).alias("depth"), F.concat("_above", F.array(step)).alias("path")
-            )
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    reached = reduce(DataFrame.unionByName, levels)
-    left = pages.join(reached.select("key"), "key", "left_anti").select(
-        *pages.columns, F.lit(None).cast("int").alias("depth"), F.lit(None).cast(reached.schema["path"].dataType).alias("path")
-    )
-    return reached, left
-
-
-def flatten_pages(pages: DataFrame) -> DataFrame:
-    """All pages with depth and path; those within or below a cycle of parents have neither."""
-    reached, left = tree_paths(pages)
-    return reached.unionByName(left)
+    keys = materialize(pages.select("key").distinct())
+    edges = pages.select(F.col("key").alias("id"), F.col("parent").alias("dep")).where(F.col("dep").isNotNull()).distinct()
+    edges = materialize(edges.join(keys.select(F.col("key").alias("dep")), "dep", "left_semi").select("id", "dep"))
+    root = F.struct(F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    start = keys.withColumnRenamed("key", "id").join(edges.select("id").distinct().withColumn("_below", F.lit(True)), "id", "left")
+    start = start.select("id", F.when(F.col("_below").isNull(), root).alias("value"))
+    below = lambda value, length: F.when(value.isNotNull(), F.struct(value["root"].alias("root"), (value["depth"] + length).alias("depth")))
+    found, _ = solve(start, edges, below)
+    return pages.join(
+        found.select(F.col("id").alias("key"), F.col("value.depth").cast("int").alias("depth"), F.col("value.root").alias("root")), "key", "left"
+    ).select(*pages.columns, "depth", "root")
 
 
 def tree_emit_order(pages: DataFrame) -> DataFrame:
-    """1-based position of each page: parents before children, siblings in order, pages without a root last."""
-    last = F.col("path").isNull()
-    return global_rank(flatten_pages(pages), [last, F.col("path"), F.col("key")], "position")
+    """1-based position of each page: parents before children, siblings in order, pages without a root last, by key."""
+    flat = materialize(flatten_pages(pages))
+    reached = flat.where(F.col("depth").isNotNull())
+    keys = flat.select(F.col("key").alias("parent")).distinct().withColumn("_known", F.lit(True))
+    # Siblings are ranked below the parent in the table; pages that name another parent are roots.
+    placed = reached.join(keys, "parent", "left").withColumn("_up", F.when(F.col("_known"), F.col("parent")))
+    order = preorder(placed.select("key", F.col("_up").alias("up"), "pos", "title"))
+    first = flat.join(order, "key")
+    left = global_rank(flat.where(F.col("depth").isNull()), [F.col("key")], "position")
+    last = left.withColumn("position", F.col("position") + F.lit(reached.count()))
+    return first.unionByName(last.select(*first.columns))
 
 
 def sibling_order(children: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ UNION ALL SELECT {ACT.format(kind='create_doc_page', key="key || '#page'")}, 'cr
 )
 def build_docs(t: Tables) -> DataFrame:
     tree = graph.flatten_pages(t.page_tree)
-    pages = tree.select("key", "title", F.col("parent").alias("parent_key"), F.get("path", F.lit(0))["key"].alias("root_key"))
+    pages = tree.select("key", "title", F.col("parent").alias("parent_key"), F.col("root").alias("root_key"))
     return build.build_docs(pages, t.id_map, "dest:docs:w").select(
         "id", "kind", "source", F.array_join("depends_on", ",").alias("deps")
     )

@@ -61,11 +61,13 @@ def missing_dependencies(t: Tables) -> DataFrame:
 WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS d FROM lineitem),
 core AS (SELECT a, d FROM e WHERE d IN (SELECT a FROM e)),
 reach AS (SELECT a, d FROM core UNION SELECT r.a, c.d FROM reach r JOIN core c ON r.d = c.a),
-cyc AS (SELECT DISTINCT a AS id FROM reach WHERE a = d)
-SELECT id FROM cyc UNION SELECT r.a FROM reach r JOIN cyc ON cyc.id = r.d""",
+cyc AS (SELECT DISTINCT a AS id FROM reach WHERE a = d),
+pair AS (SELECT x.a AS id, x.d AS other FROM reach x JOIN reach y ON x.a = y.d AND x.d = y.a)
+SELECT id, min(other) AS component, true AS in_cycle FROM pair GROUP BY id
+UNION ALL SELECT DISTINCT r.a, r.a, false FROM reach r JOIN cyc ON cyc.id = r.d WHERE r.a NOT IN (SELECT id FROM cyc)""",
 )
 def cycle_check(t: Tables) -> DataFrame:
-    """Suppliers depend on parts in one key space: those that can never start."""
+    """Suppliers depend on parts in one key space: those that can never start, and the cycles among them."""
     deps = t.edges.select(F.col("to_id").alias("action_id"), F.col("from_id").alias("depends_on"))
     nodes = t.edges.select(F.col("to_id").alias("id")).unionByName(t.edges.select(F.col("from_id").alias("id")))
     return graph.cycle_check(nodes, deps)
