@@ -41,14 +41,32 @@ def test_state_survives_batches(spark, tmp_path, parts, seed):
     assert key(got) == key(st.fold_checkpoints(batch))
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_breaker_counts_across_batches(spark, tmp_path, parts):
-    kinds = "FFSFFFFFPFFSFFFFF"
+def plain_alarms(rows, limit):
+    out, count = set(), {}
+    for run_id, seq, kind in sorted(set(rows)):
+        if kind in ("action_failed", "action_succeeded"):
+            count[run_id] = count.get(run_id, 0) + 1 if kind == "action_failed" else 0
+            if count[run_id] == limit:
+                out.add((run_id, seq))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("seed", [None, 3])
+def test_breaker_does_not_depend_on_batches(spark, tmp_path, parts, seed):
     names = {"F": "action_failed", "S": "action_succeeded", "P": "progress"}
-    rows = [("r", i, names[k]) for i, k in enumerate(kinds)]
+    rows = [("r", i, names[k]) for i, k in enumerate("FFSFFFFFPFFSFFFFF")]
+    rows += [("cut", 1, names["F"]), ("cut", 2, names["F"]), ("cut", 3, names["S"]), ("cut", 4, names["F"])]
+    rng = random.Random(7)
+    rows += [("hot", i * 3, names[rng.choice("FFFFFFS")]) for i in range(200)] + [("calm", 10, names["P"])]
+    if seed:
+        rows += rows[:20]  # delivered twice
+        random.Random(seed).shuffle(rows)
     stream = files(spark, tmp_path, rows, "run_id string, seq bigint, type string", parts)
-    got = run.drain(runlog.breaker(stream), "b")
-    assert sorted(r.seq for r in got.collect()) == [7, 16]
+    marks = run.drain_changes(runlog.breaker_marks(stream, width=16), "b", ["run_id", "stretch"])
+    for limit in (3, 5, 20):
+        got = runlog.breaker_alarms(marks, limit).collect()
+        assert {(r.run_id, r.seq) for r in got} == plain_alarms(rows, limit) and len(got) == len({(r.run_id, r.seq) for r in got})
 
 
 @pytest.mark.parametrize("parts", [1, 2, 5])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.sources.sinks import shared_folder
-from waybill.streaming.runlog import first_mappings
+from waybill.streaming.runlog import breaker_alarms, breaker_marks, first_mappings
 
 
 def read_table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def drain_changes(stream: DataFrame, name: str, keys: list[str], mode: str = "up
     return last.select(*keys, "_row.*")
 
 
+def drain_breaker(events: DataFrame, name: str, limit: int) -> DataFrame:
+    """Alarms of the failure breaker over all that a stream of events holds."""
+    return breaker_alarms(drain_changes(breaker_marks(events), name, ["run_id", "stretch"]), limit)
+
+
 ID_MAP = "source_key string, scope string, destination_id string"
 
 

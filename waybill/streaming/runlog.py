@@ -6,11 +6,7 @@ DataFrame; rows later than the watermark are dropped, so the batch operators sta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import vocab
@@ -70,41 +66,52 @@ def checkpoint_state(transitions: DataFrame) -> DataFrame:
     )
 
 
-BREAKER_OUT = "run_id string, seq long, failures long"
+# Order numbers that one row of the breaker's state covers; a run has one row for each such stretch that it has marks in.
+BREAKER_WIDTH = 1024
 
 
-def breaker(events: DataFrame, limit: int = vocab.BREAKER_LIMIT) -> DataFrame:
-    """Emit a row each time a run reaches ``limit`` failures in a row.
+def breaker_marks(events: DataFrame, width: int = BREAKER_WIDTH) -> DataFrame:
+    """Successes and failures of each run by stretches of order numbers (run_id, stretch, marks). Output in update mode.
 
-    The state is the length of the current run of failures; a success resets it.
+    A stretch holds ``width`` order numbers at most, so no row of the state grows without bound, and a run with a third
+    of all events is many keys. Marks are a set: however the stream is cut into batches, in whatever order its rows
+    come and however often, the last version of each row is the same.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (failures,) = state.get if state.exists else (0,)
-        kept = ["action_succeeded", "action_failed"]
-        seqs, marks = [], []
-        for batch in batches:
-            batch = batch[batch["type"].isin(kept)]
-            seqs.append(batch["seq"].to_numpy())
-            marks.append((batch["type"] == "action_failed").to_numpy())
-        seq = np.concatenate(seqs) if seqs else np.empty(0, dtype="int64")
-        failed = np.concatenate(marks)[seq.argsort()] if seqs else np.empty(0, dtype=bool)
-        seq = np.sort(seq)
-        # Failures since the last success: a running total less its value at that success.
-        total = failures + np.cumsum(failed)
-        base = np.maximum.accumulate(np.where(failed, 0, total)) if seq.size else total
-        counts = total - base
-        if seq.size:
-            failures = int(counts[-1])
-        state.update((failures,))
-        hit = seq[failed & (counts == limit)] if seq.size else seq
-        yield pd.DataFrame({"run_id": [key[0]] * len(hit), "seq": hit.astype("int64"), "failures": [limit] * len(hit)})
-
-    return events.groupBy("run_id").applyInPandasWithState(
-        update, BREAKER_OUT, "failures long", "append", "NoTimeout"
+    marks = events.where(F.col("type").isin("action_succeeded", "action_failed"))
+    stretch = F.floor(F.col("seq") / F.lit(width)).cast("long")
+    return marks.groupBy("run_id", stretch.alias("stretch")).agg(
+        F.array_sort(F.collect_set(F.struct("seq", (F.col("type") == "action_failed").alias("failed")))).alias("marks")
     )
 
 
+def breaker_alarms(marks: DataFrame, limit: int = vocab.BREAKER_LIMIT) -> DataFrame:
+    """A row (run_id, seq, failures) wherever a run reaches ``limit`` failures in a row, from ``breaker_marks``.
+
+    Stretches are folded as runs of failures at their end (or throughout): one row per stretch is all that is ordered
+    inside a run. What a stretch starts with is the failures so far less those up to the last success before it.
+    """
+    failed = F.filter("marks", lambda m: m["failed"])
+    last = F.array_max(F.transform(F.filter("marks", lambda m: ~m["failed"]), lambda m: m["seq"]))
+    folded = marks.select(
+        "run_id", "stretch", "marks", F.size(failed).cast("long").alias("_n"), last.alias("_last"),
+    ).withColumn("_back", F.size(F.filter("marks", lambda m: m["failed"] & (F.col("_last").isNull() | (m["seq"] > F.col("_last"))))).cast("long"))
+    order = Window.partitionBy("run_id").orderBy("stretch")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = folded.withColumn("_sum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    reset = F.when(F.col("_last").isNotNull(), F.col("_sum") - F.col("_back"))
+    zero = F.lit(0).cast("long")
+    carried = sums.withColumn("_carry", F.coalesce(F.max("_sum").over(before), zero) - F.coalesce(F.max(reset).over(before), zero))
+    start = F.struct(F.col("_carry").alias("n"), F.array().cast("array<bigint>").alias("hits"))
+
+    def count(state: Column, mark: Column) -> Column:
+        n = F.when(mark["failed"], state["n"] + 1).otherwise(zero)
+        hits = F.when(n == limit, F.concat(state["hits"], F.array(mark["seq"].cast("long")))).otherwise(state["hits"])
+        return F.struct(n.alias("n"), hits.alias("hits"))
+
+    hits = F.aggregate("marks", start, count, lambda state: state["hits"])
+    return carried.select("run_id", F.explode(hits).alias("seq"), F.lit(limit).cast("long").alias("failures"))
+
+
 def first_mappings(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a batch of mappings (source_key, scope, destination_id, ts) adds to an id map, and what it contradicts.
 

@@ -97,7 +97,7 @@ f AS (SELECT id, run_id, type, count(*) FILTER (type = 'action_failed') OVER (PA
 SELECT run_id, id AS seq, 3::BIGINT AS failures FROM f WHERE type = 'action_failed' AND n = 3""",
 )
 def stream_breaker(t: Tables) -> DataFrame:
-    return run.drain(runlog.breaker(log_stream(t).select("run_id", "seq", "type"), 3), "breaker")
+    return run.drain_breaker(log_stream(t).select("run_id", "seq", "type"), "breaker", 3)
 
 
 @query(
