@@ -69,14 +69,14 @@ def test_small_blocks_pieces_and_shards_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 512)
     monkeypatch.setattr(suffix_dedup, "FRAGMENT_IDS", 3)
-    check(frame, corpus(2, 40), 60, shard_bytes=4000)
+    check(frame, corpus(2, 40), 60, shard_bytes=4000, hot_bytes=9000)
 
 
 def test_hot_routes_are_split(frame):
     rng = random.Random(4)
     passage = "".join(rng.choices("abcdefgh ", k=70))
     texts = ["".join(rng.choices("xyz", k=30)) + passage + "".join(rng.choices("uvw", k=rng.randint(1, 40))) for _ in range(150)]
-    check(frame, texts, 64, shard_bytes=300)
+    check(frame, texts, 64, shard_bytes=300, hot_bytes=300)
 
 
 def test_empty_table_and_one_text(frame):

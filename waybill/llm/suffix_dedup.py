@@ -23,7 +23,8 @@ from waybill.llm.two_stage import repeated_places
 LENGTH = 200
 BLOCK_BYTES = 2 << 20
 PIECE_BYTES = 1 << 19  # bytes that are hashed at once
-SHARD_BYTES = 2 << 20  # bytes of fragments that are sorted at once
+SHARD_BYTES = 2 << 20  # bytes of fragments of several routes that are sorted at once
+HOT_BYTES = 8 << 20  # bytes of different fragments of one route that are sorted at once; a route of more is split
 FRAGMENT_IDS = 1 << 20  # fragments whose bytes a task remembers to have written
 
 BASE = 0x9E3779B97F4A7C15
@@ -285,14 +286,14 @@ def sorted_runs(fragments: DataFrame, length: int, shard_bytes: int) -> DataFram
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(scan, RUN)
 
 
-def split_hot(fragments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Fragments of routes whose different bytes pass ``shard_bytes`` as one fragment per window, routed by its own hash.
+def split_hot(fragments: DataFrame, length: int, hot_bytes: int) -> DataFrame:
+    """Fragments of routes whose different bytes pass ``hot_bytes`` as one fragment per window, routed by its own hash.
 
     Any number of surroundings of one short run of bytes are parted this way, as equal windows have equal hashes. Other
     routes stay as they are.
     """
     hot = fragments.where("bytes is not null").groupBy("route").agg(F.sum(F.length("bytes")).alias("size"))
-    hot = stored(hot.where(F.col("size") > shard_bytes).select("route"), "hot-routes")
+    hot = stored(hot.where(F.col("size") > hot_bytes).select("route"), "hot-routes")
     if hot.isEmpty():
         return fragments
     whole = fragments.groupBy("digest").agg(F.first("bytes", ignorenulls=True).alias("whole"))
@@ -306,14 +307,14 @@ def split_hot(fragments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return stored(fragments.join(hot, "route", "left_anti").unionByName(apart.select(fragments.columns)), "windows")
 
 
-def repeated_runs(blocks: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_runs(blocks: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """block, text, start, end: windows of the texts of ``blocks`` that begin at another place too (runs may overlap)."""
     by_hash = _over("hash")
     repeated = anchor_rows(blocks, length).withColumn(
         "repeated", (F.min("block").over(by_hash) != F.max("block").over(by_hash)) | F.max("several").over(by_hash)
     )
     lists = repeated.where("repeated").groupBy("block").agg(F.collect_list("hash").alias("hashes"))
-    fragments = split_hot(stored(fragment_rows(blocks, lists, length), "fragments"), length, shard_bytes)
+    fragments = split_hot(stored(fragment_rows(blocks, lists, length), "fragments"), length, hot_bytes)
     # A fragment that occurs twice as a whole needs no sorting itself, but its bytes stay in the shard for the others.
     twice = fragments.groupBy("route", "digest").agg(F.count("*").alias("n"), F.max("windows").alias("end")).where("n > 1")
     runs = sorted_runs(fragments, length, shard_bytes).unionByName(
@@ -329,7 +330,7 @@ def _over(*names: str):
     return Window.partitionBy(*names)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (removed byte ranges, merged), kept (the bytes left).
 
     A byte goes if it lies in ``length`` bytes of its text that also begin at another place of any text, the same one
@@ -339,7 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     blocks = stored(blocks_of(docs), "blocks")
-    runs = repeated_runs(blocks, length, shard_bytes)
+    runs = repeated_runs(blocks, length, shard_bytes, hot_bytes)
     lists = runs.groupBy("block").agg(F.collect_list(F.struct("text", "start", "end")).alias("runs"))
     schema = f"doc_id {key}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     span = pa.list_(pa.struct([("start", LONGS), ("end", LONGS)]))

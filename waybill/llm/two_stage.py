@@ -26,18 +26,18 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     # Inside a run of equal bytes the first byte after the run decides.
     decides = np.ones(n, bool)
     decides[:-1] = text[:-1] != text[1:]
-    at = np.where(decides, np.arange(n), n - 1)
+    at = np.where(decides, np.arange(n, dtype=np.int32), np.int32(n - 1))
     return rises[np.minimum.accumulate(at[::-1])[::-1]]
 
 
 def with_sources(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
     """``wanted`` and the suffixes that their places follow from: a larger suffix is placed by its successor."""
-    n = len(wanted)
-    places = np.arange(n)
-    last_wanted = np.maximum.accumulate(np.where(wanted, places, -1))
-    last_smaller = np.maximum.accumulate(np.where(smaller, places, -1))
-    before = np.concatenate([[-1], last_smaller[:-1]])
-    return last_wanted > before
+    places, none = np.arange(len(wanted), dtype=np.int32), np.int32(-1)
+    last_wanted = np.maximum.accumulate(np.where(wanted, places, none))
+    last_smaller = np.maximum.accumulate(np.where(smaller, places, none))
+    used = last_wanted > none
+    used[1:] = last_wanted[1:] > last_smaller[:-1]
+    return used
 
 
 def direct_sort(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
@@ -73,12 +73,14 @@ def two_stage_order(text: np.ndarray, words: np.ndarray, wanted: np.ndarray, dep
     n = len(text)
     smaller = smaller_than_successor(text)
     used = with_sources(wanted, smaller)
-    direct = direct_sort(words, np.flatnonzero(used & smaller), depth)
+    direct = direct_sort(words, np.flatnonzero(used & smaller).astype(np.int32), depth)
     induced = used & ~smaller
     # How many predecessors in a row have the same byte and are induced.
     link = np.zeros(n, bool)
     link[1:] = (text[1:] == text[:-1]) & induced[:-1]
-    back = np.arange(n) - np.maximum.accumulate(np.where(link, 0, np.arange(n)))
+    places = np.arange(n, dtype=np.int32)
+    back = places - np.maximum.accumulate(np.where(link, np.int32(0), places))
+    del places, link
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
     edges = np.searchsorted(text[direct], np.arange(257))
     out = []
@@ -109,7 +111,7 @@ def two_stage_order(text: np.ndarray, words: np.ndarray, wanted: np.ndarray, dep
             part = direct[edges[byte] : edges[byte + 1]]
             out.append(part)
             name_predecessors(part)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def adjacent_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
