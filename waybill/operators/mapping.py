@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,46 +186,50 @@ def unmapped_collections(matched: DataFrame) -> DataFrame:
 
 
 # -- values -----------------------------------------------------------------------------------------------
-def _by_canon(df: DataFrame, source: str, target: str, normalize: bool) -> DataFrame:
+def _by_canon(df: DataFrame, source: str, target: str, normalize: bool, by: Sequence[str] = ()) -> DataFrame:
     """One target per canonical source text; the last entry wins."""
-    return df.groupBy(canon(F.col(source), normalize).alias("_canon")).agg(
+    return df.groupBy(*by, canon(F.col(source), normalize).alias("_canon")).agg(
         F.max_by(target, "pos").alias("_to")
     )
 
 
-def value_lookup(value_map: DataFrame, names: DataFrame, normalize: bool = True) -> DataFrame:
+def value_lookup(value_map: DataFrame, names: DataFrame, normalize: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Canonical option text to destination name: valid explicit entries, else equal names.
 
-    value_map: pos, from, to. names: pos, name. Both are bounded by the destination's schema.
+    value_map: pos, from, to. names: pos, name. Both are bounded by the destination's schema. With ``by`` (the field, say)
+    both hold entries of several maps, and each has its own texts.
     """
-    real = _by_canon(names, "name", "name", normalize)
+    real = _by_canon(names, "name", "name", normalize, by)
     explicit = (
         value_map.withColumn("_t", canon(F.col("to"), normalize))
-        .join(real.select(F.col("_canon").alias("_t"), F.col("_to").alias("_real")), "_t")
-        .groupBy(canon(F.col("from"), normalize).alias("_canon"))
+        .join(real.select(*by, F.col("_canon").alias("_t"), F.col("_to").alias("_real")), [*by, "_t"])
+        .groupBy(*by, canon(F.col("from"), normalize).alias("_canon"))
         .agg(F.max_by("_real", "pos").alias("_explicit"))
     )
-    return explicit.join(real, "_canon", "full").select(
-        "_canon", F.coalesce("_explicit", "_to").alias("target"),
+    return explicit.join(real, [*by, "_canon"], "full").select(
+        *by, "_canon", F.coalesce("_explicit", "_to").alias("target"),
         F.when(F.col("_explicit").isNotNull(), F.lit("value_map")).otherwise(F.lit("name_match")).alias("via"),
     )
 
 
 def value_map_join(
-    values: DataFrame, text: str, value_map: DataFrame, names: DataFrame, normalize: bool = True
+    values: DataFrame, text: str, value_map: DataFrame, names: DataFrame, normalize: bool = True, by: Sequence[str] = ()
 ) -> DataFrame:
     """Map option text to the destination; null target means unmapped.
 
-    The canonical form is taken once per distinct text, and the cells join on the text as it is.
+    ``by`` names the columns (the field, say) that a value shares with its map, so all fields are mapped in one pass. The
+    canonical form is taken once per distinct text of a mapped field, and the cells join on the text as it is.
     """
-    lookup = value_lookup(value_map, names, normalize)
-    return values.join(_per_text(values, text, lookup, normalize), text, "left")
+    lookup = value_lookup(value_map, names, normalize, by)
+    return values.join(_per_text(values, text, lookup, normalize, by), [*by, text], "left")
 
 
-def _per_text(values: DataFrame, text: str, lookup: DataFrame, normalize: bool) -> DataFrame:
+def _per_text(values: DataFrame, text: str, lookup: DataFrame, normalize: bool, by: Sequence[str] = ()) -> DataFrame:
     """A lookup by canonical text as a lookup by the texts that occur."""
-    texts = values.select(text).where(F.col(text).isNotNull()).distinct()
-    return texts.withColumn("_canon", canon(F.col(text), normalize)).join(lookup, "_canon").drop("_canon")
+    texts = values.select(*by, text).where(F.col(text).isNotNull())
+    if by:
+        texts = texts.join(lookup.select(*by).distinct(), list(by), "left_semi")
+    return texts.distinct().withColumn("_canon", canon(F.col(text), normalize)).join(lookup, [*by, "_canon"]).drop("_canon")
 
 
 def value_map_validate(value_map: DataFrame, names: DataFrame, normalize: bool = True) -> DataFrame:

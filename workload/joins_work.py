@@ -100,15 +100,15 @@ def unmapped_collections(t: Tables) -> DataFrame:
 
 @query(
     "value_map_join",
-    with_(RECORDS, MAPPED_OPTIONS) + """
-SELECT key AS record, o_orderpriority AS text, m.target, CASE WHEN m.target IS NOT NULL THEN 'value_map' END AS via
-FROM records LEFT JOIN mapped_options m ON m.field_id = 'priority' AND m.option = o_orderpriority""",
+    with_(RECORDS, CELLS, MAPPED_OPTIONS) + """
+SELECT record, c.field_id, text, m.target, CASE WHEN m.target IS NOT NULL THEN 'value_map' END AS via
+FROM cells c LEFT JOIN mapped_options m ON m.field_id = c.field_id AND m.option = text""",
 )
 def value_map_join(t: Tables) -> DataFrame:
-    own = t.cells.where(F.col("field_id") == "priority").select("record", "text")
-    maps = value_map(t).where(F.col("field_id") == "priority")
-    names = statuses(t).where(F.col("field_id") == "priority")
-    return mp.value_map_join(own, "text", maps, names).select("record", "text", "target", "via")
+    """The cells of all fields; those without a map have no target."""
+    own = t.cells.select("record", "field_id", "text")
+    done = mp.value_map_join(own, "text", value_map(t), statuses(t), by=["field_id"])
+    return done.select("record", "field_id", "text", "target", "via")
 
 
 @query(
