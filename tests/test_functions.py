@@ -274,6 +274,18 @@ def test_typed_values_never_fail(spark):
     assert [u.text for u in ids_] == ["T-7", "7", None]
 
 
+def test_typed_computed_values_show_arrays(spark):
+    rows = [
+        (0, '{"type": "array", "array": [{"type": "number", "number": 2}, {"type": "title", "title": [{"plain_text": "a"}, {"plain_text": "b"}]}]}'),
+        (1, '{"type": "number", "number": 3.5}'), (2, '{"type": "array", "array": []}'), (3, '{"type": "incomplete"}'),
+        (4, '{"type": "string", "string": "text"}'), (5, '{"type": "date", "date": {"start": "2026-01-02"}}'), (6, "null"),
+    ]
+    df = spark.createDataFrame(rows, "i int, p string").select("i", F.lit("computed").alias("k"), F.try_parse_json("p").alias("p"))
+    got = values.with_typed_value(df, "k", "p", "v").orderBy("i").select("v").collect()
+    assert [r.v.text for r in got] == ["2, ab", "3.5", "", None, "text", "2026-01-02", None]
+    assert not any(r.v.malformed for r in got)
+
+
 def test_computed_display(spark):
     many = '{"type":"array","array":[' + ",".join('{"type":"number","number":%d}' % i for i in range(21)) + "]}"
     payloads = ['{"type":"number","number":900.0}', '{"type":"boolean","boolean":true}', many, '{"type":"unsupported"}', "{}",

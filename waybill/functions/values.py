@@ -192,7 +192,8 @@ def with_typed_value(df: DataFrame, kind: str, payload: str, out: str) -> DataFr
     """
     k, p, shape = F.col(kind), F.col(payload), F.col("_shape")
     text_of = lambda path: F.try_variant_get(p, path, "string")
-    staged = with_computed_display(df, "formula", payload, "_computed").withColumns(
+    # A rollup is read as a formula where it holds a single value; only rollups hold arrays.
+    staged = with_computed_display(df, "rollup", payload, "_computed").withColumns(
         {"_schema": F.schema_of_variant(p), "_items": F.try_variant_get(p, "$", "array<variant>"),
          "_text": text_of("$"), "_name": text_of("$.name")}
     )
