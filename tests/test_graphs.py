@@ -52,7 +52,7 @@ def plain_cycles(nodes, deps):
     }
 
 
-@pytest.mark.parametrize("seed,density", [(1, 0.8), (2, 1.3), (3, 3.0)])
+@pytest.mark.parametrize("seed,density", [(2, 1.3), (3, 3.0)])
 def test_random_graphs(frame, seed, density):
     rng = random.Random(seed)
     nodes = [f"n{k:02}" for k in range(40)]
@@ -136,8 +136,8 @@ def test_depth_of_5000(frame, rounds):
 
 
 def test_order_of_a_deep_tree(frame):
-    pages = [(f"p{k:04}", f"p{k - 1:04}" if k else None, "t", 0) for k in range(300)]
-    pages += [(f"q{k:04}", f"p{k:04}", "t", -1 if k % 2 else 1) for k in range(0, 300, 7)]
+    pages = [(f"p{k:04}", f"p{k - 1:04}" if k else None, "t", 0) for k in range(60)]
+    pages += [(f"q{k:04}", f"p{k:04}", "t", -1 if k % 2 else 1) for k in range(0, 60, 7)]
     pages += [("x", "y", "t", 0), ("y", "x", "t", 0), ("z", "y", "t", 0)]
     got = [r.key for r in graph.tree_emit_order(frame(pages, PAGES)).orderBy("position").collect()]
     assert got == [*plain_order(pages[:-3]), "x", "y", "z"]
