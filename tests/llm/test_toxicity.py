@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from waybill.llm import toxicity as tx
 from waybill.llm.queries import QUERIES
 from waybill.llm.toxicity import FEATURES, Isotonic, Lexica, Trees, held_out, score_documents, train
 
@@ -66,3 +67,51 @@ def test_nulls_repeats_clashing_names_and_no_labels(frame):
     plain = score_documents(docs, train(docs, labels.limit(0))).collect()
     assert len({r.score for r in plain}) == 1 and all(r.predicted == 0 for r in plain)
     assert score_documents(docs.limit(0), train(docs.limit(0), labels)).count() == 0
+
+
+def plain_features(lexica: tx.Lexica, text: str) -> list[float]:
+    """Every pattern run over the whole text, distances to the second person one by one."""
+    low = text.lower()
+    tokens = tx.WORD.findall(low)
+    n, kinds = max(1, len(tokens)), list(dict.fromkeys(tokens))
+    weight = {w: lexica.words[w] for w in kinds if w in lexica.words}
+    start = {}
+    for w in kinds:
+        found = [lexica.starts[w[:k]] for k in tx.PREFIXES if len(w) > k and w[:k] in lexica.starts]
+        if found:
+            start[w] = max(found)
+    yous = [k for k, w in enumerate(tokens) if w in tx.SECOND_PERSON]
+    near = sum(any(abs(k - y) <= tx.NEAR_WORDS for y in yous) for k, w in enumerate(tokens) if w in weight or w in start)
+    hidden = []
+    for match in tx.DISGUISED.findall(low):
+        plain = {tx.APART.sub("", match).translate(tx.LOOKS_LIKE), tx.APART.sub("", match.translate(tx.LOOKS_LIKE))}
+        hidden += [lexica.words[w] for w in plain if w in lexica.words and w not in kinds]
+    spaced = tx.SPACED.findall(low)
+    closed = [s.replace(" ", "") for s in spaced] + [tx.REPEATED.sub(r"\1", w) for w in kinds if tx.REPEATED.search(w)]
+    hidden += [lexica.words[w] for w in closed if w in lexica.words]
+    blanks = text.count(" ") + text.count("\n")
+    marks = text.count("!") + text.count("?")
+    return [
+        sum(w in weight for w in tokens) / n, sum(weight[w] * tokens.count(w) for w in weight) / n,
+        max(weight.values(), default=0), len(weight),
+        sum(w in start for w in tokens) / n, sum(start[w] * tokens.count(w) for w in start) / n, max(start.values(), default=0),
+        len(hidden) / n, max(hidden, default=0), near / n, len(yous) / n,
+        sum(map(len, tx.CAPITALS.findall(text))) / max(1, len(text) - blanks), len(tx.SHOUTED.findall(text)) / n,
+        marks / max(1, len(text)), len(tx.PUNCTUATION.findall(text)) / n,
+        (len(text) - sum(map(len, tokens)) - blanks) / max(1, len(text)),
+        len(tx.DIGIT_INSIDE.findall(low)) / n, len(tx.REPEATED.findall(low)) / n, len(spaced) / n, np.log1p(len(tokens)),
+    ]
+
+
+def test_features_equal_plain_patterns():
+    """The cheap tests before costly patterns never change a feature."""
+    lexica = tx.Lexica({"idiot": 3.0, "stupid": 4.0, "du": 2.5}, {"idio": 2.0, "stupi": 2.75, "dummko": 5.0})
+    texts = [
+        "", " ", "you i d i o t!", "1d!ot s.t.u.p.i.d you $tupid idiiiiot IDIIIOT!!! ??", "x i  d i o t", "(i d i o t)", "___ aaa ...",
+        "stu-pid id!ot idiot", "İ d i o t ΣΑΣ.", "a\ud800aa ss\ud800", "du Dummkopf", "i̇ d i o", "5i d i o t",
+    ]
+    letters = "iditosupyu IDST  .!?_-*15@$|+\n\t éΣİ²ß"
+    draw = np.random.default_rng(3)
+    texts += ["".join(draw.choice(list(letters), draw.integers(0, 60))) for _ in range(3000)]
+    for text in texts:
+        assert np.allclose(lexica.features(text), plain_features(lexica, text), rtol=1e-12, atol=0), text

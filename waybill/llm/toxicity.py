@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ LOOKS_LIKE = str.maketrans("01345789@$!|+", "oieastbgasiit")
 APART = re.compile(r"[*.\-_+|!]+")
 REPEATED = re.compile(r"(\w)\1{2,}")
 PUNCTUATION = re.compile(r"[!?]{2,}")
+# A sign or digit before a letter, without which no word is disguised.
+SIGN_BEFORE = re.compile(r"[0-9@$!|*+.\-_][^\W\d_]")
 # Plain English insults, which stand in the lexicon even where too few labels teach them.
 SEED_WORDS = frozenset(
     "idiot idiots idiotic stupid stupidity moron morons moronic dumb dumbass fool fools foolish loser losers pathetic worthless "
@@ -69,6 +72,14 @@ def terms(text: str) -> tuple[set[str], set[str]]:
     return words, {w[:n] for w in words for n in PREFIXES if len(w) > n}
 
 
+def repeats_thrice(text: str) -> bool:
+    """Whether a letter, digit or underscore stands three times in a row, by comparing whole arrays of characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = codes[1:] == codes[:-1]
+    found = codes[2:][same[1:] & same[:-1]]
+    return any(c == "_" or c.isalnum() for c in map(chr, np.unique(found).tolist()))
+
+
 @dataclass
 class Lexica:
     """Log-odds of terms that mark label 1."""
@@ -76,6 +87,10 @@ class Lexica:
     words: dict[str, float]
     starts: dict[str, float]
 
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        return frozenset(start[: PREFIXES[0]] for start in self.starts)
+
     @classmethod
     def learn(cls, counts: list[tuple[str, str, int, int]], n0: int, n1: int) -> Lexica:
         """``counts``: (kind, term, rows with label 0, rows with label 1)."""
@@ -92,7 +107,10 @@ class Lexica:
         return made
 
     def features(self, text: str | None) -> list[float]:
-        """The values of ``FEATURES``; all are defined for a null or empty text."""
+        """The values of ``FEATURES``; all are defined for a null or empty text.
+
+        Each costly pattern runs only where a cheap test over the whole text leaves it a chance.
+        """
         text = text or ""
         low = text.lower()
         tokens = WORD.findall(low)
@@ -102,9 +120,10 @@ class Lexica:
         weights = {w: self.words[w] for w in counted if w in self.words}
         starts = {}
         for w in counted:
-            best = max((self.starts.get(w[:k], 0.0) for k in PREFIXES if len(w) > k), default=0.0)
-            if best:
-                starts[w] = best
+            if w[: PREFIXES[0]] in self.heads:
+                best = max((self.starts.get(w[:k], 0.0) for k in PREFIXES if len(w) > k), default=0.0)
+                if best:
+                    starts[w] = best
         marked = {**starts, **weights}
         if marked:
             hits = [(k, marked[w]) for k, w in enumerate(tokens) if w in marked]
@@ -119,25 +138,29 @@ class Lexica:
             )
             near = int((gap <= NEAR_WORDS).sum())
         disguised = []
-        for match in DISGUISED.findall(low):
+        signed = [p for p in low.split() if SIGN_BEFORE.search(p)] if SIGN_BEFORE.search(low) else []
+        for match in (m for p in signed for m in DISGUISED.findall(p)):
             for plain in {APART.sub("", match).translate(LOOKS_LIKE), APART.sub("", match.translate(LOOKS_LIKE))}:
                 if plain in self.words and plain not in counted:
                     disguised.append(self.words[plain])
-        spaced = SPACED.findall(low)
+        # A spaced-out word is three words of one letter at least.
+        spaced = SPACED.findall(low) if b"\1\1\1" in bytes([len(w) == 1 for w in tokens]) else []
         disguised += [self.words[w] for w in (s.replace(" ", "") for s in spaced) if w in self.words]
-        shrunk = [REPEATED.sub(r"\1", w) for w in counted if REPEATED.search(w)]
+        repeated = repeats_thrice(low)
+        shrunk = [REPEATED.sub(r"\1", w) for w in counted if REPEATED.search(w)] if repeated else []
         disguised += [self.words[w] for w in shrunk if w in self.words]
         word_hits = sum(counted[w] for w in weights)
         start_hits = sum(counted[w] for w in starts)
         solid = max(1, len(text) - text.count(" ") - text.count("\n"))
         marks = text.count("!") + text.count("?")
+        capitals = list(map(len, CAPITALS.findall(text)))
         return [
             word_hits / n, sum(weights[w] * counted[w] for w in weights) / n, max(weights.values(), default=0.0), float(len(weights)),
             start_hits / n, sum(starts[w] * counted[w] for w in starts) / n, max(starts.values(), default=0.0),
             len(disguised) / n, max(disguised, default=0.0), near / n, len(seconds) / n,
-            sum(map(len, CAPITALS.findall(text))) / solid, len(SHOUTED.findall(text)) / n, marks / chars,
-            len(PUNCTUATION.findall(text)) / n, (len(text) - sum(map(len, tokens)) - text.count(" ") - text.count("\n")) / chars,
-            len(DIGIT_INSIDE.findall(low)) / n, len(REPEATED.findall(low)) / n, len(spaced) / n, float(np.log1p(len(tokens))),
+            sum(capitals) / solid, len(SHOUTED.findall(text)) / n if max(capitals, default=0) > 2 else 0.0, marks / chars,
+            len(PUNCTUATION.findall(text)) / n if marks > 1 else 0.0, (len(text) - sum(map(len, tokens)) - text.count(" ") - text.count("\n")) / chars,
+            sum(len(DIGIT_INSIDE.findall(p)) for p in signed) / n, len(REPEATED.findall(low)) / n if repeated else 0.0, len(spaced) / n, float(np.log1p(len(tokens))),
         ]
 
 
