@@ -138,3 +138,65 @@ def test_options_and_paths_of_targets(spark):
     assert sorted((r.list_id, r.code) for r in targets.unreachable_targets(wanted, lists).collect()) == [
         ("l2", "DEST_LIST_FORBIDDEN"), ("l3", "DEST_LIST_NOT_FOUND"),
     ]
+
+
+T0 = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def plain_bursts(rows, gap, mark):
+    out, held = [], {}
+    for run_id, ts in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        if run_id in held and ts - held[run_id][1] <= gap:
+            held[run_id][1:] = [ts, held[run_id][2] + 1]
+        else:
+            out += [(run_id, *held[run_id])] if run_id in held else []
+            held[run_id] = [ts, ts, 1]
+    out += [(run_id, *h) for run_id, h in held.items()]
+    return sorted(((r or "", a, b + gap, n) for r, a, b, n in out if b + gap <= mark))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("seed", [None, 3])
+def test_bursts_do_not_depend_on_batches(spark, tmp_path, parts, seed):
+    """A run with a third of all events, idle gaps of just the limit, a null run; rows up to the lateness out of order."""
+    rng = random.Random(11)
+    at = [rng.randrange(0, 40_000) for _ in range(900)]
+    rows = [("hot" if k % 3 == 0 else f"r{k % 40}", T0 + dt.timedelta(seconds=s)) for k, s in enumerate(at)]
+    rows += [("edge", T0 + dt.timedelta(seconds=s)) for s in (0, 600, 1200, 1801, 1801)]
+    rows += [(None, T0 + dt.timedelta(seconds=s)) for s in (5, 6, 5000)]
+    shaken = random.Random(seed)
+    rows.sort(key=lambda r: r[1] + dt.timedelta(seconds=shaken.randrange(3000) if seed else 0))
+    stream = files(spark, tmp_path, rows, "run_id string, ts timestamp", parts)
+    got = run.drain_bursts(stream, "b", "10 minutes", "1 hour").select("run_id", F.unix_micros("start"), F.unix_micros("end"), "n").collect()
+    micros = lambda t: round((t - T0).total_seconds() * 10**6) + round(T0.timestamp()) * 10**6
+    mark = max(ts for _, ts in rows) - dt.timedelta(hours=1)
+    expected = [(r, micros(a), micros(b), n) for r, a, b, n in plain_bursts(rows, dt.timedelta(minutes=10), mark)]
+    assert sorted((r[0] or "", r[1], r[2], r[3]) for r in got) == expected and len(expected) > 300
+
+
+def test_slices_split_a_hot_run(spark):
+    """A run with all events is one row of state per slice of time, not one growing session."""
+    events = spark.range(20_000).select(F.lit("hot").alias("run_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    slices = runlog.activity_slices(events, "10 minutes")
+    assert slices.count() == 2000 and slices.agg(F.max("n")).first()[0] == 10
+    assert runlog.bursts_of_slices(slices, "10 minutes").count() == 0  # it never pauses, so it is still open
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_adoption_gives_one_verdict(spark, tmp_path, parts):
+    """None, one or several items per planned write, the same for any cut; repeats and items outside the allowance do not count."""
+    plans = [("a", 1, 1000), ("b", 2, 1010), ("c", 3, 1020), ("c", 3, 1020), ("d", 4, 1030), ("e", 5, 1040), (None, 6, 1050)]
+    items = [
+        ("b", "i1", 1040), ("b", "i1", 1045), ("c", "i2", 1000), ("c", "i3", 1075), ("d", "i4", 969), ("e", "i5", 980), ("e", "i6", 1101),
+        (None, "i7", 1050),
+    ]
+    rows = [("p", k, str(n), s) for k, n, s in plans] + [("s", k, n, s) for k, n, s in items]
+    rows += [(side, "end", "0", s) for side in "ps" for s in (3000, 6000)]
+    rows = sorted(((*r[:3], T0 + dt.timedelta(seconds=r[3])) for r in rows), key=lambda r: r[3])
+    stream = files(spark, tmp_path, rows, "side string, key string, name string, ts timestamp", parts)
+    planned = stream.where("side = 'p'").select("key", F.col("name").alias("planned"), F.col("ts").alias("planned_at"))
+    seen = stream.where("side = 's'").select(F.col("key").alias("marker"), F.col("name").alias("item_id"), F.col("ts").alias("seen_at"))
+    got = run.drain(runlog.adoption_verdicts(planned, seen, 60), "v").where("planned <> '0'")
+    assert sorted((int(r.planned), r.verdict, r.item_id) for r in got.collect()) == [
+        (1, "none", None), (2, "one", "i1"), (3, "several", None), (4, "none", None), (5, "one", "i5"), (6, "none", None),
+    ]

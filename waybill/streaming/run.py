@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.sources.sinks import shared_folder
-from waybill.streaming.runlog import breaker_alarms, breaker_marks, first_mappings
+from waybill.streaming.runlog import LATENESS, activity_slices, breaker_alarms, breaker_marks, bursts_of_slices, first_mappings
 
 
 def read_table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def drain_breaker(events: DataFrame, name: str, limit: int) -> DataFrame:
     return breaker_alarms(drain_changes(breaker_marks(events), name, ["run_id", "stretch"]), limit)
 
 
+def drain_bursts(events: DataFrame, name: str, gap: str, lateness: str = LATENESS) -> DataFrame:
+    """Closed bursts of activity of the runs over all that a stream of events holds."""
+    slices = drain_changes(activity_slices(events, gap, lateness), name, ["run_id", "slice"])
+    return bursts_of_slices(slices, gap, lateness)
+
+
 ID_MAP = "source_key string, scope string, destination_id string"
 
 

@@ -44,6 +44,37 @@ def activity_sessions(events: DataFrame, gap: str, lateness: str = LATENESS) ->
     )
 
 
+def activity_slices(events: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
+    """First and last instant and number of a run's events by slices of time as wide as the idle gap. Output in update mode.
+
+    Events of one slice are never further apart than the gap, so a slice lies within one burst whatever stands around
+    it. The state is three values per (run, slice) and leaves with the watermark; a run with a third of all events is
+    as many keys as it has slices, and its events are combined before they are shuffled.
+    """
+    return (
+        events.withWatermark("ts", lateness).groupBy("run_id", F.window("ts", gap).alias("slice"))
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+        .select("run_id", F.col("slice.start").alias("slice"), "first", "last", "n")
+    )
+
+
+def bursts_of_slices(slices: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
+    """Closed bursts (run_id, start, end, n) from ``activity_slices``: those whose idle gap the watermark has passed.
+
+    Neighbouring slices of a run join unless more than the gap lies between them. Only slices are ordered inside a
+    run, never events. Rows without an instant take no part; a null run is a run of its own.
+    """
+    idle = F.expr(f"INTERVAL {gap}")
+    order = Window.partitionBy("run_id").orderBy("slice")
+    apart = F.col("first") > F.lag("last").over(order) + idle
+    numbered = slices.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_burst", F.sum("_new").over(order))
+    bursts = numbered.groupBy("run_id", "_burst").agg(
+        F.min("first").alias("start"), (F.max("last") + idle).alias("end"), F.sum("n").alias("n")
+    )
+    mark = slices.agg((F.max("last") - F.expr(f"INTERVAL {lateness}")).alias("_mark"))
+    return bursts.join(F.broadcast(mark), F.col("end") <= F.col("_mark")).select("run_id", "start", "end", "n")
+
+
 def checkpoint_state(transitions: DataFrame) -> DataFrame:
     """Current state per action from a stream of transitions (run_id, action_id, seq, event). Output in update mode.
 
@@ -131,7 +162,9 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.count_if(done).alias("done"), F.count("*").alias("total"))
 
 
-def adoption(planned: DataFrame, seen: DataFrame, skew_seconds: int = vocab.CLOCK_SKEW_SECONDS) -> DataFrame:
+def adoption(
+    planned: DataFrame, seen: DataFrame, skew_seconds: int = vocab.CLOCK_SKEW_SECONDS, how: str = "inner",
+) -> DataFrame:
     """Planned keys matched to markers seen at the destination within the clock allowance.
 
     planned: key, planned_at. seen: marker, item_id, seen_at. An interval join with watermarks on
@@ -145,4 +178,21 @@ def adoption(planned: DataFrame, seen: DataFrame, skew_seconds: int = vocab.CLOC
         & (F.col("seen_at") >= F.col("planned_at") - F.expr(f"INTERVAL {window}"))
         & (F.col("seen_at") <= F.col("planned_at") + F.expr(f"INTERVAL {window}"))
     )
-    return left.join(right, near).drop("marker")
+    return left.join(right, near, how).drop("marker")
+
+
+def adoption_verdicts(planned: DataFrame, seen: DataFrame, skew_seconds: int = vocab.CLOCK_SKEW_SECONDS) -> DataFrame:
+    """One verdict (none, one, several) per planned write, given once the clock allowance around it has passed.
+
+    planned: key, planned, planned_at. seen: marker, item_id, seen_at. ``item_id`` is the item to adopt, and null
+    unless exactly one was seen; an item that is seen again still counts as one. A planned write that is delivered
+    twice gives one row. The join's state leaves with the watermarks, and a verdict's state is the least and the
+    greatest item, however many were seen.
+    """
+    matched = adoption(planned, seen, skew_seconds, "left_outer")
+    folded = matched.groupBy("key", "planned", "planned_at").agg(
+        F.min("item_id").alias("_least"), F.max("item_id").alias("_most")
+    )
+    one = F.col("_least") == F.col("_most")
+    verdict = F.when(F.col("_least").isNull(), F.lit("none")).when(one, F.lit("one")).otherwise(F.lit("several"))
+    return folded.select("key", "planned", "planned_at", verdict.alias("verdict"), F.when(one, F.col("_least")).alias("item_id"))

@@ -63,7 +63,7 @@ g AS (SELECT user_id, sid, min(ts) AS a, max(ts) + INTERVAL 2 HOUR AS b, count(*
 SELECT 'run_' || user_id AS run_id, epoch_us(a) // 1000 AS start_ms, epoch_us(b) // 1000 AS end_ms, n FROM g, mark WHERE b <= mark""",
 )
 def stream_activity_sessions(t: Tables) -> DataFrame:
-    bursts = run.drain(runlog.activity_sessions(log_stream(t), "2 hours"), "sessions")
+    bursts = run.drain_bursts(log_stream(t), "bursts", "2 hours")
     return bursts.select("run_id", ms("start"), ms("end"), "n")
 
 
@@ -127,6 +127,18 @@ def stream_progress(t: Tables) -> DataFrame:
     return run.drain_changes(runlog.progress(log_stream(t)), "progress", ["run_id"], "complete")
 
 
+def adoption_streams(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Clicks as planned writes, purchases as items seen at the destination."""
+    key = F.concat(F.lit("u"), "user_id", F.lit("/"), F.col("seq") % 3)
+    planned = log_stream(t).where(F.col("event_type") == "click").select(
+        key.alias("key"), F.col("ts").alias("planned_at"), F.col("seq").alias("planned")
+    )
+    seen = log_stream(t).where(F.col("event_type") == "purchase").select(
+        key.alias("marker"), F.col("ts").alias("seen_at"), F.col("seq").alias("item_id")
+    )
+    return planned, seen
+
+
 @query(
     "stream_adoption",
     """
@@ -135,11 +147,22 @@ SELECT 'u' || a.user_id || '/' || a.event_id % 3 AS key, b.event_id AS item_id,
 WHERE a.event_type = 'click' AND b.event_type = 'purchase'""",
 )
 def stream_adoption(t: Tables) -> DataFrame:
-    key = F.concat(F.lit("u"), "user_id", F.lit("/"), F.col("seq") % 3)
-    planned = log_stream(t).where(F.col("event_type") == "click").select(
-        key.alias("key"), F.col("ts").alias("planned_at"), F.col("seq").alias("planned")
-    )
-    seen = log_stream(t).where(F.col("event_type") == "purchase").select(
-        key.alias("marker"), F.col("ts").alias("seen_at"), F.col("seq").alias("item_id")
-    )
+    planned, seen = adoption_streams(t)
     return run.drain(runlog.adoption(planned, seen, 3600), "adoption").select("key", "item_id", "planned")
+
+
+# A planned write is judged when both streams are known beyond its allowance.
+@query(
+    "stream_adoption_verdicts",
+    """
+WITH p AS (SELECT 'u' || user_id || '/' || event_id % 3 AS key, event_id AS planned, ts FROM events WHERE event_type = 'click'),
+s AS (SELECT 'u' || user_id || '/' || event_id % 3 AS key, event_id AS item_id, ts FROM events WHERE event_type = 'purchase'),
+mark AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM s)) - INTERVAL 1 HOUR AS mark),
+f AS (SELECT p.key, planned, p.ts, count(DISTINCT item_id) AS n, min(item_id) AS item_id
+  FROM p LEFT JOIN s ON s.key = p.key AND s.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts + INTERVAL 1 HOUR GROUP BY ALL)
+SELECT key, planned, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS verdict,
+  CASE n WHEN 1 THEN item_id END AS item_id FROM f, mark WHERE ts + INTERVAL 1 HOUR < mark""",
+)
+def stream_adoption_verdicts(t: Tables) -> DataFrame:
+    planned, seen = adoption_streams(t)
+    return run.drain(runlog.adoption_verdicts(planned, seen, 3600), "verdicts").select("key", "planned", "verdict", "item_id")
