@@ -43,7 +43,7 @@ def unexplained_losses(actions: DataFrame, findings: DataFrame) -> DataFrame:
     return actions.where(F.col("outcome").isin("lossy", "unsupported")).join(explained, "id", "left_anti")
 
 
-def _long_strings(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def long_strings(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row per (row, string column), without a shuffle."""
     pairs = [F.struct(F.lit(c).alias("path"), F.col(c).alias("text")) for c in columns]
     return df.select(*keys, F.inline(F.array(*pairs)))
@@ -53,26 +53,27 @@ def contains_values(df: DataFrame, keys: list[str], needles: list[str]) -> DataF
     """String cells that hold one of a handful of given values (credentials in use)."""
     columns = [c for c in string_columns(df) if c not in keys]
     hit = reduce(lambda a, n: a | F.contains(F.col("text"), F.lit(n)), needles, F.lit(False))
-    return _long_strings(df, keys, columns).where(hit).select(*keys, "path")
+    return long_strings(df, keys, columns).where(hit).select(*keys, "path")
 
 
 def leak_scan(df: DataFrame, keys: list[str], names: dict[str, str] | None = None,
-              paths: dict[str, str] | None = None) -> DataFrame:
+              paths: dict[str, str] | None = None, rules: dict[str, str] | None = None) -> DataFrame:
     """Secrets, machine paths and given names in any string column, with where they are.
 
-    ``names`` maps a whole word to what it is, ``paths`` a substring to what it is. Every test runs
-    inside the row; one pass over the table, no shuffle.
+    ``names`` maps a whole word to what it is, ``paths`` a substring to what it is. ``rules`` are the patterns looked
+    for (by default those of credentials; ``secrets.MACHINE_PATHS`` are those of places on a machine). Every test runs
+    inside the row; one pass over the table, no shuffle. For many names see ``needles.needle_scan``.
     """
     columns = [c for c in string_columns(df) if c not in keys]
     text = F.col("text")
-    tests: list[tuple[str, Column]] = [(what, text.rlike(p)) for what, p in secrets.LEAK_RULES.items()]
+    tests: list[tuple[str, Column]] = [(what, text.rlike(p)) for what, p in (secrets.LEAK_RULES if rules is None else rules).items()]
     for word, what in (names or {}).items():
         quoted = "".join("\\" + c if not c.isalnum() else c for c in word)
         tests.append((what, text.rlike(rf"(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])")))
     for part, what in (paths or {}).items():
         tests.append((what, F.contains(text, F.lit(part))))
     kinds = F.array_compact(F.array(*[F.when(test, F.lit(what)) for what, test in tests]))
-    return _long_strings(df, keys, columns).select(*keys, "path", F.explode(kinds).alias("leak"))
+    return long_strings(df, keys, columns).select(*keys, "path", F.explode(kinds).alias("leak"))
 
 
 def url_hosts(df: DataFrame, columns: list[str], allowed: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.operators import quality, state
+from waybill.functions import secrets
+from waybill.operators import needles, quality, state
 from waybill.plans import report, seal
 from workload.functions_work import CANONICAL_ORDER_SQL, canonical_order
 from workload.inputs import CHECKPOINTS, TRANSITIONS, checkpoints, items, transitions
@@ -186,3 +187,54 @@ UNION ALL SELECT doc_id, 'text', 'person' FROM documents WHERE doc_id % 8 = 4"""
 )
 def leak_scan(t: Tables) -> DataFrame:
     return quality.leak_scan(leaky_documents(t), ["doc_id"], {"robin": "person"}, {"/home/me": "home folder"})
+
+
+# One place on a machine per shape, and near misses.
+PLACES = {
+    1: " at /Users/robin/x", 2: " in /home/", 3: " /private/y", 4: " /var/folders/z", 5: " (/tmp/a", 6: " /root", 7: " C:/x",
+    8: r" \\host.x\share", 9: " FILE://x", 10: " ~/x", 11: " x/tmp/a", 12: " /rooted", 13: " abC:/x", 14: r" \host\x", 15: " a~/x",
+}
+
+
+def placed_documents(t: Tables) -> DataFrame:
+    planted = F.lit("")
+    for shape, text in PLACES.items():
+        planted = F.when(F.col("doc_id") % 17 == shape, F.lit(text)).otherwise(planted)
+    return t.spread("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), planted).alias("text"))
+
+
+@query(
+    "leak_paths",
+    "WITH d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 17 "
+    + " ".join(f"WHEN {shape} THEN '{text}'" for shape, text in PLACES.items())
+    + " ELSE '' END AS text FROM documents), r(leak, pattern) AS (VALUES "
+    + ", ".join(f"('{what}', '{pattern}')" for what, pattern in secrets.MACHINE_PATHS.items())
+    + ") SELECT doc_id, 'text' AS path, leak FROM d, r WHERE regexp_matches(text, pattern)",
+)
+def leak_paths(t: Tables) -> DataFrame:
+    return quality.leak_scan(placed_documents(t), ["doc_id"], rules=secrets.MACHINE_PATHS)
+
+
+@query(
+    "leak_needles",
+    """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') || ' for Customer#' || lpad((doc_id % 2000)::VARCHAR, 9, '0')
+  || CASE WHEN doc_id % 3 = 0 THEN '7' ELSE '.' END AS text FROM documents),
+n AS (SELECT c_name AS needle, 'customer in ' || c_mktsegment AS what, true AS word FROM customer
+  UNION ALL SELECT lower(n_name), 'country', true FROM nation UNION ALL SELECT source, 'source', false FROM documents),
+u AS (SELECT DISTINCT * FROM n WHERE needle <> ''),
+l AS (SELECT doc_id, 'text' AS path, text FROM d UNION ALL SELECT doc_id, 'source', source FROM d)
+SELECT DISTINCT doc_id, path, what AS leak FROM l JOIN u ON contains(text, needle)
+WHERE NOT word OR regexp_matches(text, '(^|[^A-Za-z0-9])' || needle || '($|[^A-Za-z0-9])')""",
+)
+def leak_needles(t: Tables) -> DataFrame:
+    number = F.lpad((F.col("doc_id") % 2000).cast("string"), 9, "0")
+    end = F.when(F.col("doc_id") % 3 == 0, F.lit("7")).otherwise(F.lit("."))
+    docs = t.spread("documents").select(
+        "doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" for Customer#"), number, end).alias("text")
+    )
+    names = t.customer.select(F.col("c_name").alias("needle"), F.concat(F.lit("customer in "), "c_mktsegment").alias("what"))
+    countries = t.nation.select(F.lower("n_name").alias("needle"), F.lit("country").alias("what"))
+    sources = t.documents.select(F.col("source").alias("needle"), F.lit("source").alias("what")).distinct()
+    wanted = names.union(countries).withColumn("word", F.lit(True)).union(sources.withColumn("word", F.lit(False)))
+    return needles.needle_scan(docs, ["doc_id"], wanted)
