@@ -71,3 +71,28 @@ def test_empty_table(frame):
     docs = frame([], "doc_id long, text string")
     vocabulary = Vocabulary.of(docs)
     assert score_documents(docs, vocabulary, train(docs, vocabulary)).count() == 0
+
+
+def test_every_word_has_the_share_of_its_own_count(frame, monkeypatch):
+    """Words whose counts no task holds, and those that once met in one cell of 2^20, are told apart by their counts."""
+    from waybill.llm import pseudo_likelihood as op
+
+    met, first = {}, None
+    for k in range(100_000):
+        word = b"w%d" % k
+        cell = op.xxhash.xxh64_intdigest(word, op.SEED) % (1 << 20)
+        if cell in met:
+            first = met[cell].decode(), word.decode()
+            break
+        met[cell] = word
+    often, seldom = first
+    base = [(k, f"v{k} " * 50) for k in range(900)]
+    docs = frame([*base, (1000, f"{often} " * 30), (1001, seldom), (1002, "new")], "doc_id long, text string")
+    held = Vocabulary.of(docs.where("doc_id <> 1002"))
+    assert math.isclose(held.look_up(often.encode())[2] - held.look_up(seldom.encode())[2], math.log(31 / 2))
+    monkeypatch.setattr(op, "HELD", 800)
+    joined, network = Vocabulary.of(docs.where("doc_id <> 1002")), Network.fresh()
+    assert math.isnan(joined.look_up(often.encode())[2]) and math.isnan(joined.look_up(b"new")[2])
+    read = lambda v: {r.doc_id: r.pseudo_likelihood for r in score_documents(docs, v, network).collect()}
+    one, other = read(held), read(joined)
+    assert len(one) == len(other) == 903 and all(math.isclose(one[k], other[k], rel_tol=1e-9) for k in one)

@@ -1,20 +1,23 @@
 """Masked pseudo-likelihood: a window network predicts every word from both of its sides.
 
 Words are counted over all documents. The most frequent ones are symbols of their own, the rest share hashed symbols,
-within which a word has its share of the counts. A network with one hidden layer, trained in numpy, gives the symbol's
+within which every word has its own share by its own count: frequent counts go to all tasks, the others are joined. A network with one hidden layer, trained in numpy, gives the symbol's
 probability from the two words on each side; a document's score is the sum of the conditional log-probabilities of all
 its words.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.decontaminate import words_of
@@ -23,66 +26,90 @@ OFFSETS = (-2, -1, 1, 2)
 OUT, IN, HIDDEN = 128, 1024, 24
 # Symbols of single words: on the output side, and on the input side. Symbol 0 is the edge of a document.
 OWN_OUT, OWN_IN = 95, 767
-COUNT_BITS = 20
+# Counts of so many words go to every task; the others are joined.
+HELD = 50_000
+CELLS = (1 << 20) - 1
 SEED = 42
 # Words that are scored, and trained on, at once: as many as stay in a core's cache.
 STEP_TOKENS = 2_048
 TRAIN_TOKENS = 2_048
 RATE = 0.1
 CACHE_WORDS = 200_000
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+EDGES = np.zeros(2, np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; counts are combined before they are shuffled."""
-    low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.explode(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all documents; tasks count the words they read before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counted.update(words_of(text.as_py()))
+                if len(counted) > CACHE_WORDS:
+                    yield from _counts(counted)
+                    counted.clear()
+        yield from _counts(counted)
+
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counts(counted: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+    if counted:
+        columns = [pa.array([*counted], pa.binary()), pa.array([*counted.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
 
 @dataclass
 class Vocabulary:
-    """``own``: rank of the most frequent words (from 1); ``counts``: words by 20 bits of their hash."""
+    """``own``: rank of the most frequent words (from 1); ``held``: counts of those that go to every task; ``total``: sum
+    of count + 1 per output symbol, and one more for a word that was not counted; ``counted``: all words, for joins."""
 
     own: dict[bytes, int]
-    counts: np.ndarray
-    total: np.ndarray
+    held: dict[bytes, int]
+    total: list[float]
+    counted: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame) -> Vocabulary:
-        """Two tables of fixed size reach the driver: the most frequent words, and 2^20 counts."""
+        """The most frequent words and one total per output symbol reach the driver; all counts stay in a table."""
         from waybill.llm.storage import stored
 
         counted = stored(word_counts(docs), "word-counts")
-        top = counted.orderBy(F.desc("n"), "word").limit(OWN_IN).collect()
-        cell = F.pmod(F.xxhash64("word"), F.lit(1 << COUNT_BITS))
-        cells = counted.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(1 << COUNT_BITS)
-        counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-        made = cls({r.word.encode(): k + 1 for k, r in enumerate(top)}, counts, np.zeros(OUT))
+        top = counted.orderBy(F.desc("n"), "word").limit(HELD).collect()
+        held = {bytes(r.word): r.n for r in top}
+        made = cls({w: k for k, w in enumerate(held, 1) if k <= OWN_IN}, held, [1.0] * OUT, counted)
+        for row in counted.groupBy(_symbol("word").alias("symbol")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+            made.total[row.symbol] += row.n
         for word, k in made.own.items():
             if k <= OWN_OUT:  # words with a symbol of their own do not weigh on the shared ones
-                counts[made.cell(word)] = max(0.0, counts[made.cell(word)] - top[k - 1].n)
-        made.total = np.bincount(_shared(np.arange(1 << COUNT_BITS), OWN_OUT, OUT), counts + 1, OUT)
+                made.total[made.shared(word, OWN_OUT, OUT)] -= held[word] + 1
         return made
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counted": None}
+
     @staticmethod
-    def cell(word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word, SEED) & ((1 << COUNT_BITS) - 1)
+    def shared(word: bytes, own: int, size: int) -> int:
+        return own + 1 + (xxhash.xxh64_intdigest(word, SEED) & CELLS) % (size - own - 1)
+
+    def share(self, out: int, n: int) -> float:
+        return math.log((n + 1) / self.total[out])
 
     def look_up(self, word: bytes) -> tuple[int, int, float]:
-        """Input symbol, output symbol, and the word's log-share of its output symbol."""
-        own, cell = self.own.get(word, 0), self.cell(word)
+        """Input symbol, output symbol, and the word's log-share of its output symbol; NaN if its count is not held."""
+        own = self.own.get(word, 0)
         if 0 < own <= OWN_OUT:
             return own, own, 0.0
-        out = int(_shared(cell, OWN_OUT, OUT))
-        share = float(np.log((self.counts[cell] + 1) / self.total[out]))
-        return own or int(_shared(cell, OWN_IN, IN)), out, share
+        out, n = self.shared(word, OWN_OUT, OUT), self.held.get(word)
+        return own or self.shared(word, OWN_IN, IN), out, math.nan if n is None else self.share(out, n)
 
 
-def _shared(cell, own: int, size: int):
-    return own + 1 + cell % (size - own - 1)
+def _symbol(word: str) -> Column:
+    """The shared output symbol of a word, as ``Vocabulary.shared`` has it."""
+    cell = F.xxhash64(word).bitwiseAND(F.lit(CELLS).cast("long"))
+    return (F.lit(OWN_OUT + 1) + cell % F.lit(OUT - OWN_OUT - 1)).cast("int")
 
 
 class Reader:
@@ -90,18 +117,36 @@ class Reader:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[bytes, tuple[int, int, float]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.symbols, self.shares = np.zeros((0, 2), np.int64), np.zeros(0)
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input symbols, output symbols, and log-shares (NaN where the count is not held) of all words."""
         words = words_of(text)
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for w in {*words}.difference(self.known):
-            self.known[w] = self.vocabulary.look_up(w)
+            self.clear()
+        fresh = [*{*words}.difference(self.known)]
+        if fresh:
+            self._learn(fresh)
         if not words:
             return np.zeros(4, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        given, wanted, share = zip(*map(self.known.__getitem__, words), strict=True)
-        return np.r_[0, 0, np.array(given), 0, 0], np.array(wanted), np.array(share)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        given, wanted = self.symbols[at].T
+        return np.concatenate([EDGES, given, EDGES]), wanted, self.shares[at]
+
+    def _learn(self, words: list[bytes]) -> None:
+        start = len(self.known)
+        size = start + len(words)
+        if size > len(self.shares):  # room is doubled, so that texts with a new word each do not copy all that are known
+            more = 2 * size - len(self.shares)
+            self.symbols = np.concatenate([self.symbols, np.zeros((more, 2), np.int64)])
+            self.shares = np.concatenate([self.shares, np.zeros(more)])
+        given, wanted, share = zip(*map(self.vocabulary.look_up, words), strict=True)
+        self.symbols[start:size, 0], self.symbols[start:size, 1], self.shares[start:size] = given, wanted, share
+        self.known.update(zip(words, range(start, size), strict=True))
 
 
 @dataclass
@@ -206,6 +251,7 @@ def _windows(texts: Iterator[bytes | None], reader: Reader) -> Iterator[tuple[li
         yield around, wanted_now
 
 
+REST = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 WEIGHTS = "salt int, tokens long, weights binary"
 WEIGHTS_ARROW = pa.schema([("salt", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
 
@@ -249,9 +295,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
 
 
 def score(text: bytes | None, reader: Reader, network: Network) -> tuple[int, float]:
-    """Words of a text, and the sum of their conditional log-probabilities."""
+    """Words of a text, and the sum of their conditional log-probabilities; words whose count is not held lack their share."""
     given, wanted, share = reader(text)
-    total = float(share.sum())
+    total = float(np.nansum(share))
     for at in range(0, len(wanted), STEP_TOKENS):
         part = wanted[at : at + STEP_TOKENS]
         around = [given[2 + o + at : 2 + o + at + len(part)] for o in OFFSETS]
@@ -262,23 +308,43 @@ def score(text: bytes | None, reader: Reader, network: Network) -> tuple[int, fl
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
     """Per document: doc_id, n_words, pseudo_likelihood (natural log), per_word (null without words).
 
-    Whole texts are scored where they are read. A null or empty text has no words and a score of 0. Every input row
+    Whole texts are scored where they are read, but for the shares of words whose counts are not held by the tasks: those
+    words are joined with the counts of all words. A null or empty text has no words and a score of 0. Every input row
     gives one row; columns other than doc_id and text are not read.
     """
+    from waybill.llm.storage import stored
+
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
-        reader = Reader(words)
+        reader, row = Reader(words), TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = [score(t.as_py(), reader, net) for t in batch.column(1)]
-            n, total = zip(*found, strict=True) if found else ((), ())
-            mean = [t / k if k else None for k, t in found]
+            n, totals, rest = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                size, total = score(text, reader, net)
+                n.append(size)
+                totals.append(total)
+                rest.append([*Counter(w for w in words_of(text) if w not in words.held).items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
-                names=["doc_id", "n_words", "pseudo_likelihood", "per_word"],
+                [
+                    pa.array(range(row, row + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()),
+                    pa.array(totals, pa.float64()), pa.array(rest, REST),
+                ],
+                names=["row", "doc_id", "n_words", "total", "rest"],
             )
+            row += len(n)
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_words long, pseudo_likelihood double, per_word double")
+    kinds = f"row long, doc_id {kind}, n_words long, total double, rest array<struct<word:binary,times:long>>"
+    begun = stored(texts.mapInArrow(run, kinds), "scores")
+    totals = F.array(*[F.lit(x) for x in vocabulary.total])
+    n = F.coalesce("n", F.lit(0)) + 1
+    rest = begun.select("row", F.inline("rest")).join(vocabulary.counted, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log(n / F.get(totals, _symbol("word")))).alias("_share"))
+    total = F.col("total") + F.coalesce("_share", F.lit(0.0))
+    return begun.drop("rest").join(rest, "row", "left").select(
+        "doc_id", "n_words", total.alias("pseudo_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word")
+    )
