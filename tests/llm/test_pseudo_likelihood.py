@@ -96,3 +96,15 @@ def test_every_word_has_the_share_of_its_own_count(frame, monkeypatch):
     read = lambda v: {r.doc_id: r.pseudo_likelihood for r in score_documents(docs, v, network).collect()}
     one, other = read(held), read(joined)
     assert len(one) == len(other) == 903 and all(math.isclose(one[k], other[k], rel_tol=1e-9) for k in one)
+
+
+def test_products_by_blocks():
+    from waybill.llm.pseudo_likelihood import _gram, _product
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 500):
+        left, right = rng.normal(size=(n, 24)).astype(np.float32), rng.normal(size=(n, 128)).astype(np.float32)
+        weight = rng.normal(size=(24, 128)).astype(np.float32)
+        assert np.allclose(_product(left, weight), left @ weight, atol=1e-4)
+        assert np.allclose(_product(right, weight.T), right @ weight.T, atol=1e-4)
+        assert np.allclose(_gram(left, right), left.T @ right, atol=1e-3)
