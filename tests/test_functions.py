@@ -30,6 +30,14 @@ def test_normal_forms_match_the_standard(spark, samples):
             assert [row[f] for f in forms] == [unicodedata.normalize(f, sample) for f in forms]
 
 
+def test_trim_reads_from_both_ends(column):
+    """A pattern tried a long run inside a text once per sign of it, and cut before a last line end that is no white space."""
+    run = " \t" * 200_000
+    kept = ["a \x85", "a\u2028\x85", f"a{run}b", ""]
+    assert column(text.wide_trim, [*kept, "\ufeff\u3000 a\r\n\u2029", run, None]) == [*kept, "a", "", None]
+    assert column(text.clean_name, [f"a{run}b", f"\xa0{run}", "a \n", "\n\x0b \fa  b c\td", None]) == ["a b", "Untitled", "a", "a b c d", None]
+
+
 def test_clean_name(column):
     raw = ["a\r\nb", "  a   b ", "\n\t", "", "plain", " x "]
     assert column(text.clean_name, raw) == ["a b", "a b", "Untitled", "Untitled", "plain", "x"]

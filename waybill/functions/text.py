@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WIDE_SPACE = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+# The same signs one by one.
+WIDE_SIGNS = "\t\n\x0B\f\r \xA0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000\uFEFF"
 NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -25,7 +27,8 @@ def normal_form(text: Column, form: str) -> Column:
 
 
 def wide_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$", "")
+    """Read from both ends: a pattern would try every run of white space in the text, and each long run again and again."""
+    return F.btrim(text, F.lit(WIDE_SIGNS))
 
 
 def canon(text: Column, normalize: bool = True) -> Column:
@@ -36,9 +39,9 @@ def canon(text: Column, normalize: bool = True) -> Column:
 
 def clean_name(title: Column) -> Column:
     """One-line name, `Untitled` when nothing is left."""
-    one_line = F.regexp_replace(title, r"[\r\n\t\x0B\f]+", " ")
-    cleaned = wide_trim(F.regexp_replace(one_line, " {2,}", " "))
-    return F.when(cleaned == "", F.lit("Untitled")).otherwise(cleaned)
+    # A run of white space is one space; single spaces, the most frequent runs, are no match.
+    one_line = F.regexp_replace(title, r"[\r\n\t\x0B\f][ \r\n\t\x0B\f]*+| [ \r\n\t\x0B\f]++", " ")
+    return F.regexp_replace(wide_trim(one_line), r"\A\z", "Untitled")
 
 
 def name_changed(title: Column) -> Column:

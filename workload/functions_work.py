@@ -51,12 +51,12 @@ SELECT doc_id, md5(name) AS name_md5, length(name)::INT AS name_length,
 FROM m""",
 )
 def clean_name(t: Tables) -> DataFrame:
-    name = text.clean_name(F.col("text"))
-    return t.spread("documents").select(
+    named = t.spread("documents").select("doc_id", "text", text.clean_name(F.col("text")).alias("name"))
+    return named.select(
         "doc_id",
-        F.md5(name).alias("name_md5"),
-        F.length(name).alias("name_length"),
-        text.name_changed(F.col("text")).alias("changed"),
+        F.md5("name").alias("name_md5"),
+        F.length("name").alias("name_length"),
+        (F.col("name") != text.wide_trim(F.col("text"))).alias("changed"),
     )
 
 
