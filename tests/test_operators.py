@@ -387,3 +387,14 @@ def test_summary_rows_need_no_join(frame):
     actions = frame([("execute", "lossy", 2), ("skip", "skipped", 0)], "disposition string, outcome string, estimated_requests int")
     got = summary.estimate_requests(actions, 90).first()
     assert (got.write_requests, got.minutes) == (2, 0.0)
+
+
+def test_buckets_of_the_seal_take_one_shuffle(frame):
+    from waybill.plans.seal import table_hash
+
+    rows = frame([(k % 700,) for k in range(1_000)], "k int")
+    hashed = table_hash(rows, F.col("k").cast("string"), "t")
+    # By hash, by its first digits, and the fold of all: bucket hashes once moved again.
+    assert hashed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 3
+    again = table_hash(rows.repartition(5), F.col("k").cast("string"), "t")
+    assert hashed.collect() == again.collect() and hashed.collect() != table_hash(rows.where("k > 0"), F.col("k").cast("string"), "t").collect()

@@ -18,14 +18,17 @@ def table_hash(table: DataFrame, row_json: Column, name: str, digits: int = 3) -
     Each row is hashed from its canonical JSON. Equal rows are counted first, so hot duplicates
     collapse; distinct row hashes are spread evenly over 16^(2*digits) buckets by their leading
     digits, each bucket is hashed in sorted order, bucket hashes are folded by their first digits
-    and those once more. No step gathers more than one bucket.
+    and those once more. No step gathers more than one bucket. Hashes travel as bytes, and to where
+    their first digits meet, so that buckets and their folds take one shuffle.
     """
-    rows = table.select(F.sha2(row_json, 256).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
-    marked = F.concat("_h", F.lit("x"), F.col("_n").cast("string"))
-    low = rows.groupBy(F.substring("_h", 1, 2 * digits).alias("_b")).agg(_fold(F.collect_list(marked)).alias("_h"))
-    mid = low.groupBy(F.substring("_b", 1, digits).alias("_b")).agg(
-        _fold(F.collect_list(F.concat("_b", F.lit(":"), "_h"))).alias("_h")
+    rows = table.select(F.unhex(F.sha2(row_json, 256)).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
+    text = F.lower(F.hex("_h"))
+    near = rows.repartition(F.substring(text, 1, digits)).select(
+        F.substring(text, 1, digits).alias("_m"), F.substring(text, 1, 2 * digits).alias("_b"),
+        F.concat(text, F.lit("x"), F.col("_n").cast("string")).alias("_marked"),
     )
+    low = near.groupBy("_m", "_b").agg(_fold(F.collect_list("_marked")).alias("_h"))
+    mid = low.groupBy(F.col("_m").alias("_b")).agg(_fold(F.collect_list(F.concat("_b", F.lit(":"), "_h"))).alias("_h"))
     top = mid.agg(_fold(F.collect_list(F.concat("_b", F.lit(":"), "_h"))).alias("hash"))
     return top.select(F.lit(name).alias("table"), "hash")
 
