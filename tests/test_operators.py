@@ -398,3 +398,21 @@ def test_buckets_of_the_seal_take_one_shuffle(frame):
     assert hashed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 3
     again = table_hash(rows.repartition(5), F.col("k").cast("string"), "t")
     assert hashed.collect() == again.collect() and hashed.collect() != table_hash(rows.where("k > 0"), F.col("k").cast("string"), "t").collect()
+
+
+def test_findings_are_routed_in_one_shuffle(spark, frame):
+    """Null fields are equal, null codes are not, and what other actions carry drops nothing."""
+    columns = "seq bigint, code string, entity string, field string, collection string"
+    found = frame([(1, "D", "e", None, "c"), (2, "D", "e", "f", "c"), (3, None, "e", None, "c"), (4, "B", "e", None, "c"), (5, "D", None, None, "c")], columns)
+    actions = frame([("late", 2, "e"), ("first", 1, "e"), ("free", 3, None)], "id string, seq bigint, source string")
+    carried = frame([("first", "D", "e", None, "c"), ("first", None, "e", None, "c"), ("late", "B", "e", None, "c"), ("free", "D", None, None, "c"), ("x", "D", "only", None, "c")],
+                    "action_id string, code string, entity string, field string, collection string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        routed = fnd.route_findings(found, actions, carried)
+        # The findings by entity, the owners by entity (grouped, then apart).
+        assert routed._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+        assert routed.columns == ["entity", "seq", "code", "field", "collection", "owner"]
+        assert {(r.seq, r.owner) for r in routed.collect()} == {(2, "first"), (3, "first"), (4, "first"), (5, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -238,17 +238,19 @@ def route_findings(
     """Give each source finding the first action of its entity as owner; null stays plan-level.
 
     ``attached`` (action_id, code, entity, field, collection) are findings actions already carry:
-    an owned finding identical to one of them is left out.
+    an owned finding identical to one of them is left out. They are gathered per entity (distinct ones of its
+    actions, bounded by the codes and fields) beside its owner, so the findings themselves are shuffled once.
     """
-    routed = findings.join(first_owner(actions), "entity", "left")
     if attached is None:
-        return routed
-    same = lambda c: F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}"))
-    repeats = (
-        (F.col("f.owner") == F.col("a.action_id")) & (F.col("f.code") == F.col("a.code"))
-        & same("entity") & same("field") & same("collection")
-    )
-    return routed.alias("f").join(attached.alias("a"), repeats, "left_anti")
+        return findings.join(first_owner(actions), "entity", "left")
+    same = F.struct("code", "field", "collection")
+    owned = actions.where(F.col("source").isNotNull()).select(F.col("source").alias("entity"), "id", "seq")
+    carried = attached.where(F.col("entity").isNotNull() & F.col("action_id").isNotNull() & F.col("code").isNotNull())
+    both = owned.unionByName(carried.select("entity", F.struct("action_id", same.alias("same")).alias("_one")), allowMissingColumns=True)
+    owners = group_apart(both, ["entity"], F.min_by("id", "seq").alias("owner"), F.collect_set("_one").alias("_all"))
+    own = F.transform(F.filter("_all", lambda one: one["action_id"] == F.col("owner")), lambda one: one["same"])
+    routed = findings.join(owners.select("entity", "owner", own.alias("_carried")), "entity", "left")
+    return routed.where(~F.coalesce(F.array_contains("_carried", same), F.lit(False))).drop("_carried")
 
 
 def merge_action_outcome(actions: DataFrame, routed: DataFrame) -> DataFrame:
