@@ -325,3 +325,17 @@ def test_inline_markdown(spark):
     assert markdown(spark, [dict(text="l", href="https://h.example/a(b) c")]) == "[l](https://h.example/a%28b%29%20c)"
     assert markdown(spark, [dict(text="l", href="javascript:x")]) == "l"
     assert markdown(spark, [dict(text="e", equation="x^2")]) == "`x^2`"
+
+
+def test_signs_leave_out_no_match(frame):
+    """Patterns run behind a plain search for their signs, and find what they find alone."""
+    texts = ["/Users/a", "x /home/", "/private/", "/var/folders", "a /tmp/", "b/tmp/", "/root", "a/root", "/root/x", "c:/", r"C:\x", "c:x", r"\\\\h\\", r"\h",
+             "FILE://", "xfile://", "~/", "a ~/", "a~/", "eyJ" + "a" * 10 + "." + "b" * 10 + ".ccccc", "sk-" + "a" * 20, "secret_" + "a" * 16,
+             "ntn_" + "b" * 16, "pk_1_" + "a" * 12, "bearer " + "a" * 16, "authorization :", "", None]
+    patterns = [*secrets.LEAK_RULES.values(), *secrets.MACHINE_PATHS.values()]
+    df = frame([(t,) for t in texts], "x string")
+    for pattern in patterns:
+        rows = df.select(F.col("x").rlike(pattern).alias("alone"), secrets.holds(F.col("x"), pattern).alias("behind")).collect()
+        assert [r.alone or False for r in rows] == [r.behind or False for r in rows]
+        assert any(r.alone for r in rows)
+    assert set(secrets.SIGNS) <= set(patterns)

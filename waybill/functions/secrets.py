@@ -58,6 +58,31 @@ MACHINE_PATHS = {
     "a home-relative path": r"(?:^|\s)~/",
 }
 
+# Texts without any of these hold no match of the pattern. Most texts hold none, and a plain search is cheap.
+SIGNS = {
+    LEAK_RULES["JSON web token"]: ["eyJ"],
+    LEAK_RULES["API key"]: ["sk-"],
+    LEAK_RULES["integration token"]: ["ntn_", "secret_"],
+    LEAK_RULES["personal token"]: ["pk_"],
+    MACHINE_PATHS["an absolute /Users path"]: ["/Users/"],
+    MACHINE_PATHS["an absolute /home path"]: ["/home/"],
+    MACHINE_PATHS["an absolute /private path"]: ["/private/"],
+    MACHINE_PATHS["an absolute /var/folders path"]: ["/var/folders"],
+    MACHINE_PATHS["an absolute /tmp path"]: ["/tmp/"],
+    MACHINE_PATHS["an absolute /root path"]: ["/root"],
+    MACHINE_PATHS["a Windows drive path"]: [":/", ":\\"],
+    MACHINE_PATHS["a Windows UNC path"]: ["\\\\"],
+    MACHINE_PATHS["a file: URL"]: ["://"],
+    MACHINE_PATHS["a home-relative path"]: ["~/"],
+}
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches somewhere; texts without its signs are not searched for it."""
+    test = text.rlike(pattern)
+    signs = [F.contains(text, F.lit(sign)) for sign in SIGNS.get(pattern, [])]
+    return reduce(lambda a, b: a | b, signs) & test if signs else test
+
 
 def scrub(text: Column, exact: list[str] | None = None) -> Column:
     """Replace registered secrets (8 characters or more) and every known token shape."""

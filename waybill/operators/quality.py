@@ -66,7 +66,7 @@ def leak_scan(df: DataFrame, keys: list[str], names: dict[str, str] | None = Non
     """
     columns = [c for c in string_columns(df) if c not in keys]
     text = F.col("text")
-    tests: list[tuple[str, Column]] = [(what, text.rlike(p)) for what, p in (secrets.LEAK_RULES if rules is None else rules).items()]
+    tests: list[tuple[str, Column]] = [(what, secrets.holds(text, p)) for what, p in (secrets.LEAK_RULES if rules is None else rules).items()]
     for word, what in (names or {}).items():
         quoted = "".join("\\" + c if not c.isalnum() else c for c in word)
         tests.append((what, text.rlike(rf"(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])")))
