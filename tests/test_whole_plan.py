@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from waybill.plans.migrate import plan_migration
+from pyspark.sql import functions as F
+
+from waybill.functions.dates import DATE_SHAPE
+from waybill.plans.migrate import Options, draft_cells, plan_migration
 from waybill.schemas import SCHEMAS
 
 
@@ -45,3 +48,28 @@ def test_people_tags_relations_and_date_ranges_are_kept_or_told(spark, frame):
     assert body["due_date"] and body["start_date"]
     counted = {r.field_name: (r.cells, r.placed, r.text_rows, r.lost) for r in plan["accounting"].collect()}
     assert counted == {"Owner": (1, 0, 1, 0), "Tags": (1, 0, 1, 0), "Blocks": (1, 0, 1, 0), "Due": (2, 2, 0, 0), "Start": (1, 1, 0, 0)}
+
+
+def test_only_cells_that_become_instants_are_read_as_dates(spark, frame):
+    rules = frame(
+        [("c", "d", "Due", 0, "due_date", False), ("c", "s", "State", 1, "status", False), ("c", "n", "Note", 2, "description_table", False)],
+        "collection string, field_id string, field_name string, pos int, target_kind string, skip boolean",
+    ).withColumns({"list_id": F.lit("L"), "kind": F.lit("x"), "explicit": F.lit(False), "conflict": F.lit(False)})
+    day = lambda a: (a, None, None)
+    cells = table(
+        spark, "cells",
+        [("k1", "c", "d", "date", None, None, day("2026-01-02")), ("k2", "c", "d", "date", None, None, day("soon")), ("k3", "c", "d", "date", None, None, None),
+         ("k1", "c", "s", "status", None, "Open", None), ("k2", "c", "s", "status", None, "odd", None), ("k1", "c", "n", "text", "a", None, day("2026-01-02"))],
+        ["record", "collection", "field_id", "kind", "text", "name", "date"],
+    )
+    statuses = frame([("L", "open", 0)], "list_id string, name string, pos int")
+    drafts = draft_cells(cells, rules, statuses, frame([], "collection string, field_name string, `from` string, `to` string, pos int"), Options())
+    got = {(r.record, r.field_name): (r.kept_as, r.codes, r.status, r.start_ms is not None, r.row and r.row.markdown) for r in drafts.collect()}
+    assert got == {
+        ("k1", "Due"): ("value", [], None, True, None), ("k2", "Due"): ("row", ["DATE_UNPARSEABLE"], None, False, "soon"),
+        ("k3", "Due"): (None, [], None, False, None), ("k1", "State"): ("value", [], "open", False, None),
+        ("k2", "State"): ("row", ["STATUS_VALUE_UNMAPPED"], None, False, "odd"), ("k1", "Note"): ("row", ["FIELD_PRESERVED_AS_TEXT"], None, False, "a"),
+    }
+    union = drafts._jdf.queryExecution().analyzed()
+    parts = [union.children().apply(i).toString() for i in range(union.children().size())]
+    assert [DATE_SHAPE in part for part in parts] == [False, True]

@@ -173,12 +173,11 @@ def with_converted_date(
         }
     )
     good = ~F.col("_bad")
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("_bad"), F.lit("DATE_UNPARSEABLE")),
-            F.when(good & F.col("_n").isNotNull(), F.lit("DATE_TIMEZONE_NAME_NOT_PRESERVED")),
-            F.when(good & F.col("_assumed"), F.lit("DATE_ASSUMED_TIMEZONE")),
-        )
+    told = lambda test, code: F.when(test, F.array(F.lit(code))).otherwise(F.array())
+    codes = F.concat(
+        told(F.col("_bad"), "DATE_UNPARSEABLE"),
+        told(good & F.col("_n").isNotNull(), "DATE_TIMEZONE_NAME_NOT_PRESERVED"),
+        told(good & F.col("_assumed"), "DATE_ASSUMED_TIMEZONE"),
     )
     timed = lambda c: F.when(good, F.col(f"{c}.kind") == "datetime")
     done = F.struct(

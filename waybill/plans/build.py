@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import urls
 from waybill.functions.ids import stable_id
-from waybill.functions.text import canon, clean_name, name_changed, wide_trim
+from waybill.functions.text import WIDE_SIGNS, canon, clean_name, name_changed, wide_trim
 from waybill.operators.findings import for_item, worst_rank
 from waybill.operators.mapping import markers_in
 from waybill.operators.relations import link_pairs
@@ -19,7 +19,7 @@ LINK_SCOPE = "dest:links"
 
 # -- text of a planned item ------------------------------------------------------------------------------
 def table_cell(markdown: Column) -> Column:
-    flat = F.regexp_replace(markdown, r"\r?\n+", " ")
+    flat = F.when(F.contains(markdown, F.lit("\n")), F.regexp_replace(markdown, r"\r?\n+", " ")).otherwise(markdown)
     return wide_trim(F.replace(flat, F.lit("|"), F.lit("\\|")))
 
 
@@ -42,8 +42,8 @@ def provenance_footer(key: Column, url: Column, created: Column, prefix: str = M
 
 
 def compose(*parts: Column) -> Column:
-    present = F.filter(F.array(*parts), lambda p: wide_trim(F.coalesce(p, F.lit(""))) != "")
-    return F.array_join(present, BODY_RULE)
+    # Read from the left only, up to the first sign that is not white space; null is left out as well.
+    return F.concat_ws(BODY_RULE, *[F.when(F.ltrim(p, F.lit(WIDE_SIGNS)) != "", p) for p in parts])
 
 
 def task_body(records: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def task_body(records: DataFrame, documents: DataFrame, rows: DataFrame) -> Data
 
     documents: key, markdown. rows: record, pos, label, markdown (bounded by the declared fields).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "label", "markdown")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "label", "markdown")))
     tables = rows.groupBy(F.col("record").alias("key")).agg(ordered.alias("_rows"))
     bodies = documents.select("key", F.col("markdown").alias("_body"))
     joined = records.join(bodies, "key", "left").join(tables, "key", "left")

@@ -116,7 +116,7 @@ def draft_relations(cells: DataFrame, rules: DataFrame, records: DataFrame) -> D
         "record", "collection", "field_name", "pos", F.lit("link").alias("target"), none.cast("string").alias("status"),
         none.cast("int").alias("priority"), none.cast("bigint").alias("start_ms"), none.cast("bigint").alias("end_ms"),
         F.struct("pos", F.col("field_name").alias("label"), F.col("text").alias("markdown")).alias("row"),
-        F.array(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("codes"), F.lit("row").alias("kept_as"),
+        F.array(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("codes"), _code_rank(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("rank"), F.lit("row").alias("kept_as"),
     )
 
 
@@ -141,20 +141,28 @@ def draft_cells(
         .select("collection", "field_id", "name", "status", F.coalesce("_mapped", priority_from(F.col("name"))).alias("priority")),
         "options",
     )
-    target = F.col("target_kind")
-    joined = ruled.join(by_text, ["collection", "field_id", "name"], "left")
-    is_date = target.isin("due_date", "start_date")
+    target, kind = F.col("target_kind"), F.col("kind")
+    is_date = F.coalesce(target.isin("due_date", "start_date"), F.lit(False))
+    none = F.lit(None)
+    base = ["record", "collection", "field_name", "pos", target.alias("target")]
+    row = F.struct("pos", F.col("field_name").alias("label"), F.coalesce("_md", F.lit("")).alias("markdown"))
+    has = F.col("_md").isNotNull()
+    # Only cells that become instants pass the reading of dates, a long chain of expressions.
     dated = with_converted_date(
-        joined, F.when(is_date, F.col("date.start")), F.when(is_date, F.col("date.end")), F.col("date.time_zone"),
-        options.timezone, "_d",
+        ruled.where(is_date), F.col("date.start"), F.col("date.end"), F.col("date.time_zone"), options.timezone, "_d"
     ).withColumn("_md", value_to_markdown())
-    has = F.col("_md").isNotNull()
-    bad_date = is_date & has & F.col("_d.invalid")
+    bad, codes = F.col("_d.invalid"), F.when(has, F.col("_d.codes")).otherwise(F.array())
+    dates = dated.select(
+        *base, none.cast("string").alias("status"), none.cast("int").alias("priority"),
+        F.col("_d.start_ms").alias("start_ms"), F.col("_d.end_ms").alias("end_ms"), F.when(has & bad, row).alias("row"),
+        codes.alias("codes"), F.when(F.size(codes) > 0, _worst_code(codes)).otherwise(F.lit(0)).alias("rank"),
+        F.when(has, F.when(bad, F.lit("row")).otherwise(F.lit("value"))).alias("kept_as"),
+    )
+    others = ruled.where(~is_date).join(by_text, ["collection", "field_id", "name"], "left").withColumn("_md", value_to_markdown())
     lost = (
         F.when((target == "status") & F.col("name").isNotNull() & F.col("status").isNull(), F.lit("STATUS_VALUE_UNMAPPED"))
         .when((target == "priority") & F.col("name").isNotNull() & F.col("priority").isNull(), F.lit("PRIORITY_VALUE_UNMAPPED"))
     )
-    kind = F.col("kind")
     as_text = (
         F.when(kind == "computed", F.lit("FIELD_SNAPSHOT_ONLY")).when(kind.isin("timestamp", "userStamp"), F.lit("METADATA_AS_TEXT"))
         .otherwise(F.lit("FIELD_PRESERVED_AS_TEXT"))
@@ -165,22 +173,20 @@ def draft_cells(
         .when(target.isin(*TEXT_TARGETS) & has, as_text)
         .otherwise(lost)
     )
-    keep_row = (target.isin(*TEXT_TARGETS) & has) | lost.isNotNull() | bad_date
-    codes = F.array_compact(F.concat(F.array(one), F.when(is_date & has, F.col("_d.codes")).otherwise(F.array())))
+    keep_row = (target.isin(*TEXT_TARGETS) & has) | lost.isNotNull()
     placed = (
         (target == "name") | ((target == "status") & F.col("status").isNotNull())
-        | ((target == "priority") & F.col("priority").isNotNull()) | (is_date & ~F.col("_d.invalid"))
+        | ((target == "priority") & F.col("priority").isNotNull())
     )
+    code = F.col("_code")
     kept_as = F.when(
-        has, F.when(placed, F.lit("value")).when(keep_row, F.lit("row")).when(F.size(codes) > 0, F.lit("finding")).otherwise(F.lit("lost"))
-    )
-    return dated.select(
-        "record", "collection", "field_name", "pos", target.alias("target"),
-        F.when(target == "status", F.col("status")).alias("status"), F.when(target == "priority", F.col("priority")).alias("priority"),
-        F.when(is_date, F.col("_d.start_ms")).alias("start_ms"), F.when(is_date, F.col("_d.end_ms")).alias("end_ms"),
-        F.when(keep_row, F.struct("pos", F.col("field_name").alias("label"), F.coalesce("_md", F.lit("")).alias("markdown"))).alias("row"),
-        codes.alias("codes"), kept_as.alias("kept_as"),
+        has, F.when(placed, F.lit("value")).when(keep_row, F.lit("row")).when(code.isNotNull(), F.lit("finding")).otherwise(F.lit("lost"))
     )
+    return others.withColumn("_code", one).select(
+        *base, F.when(target == "status", F.col("status")).alias("status"), F.when(target == "priority", F.col("priority")).alias("priority"),
+        none.cast("bigint").alias("start_ms"), none.cast("bigint").alias("end_ms"), F.when(keep_row, row).alias("row"),
+        F.when(code.isNotNull(), F.array(code)).otherwise(F.array()).alias("codes"), _code_rank(code).alias("rank"), kept_as.alias("kept_as"),
+    ).unionByName(dates)
 
 
 def accounting(drafts: DataFrame) -> DataFrame:
@@ -201,11 +207,12 @@ def cell_findings(drafts: DataFrame) -> DataFrame:
     )
 
 
+def _code_rank(code: Column) -> Column:
+    return F.coalesce(vocab.lookup(code, {k: vocab.OUTCOMES_BY_RANK.index(v[0]) for k, v in CELL_CODES.items()}), F.lit(0))
+
+
 def _worst_code(codes: Column) -> Column:
-    rank = lambda c: vocab.lookup(
-        c, {k: vocab.OUTCOMES_BY_RANK.index(v[0]) for k, v in CELL_CODES.items()}
-    )
-    return F.coalesce(F.array_max(F.transform(codes, rank)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(codes, _code_rank)), F.lit(0))
 
 
 def plan_migration(
@@ -230,7 +237,7 @@ def plan_migration(
     per_record = drafts.groupBy(F.col("record").alias("key")).agg(
         F.max("status").alias("status"), F.max("priority").alias("priority"),
         *[of(t, c) for t in ("due_date", "start_date") for c in ("start_ms", "end_ms", "field_name")],
-        F.array_sort(F.collect_list("row")).alias("_rows"), F.max(_worst_code(F.col("codes"))).alias("_rank"),
+        F.sort_array(F.collect_list("row")).alias("_rows"), F.max("rank").alias("_rank"),
     )
     targets = matched.where(F.col("list_id").isNotNull()).select(F.col("key").alias("collection"), "list_id").join(
         lists.select("list_id", F.col("name").alias("list_name")), "list_id"
