@@ -154,3 +154,13 @@ def test_one_parent_of_many_and_empty(frame):
 def test_list_ranks(frame):
     stops = frame([(3, 1, 5), (1, 2, 0), (2, None, 7), (9, None, 1), (4, 9, 2)], "at bigint, next bigint, w int")
     assert {r["at"]: r.rest for r in list_rank(stops).collect()} == {3: 12, 1: 7, 2: 7, 9: 1, 4: 3}
+
+
+def test_dependencies_on_what_waits_for_nothing_enter_no_round(frame, monkeypatch):
+    deps = [("a", "b"), ("b", "a"), ("c", "a"), ("x", "y"), ("gone", "a"), ("c", "gone")] + [(n, f"leaf{i}") for n in "abc" for i in range(20)]
+    nodes = sorted({n for pair in deps for n in pair} - {"gone"})
+    seen, solve = [], graph.solve
+    monkeypatch.setattr(graph, "solve", lambda base, edges, *more, **named: (seen.append(edges.count()), solve(base, edges, *more, **named))[1])
+    found = {(r.id, r.component, r.in_cycle) for r in graph.cycle_check(frame([(n,) for n in nodes + nodes], NODES), frame(deps + deps, DEPS)).collect()}
+    assert found == {("a", "a", True), ("b", "a", True), ("c", "c", False)}
+    assert seen[:2] == [3, 2]

@@ -17,6 +17,7 @@ from waybill.operators.fixpoint import keep, solve
 from waybill.operators.ordered import global_rank, group_apart
 from waybill.operators.tours import preorder
 from waybill.session import materialize
+from waybill.sources.sinks import stored
 
 
 def duplicate_actions(actions: DataFrame) -> DataFrame:
@@ -55,12 +56,16 @@ def cycle_check(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     ``component`` is the smallest id of the nodes that wait for each other, ``in_cycle`` says whether the node waits for
     itself. Nodes behind a cycle are components of their own and not in one.
     """
-    ids, edges = _inside(nodes, deps)
+    # Most dependencies are on what waits for nothing: they go before anything is joined or made distinct.
+    edges = materialize(_leading(deps.select(F.col("action_id").alias("id"), F.col("depends_on").alias("dep"))).distinct())
+    ids = materialize(nodes.select("id").join(_ends(edges), "id", "left_semi").distinct())
+    edges = materialize(_among(edges, ids))
     _, left = solve(ids.withColumn("value", F.lit(0).cast("long")), edges)
     stuck = materialize(left.select("id").distinct())
     edges = materialize(_among(edges, stuck))
     # What no cycle waits for in its turn is only behind one.
-    _, left = solve(stuck.withColumn("value", F.lit(0).cast("long")), _turned(edges))
+    turned = materialize(_leading(_turned(edges)))
+    _, left = solve(_ends(turned).withColumn("value", F.lit(0).cast("long")), turned)
     core = materialize(left.select("id").distinct())
     found = components(core, materialize(_among(edges, core)))
     return stuck.join(found, "id", "left").select(
@@ -68,6 +73,18 @@ def cycle_check(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     )
 
 
+def _leading(edges: DataFrame) -> DataFrame:
+    """Edges (id, dep) to nodes that have an edge of their own; the others hold up nothing.
+
+    The nodes are stored, so their size is known: if they are few, the edges are filtered where they are read.
+    """
+    return edges.join(stored(edges.select(F.col("id").alias("dep")).distinct(), "heads"), "dep", "left_semi").select("id", "dep")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return stored(edges.select("id").unionByName(edges.select(F.col("dep").alias("id"))).distinct(), "ends")
+
+
 def _turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dep").alias("id"), F.col("id").alias("dep"))
 
