@@ -108,3 +108,59 @@ def test_products_by_blocks():
         assert np.allclose(_product(left, weight), left @ weight, atol=1e-4)
         assert np.allclose(_product(right, weight.T), right @ weight.T, atol=1e-4)
         assert np.allclose(_gram(left, right), left.T @ right, atol=1e-3)
+
+
+def test_short_texts_are_scored_together_and_alike(frame, monkeypatch):
+    from waybill.llm.pseudo_likelihood import score_texts
+
+    texts = [b"a b c d e", None, b"", *(b"%s x%d" % (b"a c " * (k % 40), k) for k in range(300)), b"a b c d e"]
+    docs = frame([(k, t and t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    vocabulary, network = Vocabulary.of(docs), Network.fresh()
+    alone = [score(t, Reader(vocabulary), network) for t in texts]
+    vocabulary.held = {w: n for w, n in vocabulary.held.items() if w != b"x7"}
+    calls, chosen = [], Network.chosen
+    monkeypatch.setattr(Network, "chosen", lambda *args: calls.append(1) or chosen(*args))
+    found = score_texts(texts, Reader(vocabulary), network)
+    assert len(calls) < 10  # a call for every text before
+    assert found.words == [b"x7"] and found.times.tolist() == [1] and np.flatnonzero(found.rest).tolist() == [3 + 7]
+    assert found.totals[0] == found.totals[-1]
+    for k, (size, total) in enumerate(alone):
+        assert found.sizes[k] == size and (k == 10 or math.isclose(found.totals[k], total, rel_tol=1e-9))
+
+
+def test_new_words_are_learned_as_they_are_looked_up(frame):
+    docs = frame([(1, " ".join(f"w{k} " * (k % 5 + 1) for k in range(900)))], "doc_id long, text string")
+    vocabulary = Vocabulary.of(docs)
+    reader, words = Reader(vocabulary), [b"w%d" % k for k in range(0, 1000, 3)]
+    at = reader.number([words[:100], words])[100:]
+    for k, word in zip(at, words, strict=True):
+        given, wanted, share = vocabulary.look_up(word)
+        assert (reader.given[k], reader.wanted[k]) == (given, wanted)
+        assert np.isclose(reader.shares[k], share, rtol=1e-12, equal_nan=True)
+
+
+def test_large_logits_stay_in_range():
+    rng = np.random.default_rng(1)
+    around, wanted = [rng.integers(0, 50, 64) for _ in range(4)], rng.integers(0, 20, 64)
+    network = Network.fresh()
+    network.level += 1_000
+    other = Network.fresh()
+    assert not network._bound() < 60 and other._bound() < 60
+    assert np.allclose(network.chosen(around, wanted), other.chosen(around, wanted), atol=1e-3)
+    for net in (network, other):
+        Trainer(net).step(around, wanted)
+    assert np.isfinite(network.flat()).all() and np.allclose(network.weight, other.weight, atol=1e-2)
+
+
+def test_step_follows_the_gradient():
+    rng = np.random.default_rng(5)
+    around, wanted = [rng.integers(0, 50, 300) for _ in range(4)], rng.integers(0, 20, 300)
+    network, like = Network.fresh(), Network.fresh()
+    trainer = Trainer(network)
+    trainer.step(around, wanted)
+    hidden, error = like.forward(around)
+    error[np.arange(300), wanted] -= 1
+    error /= 300
+    changes = [hidden.T @ error, error.sum(axis=0), ((error @ like.weight.T) * (1 - hidden**2)).sum(axis=0)]
+    for square, change in zip((trainer.square[2], trainer.square[3], trainer.square[1]), changes, strict=True):
+        assert np.allclose(square, 1e-6 + change**2, rtol=1e-3, atol=1e-9)

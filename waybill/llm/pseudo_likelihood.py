@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ TRAIN_TOKENS = 2_048
 RATE = 0.1
 # Products are taken by so many rows: larger ones are split among threads, which cost more than they save at this size.
 BLOCK = 64
+# Texts are scored together until they have so many words: what a call costs is then small beside its words.
+GROUP_TOKENS = 16_384
+# Logits between plus and minus this stay in the range of single precision without their maximum taken off.
+SAFE_LOGIT = 60.0
 CACHE_WORDS = 200_000
 EDGES = np.zeros(2, np.int64)
 
@@ -114,41 +119,62 @@ def _symbol(word: str) -> Column:
     return (F.lit(OWN_OUT + 1) + cell % F.lit(OUT - OWN_OUT - 1)).cast("int")
 
 
+class Numbers(dict[bytes, int]):
+    """Numbers of words; a word that is looked up for the first time gets the next one."""
+
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
+
+
 class Reader:
     """Texts as symbols, with two edges on each side."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.log_total = np.log(np.array(vocabulary.total))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.symbols, self.shares = np.zeros((0, 2), np.int64), np.zeros(0)
+        self.known, self.learned = Numbers(), 0
+        self.given, self.wanted, self.shares = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Input symbols, output symbols, and log-shares (NaN where the count is not held) of all words."""
-        words = words_of(text)
-        if len(self.known) > CACHE_WORDS:
+    def number(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Numbers of all words of texts, which are valid until the next call: positions in ``given`` (input symbols),
+        ``wanted`` (output symbols) and ``shares`` (log-shares, NaN where the count is not held)."""
+        if self.learned > CACHE_WORDS:
             self.clear()
-        fresh = [*{*words}.difference(self.known)]
-        if fresh:
-            self._learn(fresh)
-        if not words:
-            return np.zeros(4, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        given, wanted = self.symbols[at].T
-        return np.concatenate([EDGES, given, EDGES]), wanted, self.shares[at]
-
-    def _learn(self, words: list[bytes]) -> None:
-        start = len(self.known)
-        size = start + len(words)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if len(self.known) > self.learned:
+            self._learn()
+        return at
+
+    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Input symbols between edges, and output symbols, of all words."""
+        at = self.number([words_of(text)])
+        return np.concatenate([EDGES, self.given[at], EDGES]), self.wanted[at]
+
+    def _learn(self) -> None:
+        """What ``Vocabulary.look_up`` says of each new word, for all of them at once."""
+        words, start, size = self.known.words[self.learned :], self.learned, len(self.known)
         if size > len(self.shares):  # room is doubled, so that texts with a new word each do not copy all that are known
-            more = 2 * size - len(self.shares)
-            self.symbols = np.concatenate([self.symbols, np.zeros((more, 2), np.int64)])
-            self.shares = np.concatenate([self.shares, np.zeros(more)])
-        given, wanted, share = zip(*map(self.vocabulary.look_up, words), strict=True)
-        self.symbols[start:size, 0], self.symbols[start:size, 1], self.shares[start:size] = given, wanted, share
-        self.known.update(zip(words, range(start, size), strict=True))
+            more = np.zeros(2 * size - len(self.shares), np.int64)
+            self.given, self.wanted = np.concatenate([self.given, more]), np.concatenate([self.wanted, more])
+            self.shares = np.concatenate([self.shares, more.astype(float)])
+        own, held = self.vocabulary.own, self.vocabulary.held
+        rank = np.array([own.get(w, 0) for w in words])
+        n = np.array([held.get(w, math.nan) for w in words], float)
+        cell = np.array([xxhash.xxh64_intdigest(w, SEED) & CELLS for w in words])
+        alone = (rank > 0) & (rank <= OWN_OUT)
+        out = np.where(alone, rank, OWN_OUT + 1 + cell % (OUT - OWN_OUT - 1))
+        self.given[start:size] = np.where(rank > 0, rank, OWN_IN + 1 + cell % (IN - OWN_IN - 1))
+        self.wanted[start:size] = out
+        self.shares[start:size] = np.where(alone, 0.0, np.log(n + 1) - self.log_total[out])
+        self.learned = size
 
 
 def _product(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -191,16 +217,22 @@ class Network:
         return cls(*found)
 
     def _logits(self, around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values, and the logits of all output symbols, the largest of which is 0."""
-        hidden = self.bias + self.embed[0][around[0]]
+        """Hidden values, and the logits of all output symbols, less what keeps their powers in range."""
+        hidden = self.embed[0][around[0]]
+        hidden += self.bias
         for table, symbols in zip(self.embed[1:], around[1:], strict=True):
             hidden += table[symbols]
         np.tanh(hidden, out=hidden)
         logits = _product(hidden, self.weight)
         logits += self.level
-        logits -= logits.max(axis=1, keepdims=True)
+        if not self._bound() < SAFE_LOGIT:
+            logits -= logits.max(axis=1, keepdims=True)
         return hidden, logits
 
+    def _bound(self) -> float:
+        """No logit is further from 0, as hidden values lie between -1 and 1."""
+        return float((np.abs(self.weight).sum(axis=0) + np.abs(self.level)).max())
+
     def forward(self, around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values, and probabilities of all output symbols."""
         hidden, logits = self._logits(around)
@@ -225,12 +257,18 @@ class Trainer:
 
     def step(self, around: list[np.ndarray], wanted: np.ndarray) -> None:
         net = self.network
-        hidden, error = net.forward(around)
-        error[np.arange(len(wanted)), wanted] -= 1
-        error /= len(wanted)
-        back = _product(error, net.weight.T) * (1 - hidden * hidden)
+        hidden, error = net._logits(around)
+        np.exp(error, out=error)
+        size = error.sum(axis=1)
+        error[np.arange(len(wanted)), wanted] -= size
+        size *= len(wanted)
+        # The error is left larger by ``size``, which is taken out of what is smaller than it.
+        back = _product(error, net.weight.T)
+        back /= size[:, None]
+        back *= 1 - hidden * hidden
+        hidden /= size[:, None]
         self._move(net.weight, self.square[2], _gram(hidden, error))
-        self._move(net.level, self.square[3], error.sum(axis=0))
+        self._move(net.level, self.square[3], (1 / size) @ error)
         self._move(net.bias, self.square[1], back.sum(axis=0))
         for table, square, symbols in zip(net.embed, self.square[0], around, strict=True):
             order = np.argsort(symbols.astype(np.int16), kind="stable")  # sixteen bits are sorted by their digits
@@ -252,7 +290,7 @@ def _windows(texts: Iterator[bytes | None], reader: Reader) -> Iterator[tuple[li
     held: list[list[np.ndarray]] = [[] for _ in range(len(OFFSETS) + 1)]
     size = 0
     for text in texts:
-        given, wanted, _ = reader(text)
+        given, wanted = reader(text)
         for at in range(0, len(wanted), TRAIN_TOKENS):
             part = wanted[at : at + TRAIN_TOKENS]
             for k, offset in enumerate(OFFSETS):
@@ -268,7 +306,6 @@ def _windows(texts: Iterator[bytes | None], reader: Reader) -> Iterator[tuple[li
         yield around, wanted_now
 
 
-REST = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 WEIGHTS = "salt int, tokens long, weights binary"
 WEIGHTS_ARROW = pa.schema([("salt", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
 
@@ -311,15 +348,66 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     return Network.shaped(total / tokens) if tokens else Network.fresh()
 
 
+@dataclass
+class Scores:
+    """Of some texts: words, sums of log-probabilities without the shares that are not held, and the words which lack
+    them: ``rest`` distinct ones per text, in the order of texts, each so many ``times``."""
+
+    sizes: np.ndarray
+    totals: np.ndarray
+    rest: np.ndarray
+    words: list[bytes]
+    times: np.ndarray
+
+
+def score_texts(texts: list[bytes | None], reader: Reader, network: Network) -> Scores:
+    split = [words_of(t) for t in texts]
+    sizes, at = np.array([len(w) for w in split], np.int64), reader.number(split)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(at)) + 2 * owner + 2  # two edges before, between and behind the texts
+    given = np.zeros(len(at) + 2 * len(texts) + 2, np.int64)
+    given[place] = reader.given[at]
+    # Blocks are filled up with edges, so that a text's score does not depend on the place of its words in a block.
+    spare = np.zeros(-len(at) % BLOCK, np.int64)
+    place, wanted = np.concatenate([place, spare + 2]), np.concatenate([reader.wanted[at], spare])
+    steps = (slice(k, k + STEP_TOKENS) for k in range(0, len(place), STEP_TOKENS))
+    found = [np.zeros(0), *(network.chosen([given[place[s] + o] for o in OFFSETS], wanted[s]) for s in steps)]
+    share = reader.shares[at]
+    lacking = np.isnan(share)
+    share[lacking] = 0
+    totals = np.bincount(owner, np.concatenate(found)[: len(at)] + share, len(texts))
+    room = max(len(reader.known), 1)
+    pairs, times = np.unique(owner[lacking] * room + at[lacking], return_counts=True)
+    words = [reader.known.words[k] for k in (pairs % room).tolist()]
+    return Scores(sizes, totals, np.bincount(pairs // room, minlength=len(texts)), words, times)
+
+
 def score(text: bytes | None, reader: Reader, network: Network) -> tuple[int, float]:
     """Words of a text, and the sum of their conditional log-probabilities; words whose count is not held lack their share."""
-    given, wanted, share = reader(text)
-    total = float(np.nansum(share))
-    for at in range(0, len(wanted), STEP_TOKENS):
-        part = wanted[at : at + STEP_TOKENS]
-        around = [given[2 + o + at : 2 + o + at + len(part)] for o in OFFSETS]
-        total += float(network.chosen(around, part).sum(dtype=np.float64))
-    return len(wanted), total
+    found = score_texts([text], reader, network)
+    return int(found.sizes[0]), float(found.totals[0])
+
+
+def _groups(column: pa.Array) -> Iterator[list[bytes | None]]:
+    """Texts in their order, some at a time."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py())
+        size += len(held[-1] or b"") // 6 + 1
+        if size >= GROUP_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _rest(found: list[Scores]) -> pa.Array:
+    """Per text: the words that lack their share, and how often they occur."""
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([f.rest for f in found]))])
+    words = pa.array(chain.from_iterable(f.words for f in found), pa.binary())
+    times = pa.array(np.concatenate([f.times for f in found]), pa.int64())
+    pairs = pa.StructArray.from_arrays([words, times], names=["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
 
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
@@ -338,17 +426,14 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, network: Network) -
         words, net = shared.value
         reader, row = Reader(words), TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, totals, rest = [], [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                size, total = score(text, reader, net)
-                n.append(size)
-                totals.append(total)
-                rest.append([*Counter(w for w in words_of(text) if w not in words.held).items()])
+            if not batch.num_rows:
+                continue
+            found = [score_texts(texts, reader, net) for texts in _groups(batch.column(1))]
+            n = np.concatenate([f.sizes for f in found])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()),
-                    pa.array(totals, pa.float64()), pa.array(rest, REST),
+                    pa.array(np.concatenate([f.totals for f in found]), pa.float64()), _rest(found),
                 ],
                 names=["row", "doc_id", "n_words", "total", "rest"],
             )
