@@ -366,6 +366,36 @@ def test_task_body_leaves_blank_parts_out(frame):
     assert got["k2"] == "Body\n\n---\n\n_Migrated._\n\n`waybill-key:k2`"
 
 
+def test_lines_of_a_body_are_written_before_rows_are_gathered(frame):
+    records = frame([("k1", None, None)], "key string, url string, created_at string")
+    pages = frame([("k1", "Body")], "key string, markdown string")
+    rows = frame([("k1", 1, "B", "x")], "record string, pos int, label string, markdown string")
+    plan = build.task_body(records, pages, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("| Property | Value |") == 1 and plan.count("_Migrated") == 1
+
+
+def test_rows_of_one_position_keep_the_order_of_their_texts(frame):
+    records = frame([("k", None, None), ("none", None, None)], "key string, url string, created_at string")
+    pages = frame([], "key string, markdown string")
+    cells = [
+        (0, "Due date", "a"), (0, "Due", "c"), (0, "|z", ""), (0, "a", "|x"), (0, "a", "b"), (0, "a", " y"), (None, "last", "f"),
+        (None, "first", None), (0, "Due", None),
+    ]
+    rows = frame([("k", *c) for c in cells], "record string, pos int, label string, markdown string")
+    got = {r.key: r.markdown for r in build.task_body(records, pages, rows).collect()}
+    lines = [x for x in got["k"].split("\n") if x.startswith("| ")][2:]
+    assert lines == ["| last | f |", "| Due | c |", "| Due date | a |", "| a | y |", "| a | b |", "| a | \\|x |", "| \\|z |  |"]
+    assert got["none"] == "_Migrated._\n\n`waybill-key:none`"
+
+
+def test_table_cells(column):
+    texts = {
+        "plain": "plain", "a b": "a b", "": "", None: None, "x": "x", "|": "\\|", "a|b": "a\\|b", " a": "a", "a\u3000": "a", "\ufeffa|": "a\\|",
+        "a\r\n\nb": "a b", "\na\r\n": "a", "a\rb": "a\rb", "é": "é", "é ": "é", "a\x7f": "a\x7f", "\u2003": "", "~!": "~!", "a\xa0b": "a\xa0b",
+    }
+    assert column(build.table_cell, list(texts)) == list(texts.values())
+
+
 def test_markers(column):
     got = column(lambda x: mp.markers_in(x, "waybill-key:"), ["`waybill-key:a:b:1` waybill-key:c", "none", "waybill-key:"])
     assert got == [["a:b:1", "c"], [], []]

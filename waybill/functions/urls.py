@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waybill.functions.text import wide_trim
+from waybill.functions.text import WIDE_SIGNS, wide_trim
 
 # Code points that browsers strip or reinterpret inside an address, or that hide intent.
 FORBIDDEN = (
@@ -49,7 +49,8 @@ def external_url(value: Column, limit: int = 2000) -> Column:
 
 
 def allowed_link(url: Column) -> Column:
-    return F.coalesce(wide_trim(url).rlike(r"(?i)^(https?://|mailto:)"), F.lit(False))
+    # Only the beginning is looked at, so white space at the end is left where it is.
+    return F.coalesce(F.ltrim(url, F.lit(WIDE_SIGNS)).rlike(r"(?i)^(https?://|mailto:)"), F.lit(False))
 
 
 def safe_url(value: Column, limit: int = 2048) -> Column:

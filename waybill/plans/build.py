@@ -20,17 +20,29 @@ LINK_SCOPE = "dest:links"
 # -- text of a planned item ------------------------------------------------------------------------------
 def table_cell(markdown: Column) -> Column:
     flat = F.when(F.contains(markdown, F.lit("\n")), F.regexp_replace(markdown, r"\r?\n+", " ")).otherwise(markdown)
-    return wide_trim(F.replace(flat, F.lit("|"), F.lit("\\|")))
+    made = wide_trim(F.replace(flat, F.lit("|"), F.lit("\\|")))
+    # Most texts begin and end with a plain sign and hold nothing to change.
+    plain = F.substring(markdown, 1, 1).between("!", "~") & F.substring(markdown, -1, 1).between("!", "~")
+    same = plain & ~F.contains(markdown, F.lit("|")) & ~F.contains(markdown, F.lit("\n"))
+    return F.when(same, markdown).otherwise(made)
 
 
-def properties_table(rows: Column, heading: str = "**Properties**") -> Column:
-    """Rows (label, markdown) as a Markdown table; empty when there are none."""
-    lines = F.transform(
-        rows,
-        lambda r: F.concat(F.lit("| "), table_cell(r["label"]), F.lit(" | "), table_cell(r["markdown"]), F.lit(" |")),
-    )
+def table_row(pos: Column, label: Column, markdown: Column) -> Column:
+    """A row as it is gathered: in the order of its fields, with its line of the table. Lines are written row by row, in
+    generated code; over a gathered array they would be interpreted."""
+    line = F.concat(F.lit("| "), table_cell(label), F.lit(" | "), table_cell(markdown), F.lit(" |"))
+    return F.struct(pos.alias("pos"), label.alias("label"), markdown.alias("markdown"), line.alias("line"))
+
+
+def gathered_lines(row: str) -> Column:
+    """Aggregate: the lines of all rows (``table_row``) in order; null ones are left out."""
+    return F.sort_array(F.collect_list(row))["line"]
+
+
+def properties_table(lines: Column, heading: str = "**Properties**") -> Column:
+    """Lines as a Markdown table; empty when there are none."""
     head = F.lit(f"{heading}\n\n| Property | Value |\n| --- | --- |\n")
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, F.concat(head, F.array_join(lines, "\n"))).otherwise(F.lit(""))
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(head, F.array_join(lines, "\n"))).otherwise(F.lit(""))
 
 
 def provenance_footer(key: Column, url: Column, created: Column, prefix: str = MARKER_PREFIX) -> Column:
@@ -42,6 +54,7 @@ def provenance_footer(key: Column, url: Column, created: Column, prefix: str = M
 
 
 def compose(*parts: Column) -> Column:
+    """Parts that are not blank, with a rule between them. Each part is read twice: pass columns, not what makes them."""
     # Read from the left only, up to the first sign that is not white space; null is left out as well.
     return F.concat_ws(BODY_RULE, *[F.when(F.ltrim(p, F.lit(WIDE_SIGNS)) != "", p) for p in parts])
 
@@ -51,17 +64,18 @@ def task_body(records: DataFrame, documents: DataFrame, rows: DataFrame) -> Data
 
     documents: key, markdown. rows: record, pos, label, markdown (bounded by the declared fields).
     """
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "label", "markdown")))
-    tables = rows.groupBy(F.col("record").alias("key")).agg(ordered.alias("_rows"))
+    written = rows.select("record", table_row(F.col("pos"), F.col("label"), F.col("markdown")).alias("row"))
+    tables = written.groupBy(F.col("record").alias("key")).agg(gathered_lines("row").alias("_lines"))
     bodies = documents.select("key", F.col("markdown").alias("_body"))
-    joined = records.join(bodies, "key", "left").join(tables, "key", "left")
-    return joined.withColumn(
-        "markdown",
-        compose(
-            F.col("_body"), properties_table(F.col("_rows")),
-            provenance_footer(F.col("key"), F.col("url"), F.col("created_at")),
-        ),
-    ).drop("_body", "_rows")
+    joined = records.join(bodies, "key", "left").join(tables, "key", "left").withColumns(
+        {
+            "_table": properties_table(F.col("_lines")),
+            "_footer": provenance_footer(F.col("key"), F.col("url"), F.col("created_at")),
+        }
+    )
+    return joined.withColumn("markdown", compose(F.col("_body"), F.col("_table"), F.col("_footer"))).drop(
+        "_body", "_lines", "_table", "_footer"
+    )
 
 
 # -- actions ------------------------------------------------------------------------------------------------

@@ -115,7 +115,7 @@ def draft_relations(cells: DataFrame, rules: DataFrame, records: DataFrame) -> D
     return own.select("record", "field_id", "collection", "field_name", "pos").join(text, ["record", "field_id"]).select(
         "record", "collection", "field_name", "pos", F.lit("link").alias("target"), none.cast("string").alias("status"),
         none.cast("int").alias("priority"), none.cast("bigint").alias("start_ms"), none.cast("bigint").alias("end_ms"),
-        F.struct("pos", F.col("field_name").alias("label"), F.col("text").alias("markdown")).alias("row"),
+        build.table_row(F.col("pos"), F.col("field_name"), F.col("text")).alias("row"),
         F.array(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("codes"), _code_rank(F.lit("FIELD_PRESERVED_AS_TEXT")).alias("rank"), F.lit("row").alias("kept_as"),
     )
 
@@ -145,7 +145,7 @@ def draft_cells(
     is_date = F.coalesce(target.isin("due_date", "start_date"), F.lit(False))
     none = F.lit(None)
     base = ["record", "collection", "field_name", "pos", target.alias("target")]
-    row = F.struct("pos", F.col("field_name").alias("label"), F.coalesce("_md", F.lit("")).alias("markdown"))
+    row = build.table_row(F.col("pos"), F.col("field_name"), F.coalesce("_md", F.lit("")))
     has = F.col("_md").isNotNull()
     # Only cells that become instants pass the reading of dates, a long chain of expressions.
     dated = with_converted_date(
@@ -237,7 +237,7 @@ def plan_migration(
     per_record = drafts.groupBy(F.col("record").alias("key")).agg(
         F.max("status").alias("status"), F.max("priority").alias("priority"),
         *[of(t, c) for t in ("due_date", "start_date") for c in ("start_ms", "end_ms", "field_name")],
-        F.sort_array(F.collect_list("row")).alias("_rows"), F.max("rank").alias("_rank"),
+        build.gathered_lines("row").alias("_lines"), F.max("rank").alias("_rank"),
     )
     targets = matched.where(F.col("list_id").isNotNull()).select(F.col("key").alias("collection"), "list_id").join(
         lists.select("list_id", F.col("name").alias("list_name")), "list_id"
@@ -248,6 +248,9 @@ def plan_migration(
     else:
         records = records.withColumn("_body", F.lit(None).cast("string"))
     footer = build.provenance_footer(F.col("key"), F.col("url"), F.col("created_at"), options.marker_prefix)
+    records = records.withColumns(
+        {"_table": build.properties_table(F.col("_lines")), "_footer": footer if options.provenance else F.lit("")}
+    )
     marker = F.concat(F.lit(options.marker_prefix), "key")
     name = clean_name(F.col("title"))
     # A date range whose other half is taken by the field of that half loses it.
@@ -260,7 +263,7 @@ def plan_migration(
     )
     body = F.struct(
         name.alias("name"),
-        build.compose(F.col("_body"), build.properties_table(F.col("_rows")), footer if options.provenance else F.lit("")).alias("markdown_content"),
+        build.compose(F.col("_body"), F.col("_table"), F.col("_footer")).alias("markdown_content"),
         "status", "priority",
         F.coalesce("due_date_end_ms", "due_date_start_ms", "start_date_end_ms").alias("due_date"),
         F.coalesce("start_date_start_ms", F.when(F.col("due_date_end_ms").isNotNull(), F.col("due_date_start_ms"))).alias("start_date"),
