@@ -9,7 +9,7 @@ from waybill.llm.decontaminate import remove_phrases
 from waybill.llm.jaccard import jaccard_components, without_ids
 from waybill.llm.packing import pack_documents
 from waybill.llm.queries import table, word_tokenizer
-from waybill.llm.storage import free_name, stored
+from waybill.llm.storage import bounded_batches, free_name, stored
 from waybill.llm.toxicity import score_documents, train
 
 
@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold nothing toxic and stay; columns of any name come back as they were.
     """
+    bounded_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     own = [F.col(f"`{name}`") for name in docs.columns]
     names = free_name(docs.columns, "toxicity_score"), free_name(docs.columns, "toxicity_predicted")
@@ -29,6 +30,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that repeat one doc_id are one document; those with a null doc_id are kept.
     """
+    bounded_batches(spark)
     copies = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return without_ids(docs, stored(copies, "near-copies"))
 
@@ -38,11 +40,13 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts hold no passage and stay as they are, and so do repeated rows without one.
     """
+    bounded_batches(spark)
     return remove_phrases(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of a power of two of tokens, each from one document; a null or empty text is its end token alone."""
+    bounded_batches(spark)
     packed = pack_documents(docs, word_tokenizer())
     return packed.select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", F.crc32("ids").alias("ids_crc32"), "ids"

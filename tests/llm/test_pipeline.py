@@ -8,8 +8,9 @@ import pytest
 import corpus_pipeline
 from test_decontaminate import brute as leaks
 from test_jaccard import brute as near
-from waybill.llm.packing import word_encoder
+from waybill.llm.packing import WordEncoder, word_encoder
 from waybill.llm.queries import word_tokenizer
+from waybill.llm.storage import BATCH_SETTING
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -102,3 +103,36 @@ def test_stages_on_nulls_repeats_and_clashing_names(spark, frame):
 def test_stages_on_empty_tables(spark, frame):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame([], ODD), FOLDER).count() == 0, name
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Five thousand texts of 10 kB came to Python in one batch of 50 MB."""
+    wide = spark.range(0, 5_000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefghi ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    own = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+        corpus_pipeline.cut_benchmark(spark, docs, FOLDER)
+        found = wide.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in found) == 5_000 and max(r.size for r in found) < 10 << 20
+        spark.conf.set(BATCH_SETTING, "1m")  # a bound of the session's own stays
+        corpus_pipeline.cut_benchmark(spark, docs, FOLDER)
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.set(BATCH_SETTING, own) if own else spark.conf.unset(BATCH_SETTING)
+
+
+def test_encoder_keeps_one_generation():
+    encoder = WordEncoder(word_tokenizer())
+    words = [f"word{n}" for n in range(200_000)]
+    first = encoder.words(words)
+    encoder.words(["another"])
+    assert encoder.old
+    encoder.forget()
+    assert not encoder.old and not encoder.old_parts
+    assert encoder.words(words) == first

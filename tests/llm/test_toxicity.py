@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waybill.llm import toxicity as tx
@@ -115,3 +116,23 @@ def test_features_equal_plain_patterns():
     texts += ["".join(draw.choice(list(letters), draw.integers(0, 60))) for _ in range(3000)]
     for text in texts:
         assert np.allclose(lexica.features(text), plain_features(lexica, text), rtol=1e-12, atol=0), text
+
+
+def test_terms_are_sent_on_before_many_are_held(monkeypatch):
+    monkeypatch.setattr(tx, "HELD_TERMS", 100)
+    texts = [" ".join(f"word{n % 7} number{n}" for n in range(k, k + 30)) for k in range(0, 300, 10)]
+    labels = [k % 2 for k in range(len(texts))]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels), pa.array([0] * len(texts))], names=["text", "toxic", "fold"])
+    sent = list(tx._count_terms(iter([rows])))
+    assert len(sent) > 3 and max(b.num_rows for b in sent) < 300
+    found = {}
+    for b in sent:
+        for r in b.to_pylist():
+            c = found.setdefault((r["kind"], r["term"]), [0, 0])
+            c[0], c[1] = c[0] + r["c0"], c[1] + r["c1"]
+    plain = {}
+    for text, label in zip(texts, labels, strict=True):
+        for kind, own in zip("ws", tx.terms(text), strict=True):
+            for term in own:
+                plain.setdefault((kind, term), [0, 0])[label] += 1
+    assert found == plain

@@ -77,6 +77,10 @@ class WordEncoder:
             return b"".join(map(self._part, PRE_TOKEN.findall(word.lower())))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        """Drop the elder generations: a worker that goes on with other steps keeps one of each at most."""
+        self.old, self.old_parts = {}, {}
+
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         young, old, out = self.young, self.old, []
@@ -144,8 +148,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end
         for batch in batches:
             for part in _parts(batch):
                 flat, sizes = encode(part.column(1))
-                flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4")
+                flat = np.insert(flat, np.cumsum(sizes), end_id).astype("<u4", copy=False)
                 yield _pieces(part.column(0), flat, sizes + 1, longest)
+        encode.forget()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, SCHEMA.format(key=key.simpleString()))
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# What Spark sends to a Python worker at once; a batch stands several times in an executor's memory.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "6m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows reach Python in batches of a few megabytes, not of thousands of texts, unless the session has its own bound."""
+    if not spark.conf.get(BATCH_SETTING, None):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores behind it until no column is called so (names differ by more than case)."""
     taken = {c.lower() for c in columns}

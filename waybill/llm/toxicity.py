@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ LEXICON_TERMS = 4_000
 LEXICON_ROWS = 3
 LEXICON_ODDS = 2.5
 NEAR_WORDS = 6
+# Terms that one task counts before it sends them on.
+HELD_TERMS = 50_000
 CALIBRATION_FOLDS = 4
 PREFIXES = (4, 5, 6)
 
@@ -265,10 +268,10 @@ class Model:
     trees: Trees
     calibration: Isotonic
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return self.calibration(self.trees.margin(np.array([self.lexica.features(t) for t in texts])))
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Texts may be an iterator: only their features are held together."""
+        x = np.array([self.lexica.features(t) for t in texts], float)
+        return self.calibration(self.trees.margin(x)) if len(x) else np.zeros(0)
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, training_rows: int) -> DataFrame:
@@ -286,7 +289,7 @@ TERM_ARROW = pa.schema([
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of either label that hold a term, by fold, combined per task (which reads a part of a bounded sample)."""
+    """Rows of either label that hold a term, by fold; a task sends what it has counted when it holds many."""
     counts: dict[tuple[str, str, int], list[int]] = {}
     for batch in batches:
         for text, label, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -294,9 +297,16 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, found in (("w", words), ("s", starts)):
                 for term in found:
                     counts.setdefault((kind, term, fold), [0, 0])[label] += 1
-    rows = [(*k, *c) for k, c in counts.items()]
-    for at in range(0, len(rows), 50_000):
-        columns = zip(*rows[at : at + 50_000], strict=True)
+            if len(counts) > HELD_TERMS:
+                yield from _counted(counts)
+                counts = {}
+    yield from _counted(counts)
+
+
+def _counted(counts: dict[tuple[str, str, int], list[int]]) -> Iterator[pa.RecordBatch]:
+    rows = ((*k, *c) for k, c in counts.items())
+    while part := [*islice(rows, 10_000)]:
+        columns = zip(*part, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TERM_ARROW, strict=True)], schema=TERM_ARROW)
 
 
@@ -375,7 +385,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score([t.as_py() for t in batch.column(at)])
+            score = shared.value.score(t.as_py() for t in batch.column(at))
             added = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*added, *batch.columns], names=[*names, *batch.schema.names])
 
